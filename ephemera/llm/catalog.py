@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .chat_format import OP8_SQL, op8_chat_format
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .near_dedup import op9_near_dedup
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op8_chat_format": op8_chat_format,
+    "op9_near_dedup": op9_near_dedup,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
