@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from .chat_format import OP8_SQL, op8_chat_format
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .fingerprints import op4_fingerprints
 from .near_dedup import op9_near_dedup
+from .packing import op10_best_fit_packing
+from .secret_scan import op5_secret_scan
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_secret_scan": op5_secret_scan,
     "op8_chat_format": op8_chat_format,
     "op9_near_dedup": op9_near_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
