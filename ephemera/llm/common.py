@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: The six characters that count as white space in the operators' contracts: space and 0x09-0x0D.
 WHITE = " \t\n\x0b\x0c\r"
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,11 +46,17 @@ class Scratch:
         self.root = f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
         self.count = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
-        """Writes df and returns it as read back."""
+    def save(self, df: DataFrame, batch: int | None = None) -> DataFrame:
+        """Writes df and returns it as read back. batch: rows in an Arrow batch meanwhile, for memory where rows hold whole texts."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        was = self.spark.conf.get(ARROW_ROWS)
+        try:
+            if batch:
+                self.spark.conf.set(ARROW_ROWS, batch)
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(ARROW_ROWS, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

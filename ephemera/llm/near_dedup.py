@@ -22,6 +22,8 @@ ROWS, BANDS = 8, 64
 KEPT = 256
 DEVIATION = (0.25 / KEPT) ** 0.5
 
+#: Rows that a Python worker is sent at a time: whole texts, or pairs of them.
+BATCH = 500
 #: Members of a block when the rest of a hub's rays is compared, on either side.
 BLOCK_ROWS = 256
 
@@ -50,7 +52,7 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
                 row = (i, 0, 0, 0, None, None)
             for x, v in zip(out, row, strict=True):
                 x.append(v)
-            if len(out[0]) == 2000:
+            if len(out[0]) == 500:
                 yield flush()
         yield flush()
 
@@ -95,7 +97,7 @@ class _Linker:
         texts = self.texts(edges.select(F.col("a").alias("id")).union(edges.select("b")))
         right = edges.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         pairs = right.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-        return self.scratch.save(pairs.mapInArrow(partial(_linked, width=self.width, share=self.share), "a long, b long"))
+        return self.scratch.save(pairs.mapInArrow(partial(_linked, width=self.width, share=self.share), "a long, b long"), batch=BATCH)
 
 
     def rest(self, groups: DataFrame) -> DataFrame:
@@ -166,7 +168,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    signed = scratch.save(docs.mapInArrow(partial(_sign, width=width), SIGNED))
+    signed = scratch.save(docs.mapInArrow(partial(_sign, width=width), SIGNED), batch=BATCH)
     classes = scratch.save(
         signed.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("bins").alias("bins"))
     )

@@ -16,6 +16,8 @@ from .common import Scratch, table, text_of
 LENGTH = 2048
 #: Rows of one length are ranked within this many parts, so that a length that very many pieces share is not one task's work.
 PARTS = 64
+#: Whole texts that a Python worker is sent at a time.
+BATCH = 1000
 PIECES = "id long, copy long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -131,7 +133,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("copy"), text_of(text_col).alias("text"))
-    pieces = scratch.save(rows.mapInArrow(partial(_pieces, vocabulary=vocabulary, most=most), PIECES))
+    pieces = scratch.save(rows.mapInArrow(partial(_pieces, vocabulary=vocabulary, most=most), PIECES), batch=BATCH)
     parted = pieces.withColumn("part", F.pmod(F.xxhash64("id", "copy", "piece"), F.lit(PARTS)).cast("int"))
     counts = scratch.save(parted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

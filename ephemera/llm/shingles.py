@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at a time; a longer text is a block of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -53,7 +53,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     count = np.diff(np.append(np.searchsorted(at, starts), len(at)))
     if not len(at):
         return np.empty(0, np.uint64), count
-    size = 1 << max(20, (len(data) - 1).bit_length())
+    size = 1 << max(18, (len(data) - 1).bit_length())
     up, down = _powers(size)
     value *= up[: len(data)]
     return mix(np.add.reduceat(value, at) * down[at]), count
