@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,13 +55,18 @@ class Scratch:
         try:
             if batch:
                 self.spark.conf.set(ARROW_ROWS, batch)
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.set(ARROW_ROWS, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
+    def release(self) -> None:
+        """Lets Spark's cleaner delete the shuffle files behind tables that are saved by now; it acts when the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a saved table that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
