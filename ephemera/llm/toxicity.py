@@ -17,9 +17,10 @@ from .common import Scratch, table, text_of
 
 #: The lexicon is learned from at most so many labelled rows, those whose ids have the least hashes.
 TRAIN_ROWS = 6000
-#: Terms are word beginnings of SHORTEST to LONGEST letters and whole words, seen in at least LEAST_DOCS toxic training rows, of which at
-#: least PRECISE of all training rows with the term are toxic.
-SHORTEST, LONGEST, LEAST_DOCS, PRECISE = 4, 8, 4, 0.9
+#: Terms are word beginnings of SHORTEST to LONGEST letters and whole words, seen in at least LEAST_DOCS toxic training rows, where at
+#: least PRECISE of all training rows with the term are toxic and the log-likelihood gain over the base rate is at least GAIN, so
+#: that among the very many beginnings hardly one passes by chance.
+SHORTEST, LONGEST, LEAST_DOCS, PRECISE, GAIN = 4, 12, 4, 0.7, 12.0
 #: Rows that a Python worker is sent at a time.
 BATCH = 1000
 
@@ -112,11 +113,20 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     told = scratch.save(counted.where((F.col("toxic") >= LEAST_DOCS) & (rate >= PRECISE)), batch=BATCH)
     # Every toxic row lends its terms at most once each, so these are few: at most the terms shared by LEAST_DOCS of at most `rows` rows.
     seen = {r["term"]: (r["toxic"], r["clean"]) for r in told.collect()}
+    base = n_toxic / (n_toxic + n_clean)
+
+    def gain(toxic: int, clean: int) -> float:
+        p = toxic / (toxic + clean)
+        return toxic * math.log(p / base) + (clean * math.log((1 - p) / (1 - base)) if clean else 0.0)
+
     weights: dict[str, float] = {}
-    for term in sorted(seen, key=lambda t: (len(t.rstrip()), t)):
-        if not any(term[:k] in weights for k in range(SHORTEST + 1, len(term))):  # the shortest of nested beginnings says it all
+    chosen: set[str] = set()  # and all their beginnings
+    for term in sorted((t for t in seen if gain(*seen[t]) >= GAIN), key=lambda t: (-gain(*seen[t]), len(t), t)):
+        # Of nested beginnings the most telling one stands for all.
+        if term not in chosen and not any(term[:k] in weights for k in range(SHORTEST + 1, len(term))):
             a, b = seen[term]
             weights[term] = math.log(((a + 0.5) / (n_toxic + 1)) / ((b + 0.5) / (n_clean + 1)))
+            chosen |= {term[:k] for k in range(SHORTEST + 1, len(term) + 1)}
     weights = {t: w for t, w in weights.items() if w > 0}
     exceptions = []
     if weights:
