@@ -5,14 +5,22 @@ from __future__ import annotations
 from .chat_format import OP8_SQL, op8_chat_format
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .fingerprints import op4_fingerprints
+from .line_dedup import op7_line_dedup
+from .mixing import op3_source_mix
 from .near_dedup import op9_near_dedup
 from .packing import op10_best_fit_packing
+from .quality import op2_quality
 from .secret_scan import op5_secret_scan
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality": op2_quality,
+    "op3_source_mix": op3_source_mix,
     "op4_fingerprints": op4_fingerprints,
     "op5_secret_scan": op5_secret_scan,
+    "op6_toxicity": op6_toxicity,
+    "op7_line_dedup": op7_line_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_near_dedup": op9_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
