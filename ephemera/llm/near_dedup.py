@@ -79,6 +79,7 @@ class _Linker:
     def __init__(self, docs: DataFrame, classes: DataFrame, scratch: Scratch, width: int, share: int):
         self.docs, self.scratch, self.width, self.share = docs, scratch, width, share
         self.classes = classes
+        self.texts: DataFrame | None = None
 
     def possible(self, edges: DataFrame) -> DataFrame:
         """Edges whose sizes leave room for a link and whose estimated similarity is at most six deviations below the threshold."""
@@ -88,13 +89,14 @@ class _Linker:
         alike = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) / KEPT
         return both.where(sized & (alike >= self.share / 100 - 6 * DEVIATION)).select("a", "b")
 
-    def texts(self, ids: DataFrame) -> DataFrame:
-        return self.scratch.save(self.docs.join(ids.distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    def gather(self, ids: DataFrame) -> None:
+        """Writes the texts of all documents that share a bucket with another, once: the only time that whole texts are dealt out by id."""
+        self.texts = self.scratch.save(self.docs.join(ids.distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
 
     def links(self, edges: DataFrame) -> DataFrame:
-        """The edges that are links. Only texts that some edge needs are dealt out, once for each end."""
+        """The edges that are links, of edges between documents whose texts are gathered."""
         edges = self.scratch.save(edges)
-        texts = self.texts(edges.select(F.col("a").alias("id")).union(edges.select("b")))
+        texts = self.texts
         right = edges.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         pairs = right.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
         return self.scratch.save(pairs.mapInArrow(partial(_linked, width=self.width, share=self.share), "a long, b long"), batch=BATCH)
@@ -112,7 +114,7 @@ class _Linker:
         span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
         left = rows.where("out").select("hub", "id", "own", F.lit(True).alias("out"), place("outs").alias("i"), F.explode(span("all")).alias("j"))
         right = rows.select("hub", "id", "own", F.lit(False).alias("out"), F.explode(span("outs")).alias("i"), place("all").alias("j"))
-        dealt = left.unionByName(right).join(self.texts(groups.select("id")), "id")
+        dealt = left.unionByName(right).join(self.texts, "id")
         width, share = self.width, self.share
 
         def compare(block: pa.Table) -> pa.Table:
@@ -178,6 +180,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linker = _Linker(docs, classes, scratch, width, share)
 
     rays = scratch.save(shared.where("id <> hub").select("hub", "id").distinct())
+    linker.gather(shared.select("id"))
     possible = scratch.save(linker.possible(rays.select(F.col("hub").alias("a"), F.col("id").alias("b"))))
     links = linker.links(possible.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     parts = scratch.save(connected_components(links, scratch))
