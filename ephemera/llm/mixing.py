@@ -14,6 +14,8 @@ from .common import WHITE, Scratch, table, text_of
 BLOCK_DOCS, BLOCKS = 64, 4096
 #: Most distinct sources that the driver plans for; beyond that the mix has to be made over groups of sources.
 SOURCES = 100_000
+#: A plan of at most so many cells (a few megabytes) is broadcast, so that texts are not shuffled; a longer one is joined by shuffling.
+BROADCAST_CELLS = 100_000
 STEPS = 60
 
 
@@ -106,6 +108,8 @@ def mix(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str =
     read = ranked.select("s", "epochs", "blocks", "block", F.explode(F.sequence(F.lit(0), F.col("whole") - F.when(F.col("spent") < F.col("room"), 0).otherwise(1))).alias("epoch"))
     placed = scratch.save(read.select("s", "block", "blocks", "epoch", ((F.col("epoch") + (F.row_number().over(order("epoch")) - 1) / F.col("blocks")) / F.col("epochs")).alias("from"), (1 / (F.col("blocks") * F.col("epochs"))).alias("width")))
     told = scratch.save(placed.groupBy("s", "block", "blocks").agg(F.collect_list(F.struct("epoch", "from", "width")).alias("mix_reads")).join(cells.select("s", "cell"), "s").where(F.col("cell") % F.col("blocks") == F.col("block")).select(F.col("s").alias("mix_s"), F.col("cell").alias("mix_cell"), F.col("block").alias("mix_block"), "mix_reads"))
+    if told.count() <= BROADCAST_CELLS:
+        told = F.broadcast(told)
     rows = docs.withColumns({"mix_s": source, "mix_cell": place, "mix_tokens": tokens})
     met = rows.join(told, ["mix_s", "mix_cell"]).withColumn("mix_read", F.explode("mix_reads"))
     within = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("mix_read.epoch")), F.lit(1 << 40)) / float(1 << 40)
