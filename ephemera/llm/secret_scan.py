@@ -107,3 +107,24 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda rank: F.size(F.filter("found", lambda s: s["rank"] == rank)).cast("long")
     base = F.filter("found", lambda s: s["rank"] < 3)
     return told.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("found")).alias("spans"))
+
+
+def _spans_sql(rank: int, rule: Rule) -> str:
+    """One rule's spans by the same marks, for another engine."""
+    pattern = f"({rule.head})({rule.tail})" if rule.head else f"()({rule.tail[:-1]}{{{rule.least},}})"
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, ahead AS start, ahead + instr(piece, chr(3)) - 2 AS stop FROM (
+  SELECT *, coalesce(sum(length(piece) - CASE WHEN i = 1 THEN 0 ELSE 2 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+  FROM (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM (
+    SELECT doc_id, string_split(regexp_replace(plain, '{quoted}', chr(1) || '\\1' || chr(2) || '\\2' || chr(3), 'g'), chr(1)) AS pieces FROM d)))
+WHERE i > 1 AND instr(piece, chr(3)) - instr(piece, chr(2)) - 1 >= {rule.least}"""
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), repeat(chr(26), 3)) AS plain FROM documents),
+found AS ({" UNION ALL ".join(_spans_sql(i, r) for i, r in enumerate(RULES))})
+SELECT d.doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < 3), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans
+FROM d LEFT JOIN found ON found.doc_id = d.doc_id GROUP BY d.doc_id
+"""
