@@ -90,8 +90,11 @@ class _Linker:
         return both.where(sized & (alike >= self.share / 100 - 6 * DEVIATION)).select("a", "b")
 
     def gather(self, ids: DataFrame) -> None:
-        """Writes the texts of all documents that share a bucket with another, once: the only time that whole texts are dealt out by id."""
-        self.texts = self.scratch.save(self.docs.join(ids.distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+        """Writes the texts of all documents that share a bucket with another, once: the only time that whole texts are dealt out by id.
+
+        Merged at every size: these ids grow with the documents, so a broadcast on small tables would not hold on large ones.
+        """
+        self.texts = self.scratch.save(self.docs.join(ids.distinct().hint("merge"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
 
     def links(self, edges: DataFrame) -> DataFrame:
         """The edges that are links, of edges between documents whose texts are gathered."""
