@@ -1,0 +1,110 @@
+"""Hashed character shingles and one-permutation signatures of Arrow batches of lines, in numpy."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from hashlib import blake2b
+
+import numpy as np
+import pyarrow as pa
+
+from .shingles import _BASE, _MASK, mix
+
+#: Characters of text that are hashed at a time; a longer text is a block of its own.
+BLOCK = 1 << 17
+#: A hash's top BITS bits are its bin.
+BITS = 6
+BINS = 1 << BITS
+#: Bits of each bin that the sketch of a signature keeps, a 64-bit word for each.
+SKETCH = 4
+
+
+def _rolled(v: np.ndarray, width: int) -> np.ndarray:
+    """A polynomial hash of every `width` values in a row, from those of runs of 1, 2, 4, ... values."""
+    part, n, at, out = v, 1, 0, None
+    while True:
+        if width & n:
+            if out is None:
+                out = part
+            else:  # the run so far, then n values more
+                out = out[: len(v) - at - n + 1] * np.uint64(pow(_BASE, n, 1 << 64)) + part[at : at + len(v) - at - n + 1]
+            at += n
+        n *= 2
+        if n > width:
+            return out
+        half = n // 2
+        part = part[:-half] * np.uint64(pow(_BASE, half, 1 << 64)) + part[half:]
+
+
+def blocks(texts: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For one block of texts after another: the sorted distinct hashes of each text's runs of `width` characters, one text after another,
+    and how many each text has. A text of fewer characters is its only run."""
+    told = texts.to_pylist()
+    i = 0
+    while i < len(told):
+        j, n = i, 0
+        while j < len(told) and (j == i or n + len(told[j]) <= BLOCK):
+            n += len(told[j])
+            j += 1
+        yield _block(told[i:j], width)
+        i = j
+
+
+def _block(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    count = np.maximum(length - width + 1, 1)
+    ends = np.cumsum(count)
+    begins = ends - count
+    found = np.empty(ends[-1], np.uint64)
+    long = length >= width
+    if long.any():
+        rolled = mix(_rolled(mix(chars.astype(np.uint64), 31), width), 37)
+        first = np.cumsum(length) - length
+        at = np.repeat((first - begins)[long], count[long])
+        inside = np.repeat(long, count)
+        found[inside] = rolled[np.flatnonzero(inside) + at]
+    for k in np.flatnonzero(~long):
+        found[begins[k]] = int.from_bytes(blake2b(texts[k].encode(), digest_size=8).digest(), "little")
+    for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
+        found[begin:end].sort()
+    new = np.append(True, found[1:] != found[:-1])
+    new[begins] = True
+    return found[new], np.add.reduceat(new, begins, dtype=np.int64)
+
+
+def sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """For each text its sorted distinct hashes."""
+    for found, count in blocks(texts, width):
+        yield from np.split(found, np.cumsum(count)[:-1])
+
+
+def signatures(found: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A row for each text with the least hash of each bin. An empty bin takes that of the next full one, around the end."""
+    place = np.repeat(np.arange(len(count)), count) * BINS + (found >> np.uint64(64 - BITS)).astype(np.int64)
+    first = np.append(True, place[1:] != place[:-1])
+    least = np.full(len(count) * BINS, _MASK, np.uint64)
+    full = np.zeros(len(least), bool)
+    least[place[first]] = found[first]
+    full[place[first]] = True
+    return _filled(least.reshape(-1, BINS), full.reshape(-1, BINS))
+
+
+def _filled(least: np.ndarray, full: np.ndarray) -> np.ndarray:
+    at = np.where(np.tile(full, 2), np.arange(2 * BINS), 2 * BINS)
+    donor = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BINS] % BINS
+    return np.take_along_axis(least, donor, 1)
+
+
+def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For each text one key for each band; band k holds the bins k, k + bands and so on, and its number is part of the key."""
+    key = np.broadcast_to(mix(np.arange(bands, dtype=np.uint64), 23), (len(signature), bands))
+    for r in range(rows):
+        key = mix(key * np.uint64(_BASE) + signature[:, r * bands : (r + 1) * bands], 29)
+    return key.astype(np.int64)
+
+
+def sketches(signature: np.ndarray) -> list[np.ndarray]:
+    """SKETCH words for each text, of one bit a bin: equal bins agree in all their bits, others in half of them."""
+    mixed = mix(signature, 41)
+    return [np.packbits((mixed >> np.uint64(b)) & np.uint64(1) != 0, axis=1).view(np.int64)[:, 0] for b in range(SKETCH)]

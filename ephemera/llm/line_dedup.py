@@ -2,83 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .char_shingles import band_keys, blocks, sets, signatures
 from .common import Scratch, table, text_of
 from .components import connected_components
 
 #: Characters of a shingle; lines are linked at this Jaccard similarity of their shingle sets.
 WIDTH, SIMILAR = 12, 0.8
-#: Bins of the one-permutation signature (a power of two), and BANDS keys of ROWS bins each. At a similarity of 0.8 a pair shares no band with
-#: probability (1 - 0.8**3)**16 = 1e-5, at 0.9 with 8e-10.
-BITS, ROWS, BANDS = 6, 3, 16
-BINS = 1 << BITS
-
-
-#: Lines below SHORT characters are signed with all their shingles, others with those that begin a word; lines up to SHARED are signed both ways,
-#: so that two lines of which one is up to a quarter longer always have keys of one kind in common.
-SHORT, SHARED = 300, 375
-#: A word begins after a space, and after any character of a script without spaces between words (Thai, Lao, Myanmar, Khmer, Chinese, Japanese).
-_BEFORE = r" \u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uF900-\uFAFF"
-
-
-def shingle_hashes(line: Column) -> Column:
-    """Hashes of all runs of WIDTH characters, overlapping; a shorter line is its only shingle.
-
-    Four bytes a character make the place of a run known, so it is cut out without a walk from the line's start.
-    """
-
-    def cut(b: Column) -> Column:
-        last = (F.octet_length(b) / 4).cast("int") - WIDTH
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substr(b, 4 * i + 1, F.lit(4 * WIDTH))))
-
-    all_ = F.element_at(F.transform(F.array(F.encode(line, "UTF-32")), cut), 1)
-    return F.when(F.length(line) < WIDTH, F.array(F.xxhash64(line))).otherwise(all_)
-
-
-def word_shingle_hashes(line: Column) -> Column:
-    """Hashes of the runs of WIDTH characters that begin a word (the line's first run at least)."""
-    return F.transform(F.regexp_extract_all(line, F.lit(rf"(?s)(?<![^{_BEFORE}])(?=([^ ].{{{WIDTH - 1}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
-
-
-def _band_keys(df: DataFrame, hashes: Column, salt: int, out: str) -> DataFrame:
-    """Adds the band keys of a one-permutation signature, null where hashes is.
-
-    A hash's top bits are its bin, so in the sorted hashes each bin's least hash is the first that differs from its predecessor in those bits.
-    An empty bin takes the hash of the next full one, around the end; a band's bins lie far apart, so that they seldom take the same one.
-    """
-    bin_ = lambda h: F.shiftrightunsigned(h, 64 - BITS).cast("int")
-    # Sorting is signed, so bins come in the order 32..63, 0..31; flipping the top bit makes that 0..63.
-    place = lambda h: bin_(h.bitwiseXOR(F.lit(-(1 << 63))))
-    hashed = df.withColumn("_h", F.sort_array(hashes))
-    before = F.concat(F.array(F.bitwise_not(F.get("_h", F.lit(0)))), F.slice("_h", 1, F.size("_h") - 1))
-    firsts = F.zip_with("_h", before, lambda h, p: F.when(F.shiftrightunsigned(h.bitwiseXOR(p), 64 - BITS) != 0, h))
-    least = hashed.withColumn("_m", F.array_except(firsts, F.array(F.lit(None).cast("bigint"))))
-    filled = F.flatten(F.transform("_m", lambda h, i: F.array_repeat(h, place(h) - F.coalesce(place(F.get("_m", i - 1)), F.lit(-1)))))
-    tail = F.array_repeat(F.get("_m", F.lit(0)), BINS - 1 - place(F.element_at("_m", -1)))
-    signed = least.withColumn("_s", F.when(F.size("_m") == BINS, F.col("_m")).otherwise(F.concat(filled, tail)))
-    keys = F.array(*(F.xxhash64(F.lit(salt + k), *(F.get("_s", F.lit(k + r * BANDS)) for r in range(ROWS))) for k in range(BANDS)))
-    return signed.withColumn(out, F.when(F.col("_s").isNotNull(), keys)).drop("_h", "_m", "_s")
-
-
-def with_band_keys(df: DataFrame, line_col: str, out: str) -> DataFrame:
-    """Adds the band keys of a line, which is not empty."""
-    line = F.col(line_col)
-    n = F.length(line)
-    whole = _band_keys(df, F.when(n < SHARED, shingle_hashes(line)), 0, "_whole")
-    both = _band_keys(whole, F.when(n >= SHORT, word_shingle_hashes(line)), 1000, "_starts")
-    none = F.array().cast("array<bigint>")
-    return both.withColumn(out, F.concat(F.coalesce("_whole", none), F.coalesce("_starts", none))).drop("_whole", "_starts")
+#: BANDS keys of ROWS bins each, of a one-permutation signature of all overlapping shingles, for lines of every length. At a similarity of 0.8 a
+#: pair shares no band with probability (1 - 0.8**3)**16 = 1e-5, at 0.9 with 8e-10.
+ROWS, BANDS = 3, 16
+#: Rows that a Python worker is sent at a time.
+BATCH = 1000
+
+SIGNED = "key string, first struct<doc: {doc}, at: int>, n long, line string, size int, keys array<long>"
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to lines their number of distinct shingles and band keys."""
+    for batch in batches:
+        line, at = batch.column(3), 0
+        for found, count in blocks(line, WIDTH):
+            keys = band_keys(signatures(found, count), BANDS, ROWS)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
+            told = batch.slice(at, len(count))
+            yield pa.RecordBatch.from_arrays([*told.columns, pa.array(count, pa.int32()), lists], [*told.schema.names, "size", "keys"])
+            at += len(count)
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keeps the pairs (a, b) whose whole shingle sets are similar enough."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(sets(batch.column(2), WIDTH), sets(batch.column(3), WIDTH), strict=True):
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= SIMILAR * (len(x) + len(y) - both))
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
 def _confirmed(edges: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
     """The edges (a, b) between line ids whose whole shingle sets are similar enough. size is that of a line's set: it rules most others out."""
     side = lambda x: lines.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"), F.col("size").alias(f"size_{x}"))
     both = edges.join(side("a"), "a").join(side("b"), "b").where(F.least("size_a", "size_b") >= SIMILAR * F.greatest("size_a", "size_b"))
-    sets = both.select("a", "b", *(F.array_distinct(shingle_hashes(F.col(f"line_{x}"))).alias(f"set_{x}") for x in "ab"))
-    common = sets.select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
-    return scratch.save(common.where(F.col("both") >= SIMILAR * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"))
+    return scratch.save(both.select("a", "b", "line_a", "line_b").mapInArrow(_linked, "a long, b long"), batch=BATCH)
 
 
 def _parts_of(df: DataFrame, parts: DataFrame) -> DataFrame:
@@ -92,7 +65,8 @@ def line_classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch)
     """
     lines = _lines(docs, id_col, text_col)
     distinct = lines.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("line").alias("line"))
-    known = scratch.save(with_band_keys(distinct, "line", "keys").withColumn("id", F.monotonically_increasing_id()))
+    signed = distinct.select("key", "first", "n", "line").mapInArrow(_sign, SIGNED.format(doc=lines.schema["doc"].dataType.simpleString()))
+    known = scratch.save(signed.withColumn("id", F.monotonically_increasing_id()), batch=BATCH)
     scratch.release()
     members = known.select(F.explode("keys").alias("band"), "id")
     hubs = scratch.save(members.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "hub"))
@@ -100,7 +74,7 @@ def line_classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch)
     shared = scratch.save(members.join(hubs, "band"))
     scratch.release()
     ends = shared.select("id").distinct()
-    texts = scratch.save(known.join(ends, "id", "left_semi").select("id", "line", F.size(F.array_distinct(shingle_hashes(F.col("line")))).alias("size")))
+    texts = scratch.save(known.join(ends, "id", "left_semi").select("id", "line", "size"))
     stars = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     links = _confirmed(stars, texts, scratch)
     parts = scratch.save(connected_components(links, scratch))

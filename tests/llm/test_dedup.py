@@ -1,6 +1,7 @@
 """Exact, near and line dedup against brute force."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -129,3 +130,21 @@ def test_line_dedup(docs, corpus):
 
 def test_line_dedup_of_nothing(empty):
     assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def kept_lines(spark, lines):
+    """Whether each of the lines, that are all in one document and none of which is empty, stays."""
+    got = line_dedup.dedup_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).first()["text"].split("\n")
+    return [x in set(got) for x in lines]
+
+
+def test_line_dedup_of_long_lines_without_spaces(spark):
+    rng = random.Random(3)
+    make = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789,") for _ in range(n))
+    lines, stays = [], []
+    for k in range(30):
+        bare, tabbed, label = make(500), "\t".join(make(9) for _ in range(60)), f"{make(4)} {make(600)}"
+        for x, y in ((bare, f"#{bare[1:]}"), (tabbed, f"{make(9)}{tabbed[9:]}"), (label, f"{make(4)}{label[4:]}")):
+            lines += [x, y]
+            stays += [True, False]
+    assert kept_lines(spark, lines) == stays
