@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
-from .shingles import _BASE, _MASK, mix
+from .shingles import _BASE, mix
 
 #: Characters of text that are hashed at a time; a longer text is a block of its own.
 BLOCK = 1 << 17
@@ -79,21 +80,29 @@ def sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield from np.split(found, np.cumsum(count)[:-1])
 
 
+@cache
+def _donors() -> np.ndarray:
+    """For each bin all bins, in the order in which it asks them: an order of its own from a hash, the same for all texts."""
+    return np.argsort(mix(np.arange(BINS * BINS, dtype=np.uint64), 17).reshape(BINS, BINS), axis=1)
+
+
 def signatures(found: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """A row for each text with the least hash of each bin. An empty bin takes that of the next full one, around the end."""
+    """A row for each text with the least hash of each bin. An empty bin takes that of the first full one in its own order of donors (optimal
+    densification), so that bins agree with the probability of the Jaccard similarity, one by one, however few the hashes are."""
     place = np.repeat(np.arange(len(count)), count) * BINS + (found >> np.uint64(64 - BITS)).astype(np.int64)
     first = np.append(True, place[1:] != place[:-1])
-    least = np.full(len(count) * BINS, _MASK, np.uint64)
+    least = np.zeros(len(count) * BINS, np.uint64)
     full = np.zeros(len(least), bool)
     least[place[first]] = found[first]
     full[place[first]] = True
-    return _filled(least.reshape(-1, BINS), full.reshape(-1, BINS))
-
-
-def _filled(least: np.ndarray, full: np.ndarray) -> np.ndarray:
-    at = np.where(np.tile(full, 2), np.arange(2 * BINS), 2 * BINS)
-    donor = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BINS] % BINS
-    return np.take_along_axis(least, donor, 1)
+    empty = np.flatnonzero(~full)
+    for begin, end in ((0, 4), (4, 16), (16, BINS)):
+        asked = (empty & -BINS)[:, None] + _donors()[empty & (BINS - 1), begin:end]
+        hit = full[asked]
+        some = hit.any(1)
+        least[empty[some]] = least[asked[some, hit[some].argmax(1)]]
+        empty = empty[~some]
+    return least.reshape(-1, BINS)
 
 
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:

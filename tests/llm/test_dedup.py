@@ -148,3 +148,15 @@ def test_line_dedup_of_long_lines_without_spaces(spark):
             lines += [x, y]
             stays += [True, False]
     assert kept_lines(spark, lines) == stays
+
+
+def test_line_dedup_of_short_lines(spark):
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)).replace(" ", "_")
+    lines, stays = [], []
+    for k in range(900):
+        n = 4 + k % 30  # distinct shingles of the shorter line; n / (n + n // 4) is 0.8 or more
+        line = make(n + line_dedup.WIDTH - 1)
+        lines += [line, line + make(n // 4)]
+        stays += [True, False]
+    assert kept_lines(spark, lines) == stays
