@@ -160,3 +160,8 @@ def test_line_dedup_of_short_lines(spark):
         lines += [line, line + make(n // 4)]
         stays += [True, False]
     assert kept_lines(spark, lines) == stays
+
+
+def test_line_dedup_of_repetitive_lines(spark):
+    pairs = [("-" * 250, "-" * 400), ("na " * 40, "na " * 200), ("buy one, get one free! " * 9, "buy one, get one free! " * 40)]
+    assert kept_lines(spark, [x.strip() for pair in pairs for x in pair]) == [True, False] * 3
