@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .char_shingles import band_keys, blocks, sets, signatures
+from .char_shingles import SKETCH, band_keys, blocks, sets, signatures, sketches
 from .common import Scratch, table, text_of
 from .components import connected_components
+from .near_dedup import _load, _open_groups, _second_stars, _with_parts
 
 #: Characters of a shingle; lines are linked at this Jaccard similarity of their shingle sets.
 WIDTH, SIMILAR = 12, 0.8
@@ -22,18 +23,27 @@ ROWS, BANDS = 3, 16
 #: Rows that a Python worker is sent at a time.
 BATCH = 1000
 
-SIGNED = "key string, first struct<doc: {doc}, at: int>, n long, line string, size int, keys array<long>"
+#: Columns of a signature's sketch. At a similarity of 0.8 more than UNLIKE of its 256 bits differ with probability 5e-8; at 0.3 or less with 0.96 or
+#: more. Sets of at most FEW shingles fill few bins, which then err together: their sketches rule nothing out.
+BITS_OF = tuple(f"bits{b}" for b in range(SKETCH))
+UNLIKE, FEW = 72, 16
+#: Members of a block when the rest of a band's or hub's rays is compared, on either side.
+BLOCK_ROWS = 256
+
+SIGNED = "key string, first struct<doc: {doc}, at: int>, n long, line string, size int, keys array<long>, " + ", ".join(f"{x} long" for x in BITS_OF)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds to lines their number of distinct shingles and band keys."""
+    """Adds to lines their number of distinct shingles, band keys and sketch."""
     for batch in batches:
         line, at = batch.column(3), 0
         for found, count in blocks(line, WIDTH):
-            keys = band_keys(signatures(found, count), BANDS, ROWS)
+            signed = signatures(found, count)
+            keys = band_keys(signed, BANDS, ROWS)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
             told = batch.slice(at, len(count))
-            yield pa.RecordBatch.from_arrays([*told.columns, pa.array(count, pa.int32()), lists], [*told.schema.names, "size", "keys"])
+            columns = [*told.columns, pa.array(count, pa.int32()), lists, *map(pa.array, sketches(signed))]
+            yield pa.RecordBatch.from_arrays(columns, [*told.schema.names, "size", "keys", *BITS_OF])
             at += len(count)
 
 
@@ -48,11 +58,86 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
-def _confirmed(edges: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """The edges (a, b) between line ids whose whole shingle sets are similar enough. size is that of a line's set: it rules most others out."""
-    side = lambda x: lines.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"), F.col("size").alias(f"size_{x}"))
-    both = edges.join(side("a"), "a").join(side("b"), "b").where(F.least("size_a", "size_b") >= SIMILAR * F.greatest("size_a", "size_b"))
-    return scratch.save(both.select("a", "b", "line_a", "line_b").mapInArrow(_linked, "a long, b long"), batch=BATCH)
+def _linked_in_block(block: pa.Table) -> pa.Table:
+    """Links of a block's rows that are out to its other rows, of another component."""
+    block = block.combine_chunks()
+    ids, own, out = (block[c].to_numpy() for c in ("id", "own", "out"))
+    found = list(sets(block["line"].combine_chunks() if isinstance(block["line"], pa.ChunkedArray) else block["line"], WIDTH)) if len(ids) else []
+    size = np.array([len(x) for x in found])
+    right = np.flatnonzero(~out)
+    a, b = [], []
+    if len(right):
+        pool, owner = np.concatenate([found[k] for k in right]), np.repeat(np.arange(len(right)), size[right])
+        order = np.argsort(pool, kind="stable")
+        pool, owner = pool[order], owner[order]
+        for k in np.flatnonzero(out):
+            low, high = np.searchsorted(pool, found[k], "left"), np.searchsorted(pool, found[k], "right")
+            runs = high - low
+            at = np.repeat(low - np.append(0, np.cumsum(runs)[:-1]), runs) + np.arange(runs.sum())
+            both = np.bincount(owner[at], minlength=len(right))
+            hit = (own[right] != own[k]) & (both >= SIMILAR * (size[right] + size[k] - both))
+            a += np.minimum(ids[right[hit]], ids[k]).tolist()
+            b += np.maximum(ids[right[hit]], ids[k]).tolist()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _told(x: str) -> list[Column]:
+    """Size and sketch of a line, under names that end in x."""
+    return [F.col(c).alias(f"{c}_{x}") for c in ("size", *BITS_OF)]
+
+
+def _possible() -> Column:
+    """Whether sizes and sketches of lines a and b leave room for a link."""
+    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in BITS_OF), F.lit(0))
+    large = F.greatest("size_a", "size_b")
+    return (F.least("size_a", "size_b") >= SIMILAR * large) & ((large <= FEW) | (apart <= UNLIKE))
+
+
+def _stars(edges: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """The edges (a, b) that are links. Only of those that sizes and sketches leave are the lines gathered."""
+    side = lambda x: lines.select(F.col("id").alias(x), *_told(x))
+    edges = scratch.save(edges.join(side("a"), "a").join(side("b"), "b").where(_possible()).select("a", "b"))
+    text = lambda x: lines.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
+    return scratch.save(edges.join(text("a"), "a").join(text("b"), "b").select("a", "b", "line_a", "line_b").mapInArrow(_linked, "a long, b long"), batch=BATCH)
+
+
+def _dealt(groups: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups(by, id, out, ...) as blocks (by, i, j): those that are out, and all, of at most about BLOCK_ROWS rows each, so that no task
+    holds a whole group; each row that is out meets each row of its group in one block."""
+    sizes = groups.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("all"), F.ceil(F.sum(F.col("out").cast("int")) / BLOCK_ROWS).alias("outs"))
+    rows = groups.join(sizes, by)
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    span = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    left = rows.where("out").withColumns({"i": place("outs"), "j": F.explode(span("all"))})
+    right = rows.withColumns({"i": F.explode(span("outs")), "j": place("all")})
+    return left.drop("all", "outs"), right.drop("all", "outs")
+
+
+def _open_bands(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """(band, hub, id, own, out): the rays of bands with rays in other components (out) than the hub's, where two rays may be linked."""
+    at = _with_parts(_with_parts(shared.where("band is not null"), parts).withColumnRenamed("component", "own"), parts, "hub")
+    told = at.select("band", "hub", "id", "own", (F.col("own") != F.col("component")).alias("out"))
+    mixed = told.groupBy("band").agg(F.max("out").alias("some"), (F.min("own") != F.max("own")).alias("several")).where("some and several")
+    return told.join(mixed.select("band"), "band", "left_semi")
+
+
+def _with_partners(opened: DataFrame, lines: DataFrame) -> DataFrame:
+    """(hub, id) of the rays to which sizes and sketches leave a partner in their band. At most the rays leave the join, never their pairs."""
+    left, right = _dealt(opened.join(lines.select("id", "size", *BITS_OF), "id"), "band")
+    one = left.select("band", "i", "j", "hub", F.col("id").alias("id_a"), F.col("own").alias("own_a"), *_told("a"))
+    other = right.select("band", "i", "j", "hub", F.col("id").alias("id_b"), F.col("own").alias("own_b"), "out", *_told("b"))
+    meets = lambda x, y: [x[c] == y[c] for c in ("band", "i", "j")] + [F.col("own_a") != F.col("own_b"), _possible()]
+    outs = one.join(other, meets(one, other), "left_semi").select("hub", F.col("id_a").alias("id"))
+    ins = other.where("not out").join(one, meets(other, one), "left_semi").select("hub", F.col("id_b").alias("id"))
+    return outs.unionByName(ins).distinct()
+
+
+def _rest(groups: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between members of one hub's group(hub, id, own, out) in different components, of which one at least is out: compared where they
+    stand, so that only links leave a block."""
+    left, right = _dealt(groups, "hub")
+    rows = left.unionByName(right.withColumn("out", F.lit(False))).join(lines.select("id", "line"), "id")
+    return scratch.save(rows.groupBy("hub", "i", "j").applyInArrow(_linked_in_block, "a long, b long").distinct())
 
 
 def _parts_of(df: DataFrame, parts: DataFrame) -> DataFrame:
@@ -70,25 +155,24 @@ def line_classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch)
     known = scratch.save(signed.withColumn("id", F.monotonically_increasing_id()), batch=BATCH)
     scratch.release()
     members = known.select(F.explode("keys").alias("band"), "id")
-    hubs = scratch.save(members.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "hub"))
+    hubs = scratch.save(members.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"))
+    scratch.release()
+    # Two rays can meet only in bands of three and more.
+    shared = scratch.save(members.join(hubs, "band").where("id <> hub").select(F.when(F.col("size") > 2, F.col("band")).alias("band"), "hub", "id"))
     scratch.release()
-    shared = scratch.save(members.join(hubs, "band"))
+    links = _stars(shared.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), known, scratch)
     scratch.release()
-    ends = shared.select("id").distinct()
-    texts = scratch.save(known.join(ends, "id", "left_semi").select("id", "line", "size"))
-    stars = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = _confirmed(stars, texts, scratch)
     parts = scratch.save(connected_components(links, scratch))
-    # Two rays of a star may be similar though the hub is like neither: where a bucket still holds several classes, they are compared.
-    at = _parts_of(shared, parts)
-    mixed = at.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("id", "component"))["component"].alias("main")).where("low <> high")
-    opened = at.join(mixed.select("band", "main"), "band").where("id <> hub")
-    out = opened.where("component <> main").select("band", F.col("id").alias("a"), F.col("component").alias("part_a"))
-    met = out.join(opened.select("band", F.col("id").alias("b"), F.col("component").alias("part_b"), "main"), "band")
-    rest = met.where((F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("main")) | (F.col("a") < F.col("b")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = scratch.save(rest.join(stars, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        links = links.union(_confirmed(rest, texts, scratch))
+    # Two rays of a star may be similar though the hub is like neither: where a band's rays are still in several components, they are compared.
+    rays = scratch.save(_with_partners(scratch.save(_open_bands(shared, parts)), known))
+    scratch.release()
+    groups = scratch.save(_open_groups(rays, parts))
+    if _load(groups) > 16 * groups.count():  # a few more stars may join most of what is apart
+        links = links.union(_stars(_second_stars(groups), known, scratch))
+        parts = scratch.save(connected_components(links, scratch))
+        groups = scratch.save(_open_groups(rays, parts))
+    if groups.limit(1).count():
+        links = links.union(_rest(groups, known, scratch))
         parts = scratch.save(connected_components(links, scratch))
     grouped = _parts_of(known.select("id", "key", "first", "n"), parts)
     keeps = grouped.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("size")).where("size > 1").select("component", "keep")

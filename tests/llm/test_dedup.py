@@ -165,3 +165,22 @@ def test_line_dedup_of_short_lines(spark):
 def test_line_dedup_of_repetitive_lines(spark):
     pairs = [("-" * 250, "-" * 400), ("na " * 40, "na " * 200), ("buy one, get one free! " * 9, "buy one, get one free! " * 40)]
     assert kept_lines(spark, [x.strip() for pair in pairs for x in pair]) == [True, False] * 3
+
+
+def test_line_dedup_compares_rays_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK_ROWS", 8)
+    groups = spark.createDataFrame([(1, k, k % 3 > 0) for k in range(90)], "band long, id long, out boolean")
+    left, right = line_dedup._dealt(groups, "band")
+    assert max(x["count"] for side in (left, right) for x in side.groupBy("band", "i", "j").count().collect()) < 8 * 4
+    met = left.alias("x").join(right.alias("y"), ["band", "i", "j"]).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).collect()
+    assert sorted((r["a"], r["b"]) for r in met) == [(a, b) for a in range(90) if a % 3 for b in range(90)]
+
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    # Many lines are half like the first, and like each other in pairs only.
+    hub, lines, stays = make(300), [], []
+    for k in range(60):
+        line = hub[:190] + make(110)
+        lines += [line, line[:-5] + make(5)]
+        stays += [True, False]
+    assert kept_lines(spark, [hub, *lines]) == [True, *stays]
