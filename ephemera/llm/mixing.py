@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from .common import WHITE, Scratch, table, text_of
 
 #: Documents of a block, roughly, and the most blocks of a source; a budget is met to within a block.
 BLOCK_DOCS, BLOCKS = 64, 4096
-#: Most distinct sources that the driver plans for; beyond that the mix has to be made over groups of sources.
+#: For at most so many distinct sources the exponent is bisected on the driver; for more, by aggregates over their sums, which stay in Spark.
 SOURCES = 100_000
 #: A plan of at most so many cells (a few megabytes) is broadcast, so that texts are not shuffled; a longer one is joined by shuffling.
 BROADCAST_CELLS = 100_000
@@ -57,8 +58,10 @@ def bisect_exponent(tokens: dict[str, float], target: Target) -> float:
 
     if (target.entropy is None) == (target.repeats is None):
         raise ValueError("give either an entropy or a repetition limit")
-    if len(tokens) < 2:
-        return 1.0
+    return 1.0 if len(tokens) < 2 else _bisect(ok, target)
+
+
+def _bisect(ok: Callable[[float], bool], target: Target) -> float:
     low, high = 0.0, 1.0
     if ok(low):
         return low
@@ -70,6 +73,26 @@ def bisect_exponent(tokens: dict[str, float], target: Target) -> float:
     return low if target.entropy is not None else high
 
 
+def _plan(sums: DataFrame, target: Target) -> DataFrame:
+    """(s, epochs, blocks) for any number of sources with sums(s, t, n): what bisect_exponent and _epochs make of them, without a row of them on the driver."""
+    if (target.entropy is None) == (target.repeats is None):
+        raise ValueError("give either an entropy or a repetition limit")
+    low_t, high_t, total = sums.agg(F.min("t"), F.max("t"), F.sum("t")).first()
+    share = F.col("t") / float(total)
+
+    def ok(exponent: float) -> bool:
+        if target.repeats is not None:  # the least source is repeated most, the greatest least
+            return (high_t / low_t) ** (1 - exponent) <= target.repeats
+        raised = F.pow(share, F.lit(exponent))
+        z, told = sums.agg(F.sum(raised), F.sum(raised * F.log(share))).first()
+        return math.log(z) - exponent * told / z < target.entropy
+
+    exponent = _bisect(ok, target)
+    epochs = F.pow(float(high_t) / F.col("t"), F.lit(1 - exponent))
+    blocks = F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.floor(F.col("n") / BLOCK_DOCS))).cast("int")
+    return sums.select("s", epochs.alias("epochs"), blocks.alias("blocks"))
+
+
 def mix(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
     """docs as often as the mix reads them: all columns, with mix_epoch (int), mix_block (int), mix_at (double) and mix_tokens (long).
 
@@ -88,14 +111,16 @@ def mix(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str =
     tokens = F.greatest(F.size(F.array_remove(F.split(words, " "), "")), F.lit(1)).cast("long")
     place = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(BLOCKS)).cast("int")
     cells = scratch.save(docs.select(source.alias("s"), place.alias("cell"), tokens.alias("t")).groupBy("s", "cell").agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n")))
-    sums = cells.groupBy("s").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).limit(SOURCES + 1).collect()
-    if len(sums) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
+    summed = cells.groupBy("s").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    sums = summed.limit(SOURCES + 1).collect()
     if not sums:
         return docs.withColumns({"mix_epoch": F.lit(0), "mix_block": F.lit(0), "mix_at": F.lit(0.0), "mix_tokens": F.lit(1).cast("long")})
-    size = {r["s"]: float(r["t"]) for r in sums}
-    epochs = _epochs(size, weights_for(size, bisect_exponent(size, target)))
-    plan = spark.createDataFrame([(r["s"], epochs[r["s"]], int(max(1, min(BLOCKS, r["n"] // BLOCK_DOCS)))) for r in sums], "s string, epochs double, blocks int")
+    if len(sums) > SOURCES:
+        plan = scratch.save(_plan(scratch.save(summed), target))
+    else:
+        size = {r["s"]: float(r["t"]) for r in sums}
+        epochs = _epochs(size, weights_for(size, bisect_exponent(size, target)))
+        plan = spark.createDataFrame([(r["s"], epochs[r["s"]], int(max(1, min(BLOCKS, r["n"] // BLOCK_DOCS)))) for r in sums], "s string, epochs double, blocks int")
     # Cells are joined to blocks, at most BLOCKS a source, so a window over a source's blocks is bounded.
     blocks = cells.join(plan, "s").withColumn("block", F.col("cell") % F.col("blocks")).groupBy("s", "epochs", "blocks", "block").agg(F.sum("t").alias("t"))
     whole = F.floor(F.col("epochs") + 1e-9).cast("int")

@@ -101,6 +101,16 @@ def test_mix_meets_its_weights_and_loses_nothing(spark):
     assert order[0] != order[1]
 
 
+@pytest.mark.parametrize("target", [mixing.Target(repeats=3), mixing.Target(entropy=1.0)])
+def test_mix_of_more_sources_than_the_driver_plans_for(spark, monkeypatch, target):
+    rows = [(k, "w " * (1 + k % 7), f"s{int(k**0.3)}") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    read = lambda: sorted((r["doc_id"], r["mix_epoch"], r["mix_block"], round(r["mix_at"], 6)) for r in mixing.mix(docs, target).collect())
+    want = read()
+    monkeypatch.setattr(mixing, "SOURCES", 3)
+    assert read() == want
+
+
 def test_mix_of_odd_tables(docs, empty, corpus):
     got = mixing.mix(docs, mixing.Target(repeats=1))
     assert got.count() == len(corpus)
