@@ -1,4 +1,4 @@
-"""Operator 6, toxicity: a weighted lexicon with exception phrases, matched by Aho-Corasick on folded text."""
+"""Operator 6, toxicity: a weighted lexicon with single-word exceptions, matched by Aho-Corasick on folded text."""
 
 from __future__ import annotations
 
