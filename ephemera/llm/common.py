@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\x0c\r"
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Deletes a query's shuffle files when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +32,22 @@ def without_white(text: Column) -> Column:
     return text
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where df has columns called so (in any case), for columns that an operator adds for a while."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Tables written to the shared folder in spark.checkpoint.dir, so that a lost executor loses no work.
 
-    The folder is read from the session. Only where it is unset, as in local tests, a temporary one is made.
+    The folder is read from the session. Where it is unset a temporary one is made in local mode; on a cluster that is an error.
     """
 
     def __init__(self, spark: SparkSession):
@@ -42,33 +55,37 @@ class Scratch:
         context = spark.sparkContext
         root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
         if not root:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = tempfile.mkdtemp(prefix="spark-shared-")
             context.setCheckpointDir(root)
         self.root = f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
         self.count = 0
 
     def save(self, df: DataFrame, batch: int | None = None) -> DataFrame:
-        """Writes df and returns it as read back. batch: rows in an Arrow batch meanwhile, for memory where rows hold whole texts."""
+        """Writes df and returns it as read back; its shuffle files go at once. batch: rows in an Arrow batch meanwhile, for memory where rows
+        hold whole texts."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        was = self.spark.conf.get(ARROW_ROWS)
+        conf = {CLEAN_UP: "true"} | ({ARROW_ROWS: str(batch)} if batch else {})
+        was = {k: self.spark.conf.get(k, None) for k in conf}
         try:
-            if batch:
-                self.spark.conf.set(ARROW_ROWS, batch)
+            for k, v in conf.items():
+                self.spark.conf.set(k, v)
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(ARROW_ROWS, was)
+            for k, v in was.items():
+                if v is None:
+                    self.spark.conf.unset(k)
+                else:
+                    self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
-    def release(self) -> None:
-        """Lets Spark's cleaner delete the shuffle files behind tables that are saved by now; it acts when the driver collects garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a saved table that nothing reads any more."""
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes saved tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for df in tables:
+            path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,104 +1,132 @@
-"""Operator 7, line dedup: fuzzy lines by MinHash of character shingles, exact Jaccard verification and distributed union-find."""
+"""Operator 7, line dedup: fuzzy lines by MinHash of character shingles, exact Jaccard verification and distributed union-find.
+
+Everything runs in DataFrame operations; a line's shingles are hashed and reduced to minima in generated code, as rows of STEP shingles each.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .char_shingles import SKETCH, band_keys, blocks, sets, signatures, sketches
-from .common import Scratch, table, text_of
+from .common import Scratch, fresh, table, text_of
 from .components import connected_components
-from .near_dedup import _load, _open_groups, _second_stars, _with_parts
-
-#: Characters of a shingle; lines are linked at this Jaccard similarity of their shingle sets.
-WIDTH, SIMILAR = 12, 0.8
-#: BANDS keys of ROWS bins each, of a one-permutation signature of all overlapping shingles, for lines of every length. At a similarity of 0.8 a
-#: pair shares no band with probability (1 - 0.8**3)**16 = 1e-5, at 0.9 with 8e-10, for short lines too: 2 of 120,000 random pairs at 0.8 were
-#: lost, with 5 to 125 shingles in their unions.
-ROWS, BANDS = 3, 16
-#: Rows that a Python worker is sent at a time.
-BATCH = 1000
-
-#: Columns of a signature's sketch. At a similarity of 0.8 more than UNLIKE of its 256 bits differ with probability 5e-8; at 0.3 or less with 0.96 or
-#: more. Sets of at most FEW shingles fill few bins, which then err together: their sketches rule nothing out.
-BITS_OF = tuple(f"bits{b}" for b in range(SKETCH))
-UNLIKE, FEW = 72, 16
+from .near_dedup import open_groups, second_stars, with_parts
+
+#: Characters of a shingle; lines are linked at this Jaccard similarity, in tenths, of their shingle sets.
+WIDTH, TENTHS = 12, 8
+#: A signature has FAMILIES * MASKS minima over all overlapping shingles: a family orders them by their 64-bit hashes, rotated by TURN bits a
+#: family; a mask turns the order around, and the masks of a family differ in their highest bits. Two lines agree in a minimum with the
+#: probability of their similarity, however few or many shingles they have.
+FAMILIES, MASKS, TURN = 6, 4, 10
+#: Rows are made of STEP shingles each, so that a line is looked up once for STEP of them.
+STEP = 8
+#: 16 bands of three minima of three families, each minimum in two bands and no two bands with a common pair. In simulations pairs at a
+#: similarity of 0.8 share no band with probability 3e-4 or less, at 0.85 with 5e-5, with 5 to 350 shingles in their unions.
+BANDS = [tuple((3 * s + r) * MASKS + (p ^ turn) for r, turn in enumerate(turns)) for s in (0, 1) for turns in ((0, 0, 0), (0, 1, 2)) for p in range(MASKS)]
+#: A sketch holds eight bits of each minimum, in words of eight. Pairs that agree in fewer than ALIKE of them are not compared; at a similarity of
+#: 0.8 that loses 5e-5 of pairs.
+WORDS, ALIKE = FAMILIES * MASKS // 8, 11
+SKETCH = [f"s{w}" for w in range(WORDS)]
 #: Members of a block when the rest of a band's or hub's rays is compared, on either side.
 BLOCK_ROWS = 256
+#: Pairs of stars that are tried before rays are compared in blocks.
+STARS = 2
+
+
+def _mask(family: int, k: int) -> int:
+    """A mask as a signed 64-bit number; its highest bits are those of k."""
+    low = int.from_bytes(blake2b(bytes((family, k)), digest_size=8).digest(), "little")
+    value = (low >> (MASKS - 1).bit_length()) | k << (64 - (MASKS - 1).bit_length())
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _last(codes: Column) -> Column:
+    """The number of the last shingle of a line given as UTF-32."""
+    return F.greatest(F.lit(0), (F.length(codes) / 4).cast("int") - WIDTH)
+
+
+def _shingle(codes: Column, at: Column) -> Column:
+    """The hash of shingle `at`, counted from 0; a line shorter than a shingle is its only one."""
+    return F.xxhash64(F.substring(codes, at * 4 + 1, F.lit(4 * WIDTH)))
+
+
+def _signatures(lines: DataFrame) -> DataFrame:
+    """(k1, k2, v0, v1, ...): the minima of every line of lines(k1, k2, line), which needs no shuffle where lines are dealt out by k1 and k2."""
+    codes = lines.select("k1", "k2", F.encode("line", "UTF-32").alias("codes")).withColumn("last", _last(F.col("codes")))
+    rows = codes.select("k1", "k2", "codes", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("at"))
+    # Beyond the end the last shingle stands again, which changes no minimum.
+    hashed = rows.select("k1", "k2", *(_shingle(F.col("codes"), F.least("last", F.col("at") + j)).alias(f"h{j}") for j in range(STEP)))
+
+    def turned(h: str, bits: int) -> Column:
+        return F.shiftleft(h, bits).bitwiseOR(F.shiftrightunsigned(h, 64 - bits)) if bits else F.col(h)
+
+    families = hashed.select("k1", "k2", *(turned(f"h{j}", TURN * f).alias(f"h{j}_{f}") for f in range(FAMILIES) for j in range(STEP)))
+    least = lambda f, k: F.min(F.least(*(F.col(f"h{j}_{f}").bitwiseXOR(F.lit(_mask(f, k))) for j in range(STEP))))
+    return families.groupBy("k1", "k2").agg(*(least(f, k).alias(f"v{f * MASKS + k}") for f in range(FAMILIES) for k in range(MASKS)))
+
+
+def _sketch() -> list[Column]:
+    part = lambda w, b: F.shiftleft(F.col(f"v{8 * w + b}").bitwiseAND(F.lit(255)), 8 * b)
+    return [reduce(Column.bitwiseOR, (part(w, b) for b in range(8))).alias(name) for w, name in enumerate(SKETCH)]
 
-SIGNED = "key string, first struct<doc: {doc}, at: int>, n long, line string, size int, keys array<long>, " + ", ".join(f"{x} long" for x in BITS_OF)
-
-
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds to lines their number of distinct shingles, band keys and sketch."""
-    for batch in batches:
-        line, at = batch.column(3), 0
-        for found, count in blocks(line, WIDTH):
-            signed = signatures(found, count)
-            keys = band_keys(signed, BANDS, ROWS)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
-            told = batch.slice(at, len(count))
-            columns = [*told.columns, pa.array(count, pa.int32()), lists, *map(pa.array, sketches(signed))]
-            yield pa.RecordBatch.from_arrays(columns, [*told.schema.names, "size", "keys", *BITS_OF])
-            at += len(count)
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs (a, b) whose whole shingle sets are similar enough."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(sets(batch.column(2), WIDTH), sets(batch.column(3), WIDTH), strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= SIMILAR * (len(x) + len(y) - both))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
-
-
-def _linked_in_block(block: pa.Table) -> pa.Table:
-    """Links of a block's rows that are out to its other rows, of another component."""
-    block = block.combine_chunks()
-    ids, own, out = (block[c].to_numpy() for c in ("id", "own", "out"))
-    found = list(sets(block["line"].combine_chunks() if isinstance(block["line"], pa.ChunkedArray) else block["line"], WIDTH)) if len(ids) else []
-    size = np.array([len(x) for x in found])
-    right = np.flatnonzero(~out)
-    a, b = [], []
-    if len(right):
-        pool, owner = np.concatenate([found[k] for k in right]), np.repeat(np.arange(len(right)), size[right])
-        order = np.argsort(pool, kind="stable")
-        pool, owner = pool[order], owner[order]
-        for k in np.flatnonzero(out):
-            low, high = np.searchsorted(pool, found[k], "left"), np.searchsorted(pool, found[k], "right")
-            runs = high - low
-            at = np.repeat(low - np.append(0, np.cumsum(runs)[:-1]), runs) + np.arange(runs.sum())
-            both = np.bincount(owner[at], minlength=len(right))
-            hit = (own[right] != own[k]) & (both >= SIMILAR * (size[right] + size[k] - both))
-            a += np.minimum(ids[right[hit]], ids[k]).tolist()
-            b += np.maximum(ids[right[hit]], ids[k]).tolist()
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+def _alike(a: list[Column], b: list[Column]) -> Column:
+    """Whether two sketches agree in ALIKE minima or more."""
+    differ = F.lit(0)
+    for x, y in zip(a, b, strict=True):
+        bits = x.bitwiseXOR(y)
+        for shift in (4, 2, 1):  # a byte that is not 0 gets its lowest bit set; bits of higher bytes that come in from above are cut off
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(_low_bits(8 - shift))))
+        differ = differ + F.bit_count(bits.bitwiseAND(F.lit(_low_bits(1))))
+    return differ <= 8 * WORDS - ALIKE
+
+
+def _low_bits(n: int) -> int:
+    """A word whose bytes have their lowest n bits set."""
+    return int.from_bytes(bytes([(1 << n) - 1] * 8), "little")
+
+
+def _hashes(codes: Column) -> Column:
+    """All distinct shingle hashes of a line given as UTF-32; codes must be a stored value, as it is read for every shingle."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), _last(codes)), lambda at: _shingle(codes, at)))
+
+
+def _similar(x: Column, y: Column) -> Column:
+    """Whether two sets of hashes are similar enough."""
+    both = F.size(F.array_intersect(x, y))
+    return 10 * both >= TENTHS * (F.size(x) + F.size(y) - both)
+
+
+def _linked(a: Column, b: Column) -> Column:
+    """Whether two lines are similar enough, by their whole shingle sets."""
+    codes = F.transform(F.array(a, b), lambda line: F.encode(line, "UTF-32"))  # a lambda's argument is a stored value
+    pair = F.transform(F.array(F.transform(codes, _hashes)), lambda sets: _similar(sets[0], sets[1]))
+    return pair[0]
 
 
 def _told(x: str) -> list[Column]:
-    """Size and sketch of a line, under names that end in x."""
-    return [F.col(c).alias(f"{c}_{x}") for c in ("size", *BITS_OF)]
+    """The sketch of a line, under names that end in x."""
+    return [F.col(c).alias(f"{c}_{x}") for c in SKETCH]
 
 
 def _possible() -> Column:
-    """Whether sizes and sketches of lines a and b leave room for a link."""
-    apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in BITS_OF), F.lit(0))
-    large = F.greatest("size_a", "size_b")
-    return (F.least("size_a", "size_b") >= SIMILAR * large) & ((large <= FEW) | (apart <= UNLIKE))
+    """Whether the sketches of lines a and b leave room for a link."""
+    return _alike([F.col(f"{c}_a") for c in SKETCH], [F.col(f"{c}_b") for c in SKETCH])
 
 
-def _stars(edges: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """The edges (a, b) that are links. Only of those that sizes and sketches leave are the lines gathered."""
-    side = lambda x: lines.select(F.col("id").alias(x), *_told(x))
-    edges = scratch.save(edges.join(side("a"), "a").join(side("b"), "b").where(_possible()).select("a", "b"))
-    text = lambda x: lines.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
-    return scratch.save(edges.join(text("a"), "a").join(text("b"), "b").select("a", "b", "line_a", "line_b").mapInArrow(_linked, "a long, b long"), batch=BATCH)
+def _stars(edges: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
+    """The edges (a, b) that are links. Only of those that sketches leave are the lines gathered."""
+    side = lambda x: known.select(F.col("id").alias(x), *_told(x))
+    possible = scratch.save(edges.join(side("a"), "a").join(side("b"), "b").where(_possible()).select("a", "b"))
+    ends = possible.select(F.col("a").alias("id")).union(possible.select("b")).distinct()
+    texts = scratch.save(known.select("id", "line").join(ends, "id", "left_semi"))
+    text = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
+    links = scratch.save(possible.join(text("a"), "a").join(text("b"), "b").where(_linked(F.col("line_a"), F.col("line_b"))).select("a", "b"))
+    scratch.drop(possible, texts)
+    return links
 
 
 def _dealt(groups: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
@@ -115,15 +143,15 @@ def _dealt(groups: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
 
 def _open_bands(shared: DataFrame, parts: DataFrame) -> DataFrame:
     """(band, hub, id, own, out): the rays of bands with rays in other components (out) than the hub's, where two rays may be linked."""
-    at = _with_parts(_with_parts(shared.where("band is not null"), parts).withColumnRenamed("component", "own"), parts, "hub")
+    at = with_parts(with_parts(shared.where("band is not null"), parts).withColumnRenamed("component", "own"), parts, "hub")
     told = at.select("band", "hub", "id", "own", (F.col("own") != F.col("component")).alias("out"))
     mixed = told.groupBy("band").agg(F.max("out").alias("some"), (F.min("own") != F.max("own")).alias("several")).where("some and several")
     return told.join(mixed.select("band"), "band", "left_semi")
 
 
-def _with_partners(opened: DataFrame, lines: DataFrame) -> DataFrame:
-    """(hub, id) of the rays to which sizes and sketches leave a partner in their band. At most the rays leave the join, never their pairs."""
-    left, right = _dealt(opened.join(lines.select("id", "size", *BITS_OF), "id"), "band")
+def _with_partners(opened: DataFrame, known: DataFrame) -> DataFrame:
+    """(hub, id) of the rays to which sketches leave a partner in their band. At most the rays leave the join, never their pairs."""
+    left, right = _dealt(opened.join(known.select("id", *SKETCH), "id"), "band")
     one = left.select("band", "i", "j", "hub", F.col("id").alias("id_a"), F.col("own").alias("own_a"), *_told("a"))
     other = right.select("band", "i", "j", "hub", F.col("id").alias("id_b"), F.col("own").alias("own_b"), "out", *_told("b"))
     meets = lambda x, y: [x[c] == y[c] for c in ("band", "i", "j")] + [F.col("own_a") != F.col("own_b"), _possible()]
@@ -132,12 +160,22 @@ def _with_partners(opened: DataFrame, lines: DataFrame) -> DataFrame:
     return outs.unionByName(ins).distinct()
 
 
-def _rest(groups: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links between members of one hub's group(hub, id, own, out) in different components, of which one at least is out: compared where they
-    stand, so that only links leave a block."""
+def _rest(groups: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a line, a component) between members of one hub's group(hub, id, own, out) in different components, of which one at least is out:
+    compared in blocks where they stand, so that at most one link for a line and a component leaves a block."""
     left, right = _dealt(groups, "hub")
-    rows = left.unionByName(right.withColumn("out", F.lit(False))).join(lines.select("id", "line"), "id")
-    return scratch.save(rows.groupBy("hub", "i", "j").applyInArrow(_linked_in_block, "a long, b long").distinct())
+    rows = left.unionByName(right.withColumn("out", F.lit(False))).join(known.select("id", "line", *SKETCH), "id")
+    entry = F.struct("id", "own", *SKETCH, F.encode("line", "UTF-32").alias("codes"))
+    blocks = rows.groupBy("hub", "i", "j").agg(F.collect_list(F.when(F.col("out"), entry)).alias("xs"), F.collect_list(F.when(~F.col("out"), entry)).alias("ys"))
+    with_sets = lambda side: F.transform(side, lambda r: F.struct(r["id"], r["own"], *(r[c] for c in SKETCH), _hashes(r["codes"]).alias("hashes")))
+
+    def of_line(x: Column, ys: Column) -> Column:
+        met = F.filter(ys, lambda y: (x["own"] != y["own"]) & _alike([x[c] for c in SKETCH], [y[c] for c in SKETCH]) & _similar(x["hashes"], y["hashes"]))
+        return F.array_distinct(F.transform(met, lambda y: F.struct(x["id"].alias("a"), y["own"].alias("b"))))
+
+    both = F.array(F.struct(with_sets(F.col("xs")).alias("xs"), with_sets(F.col("ys")).alias("ys")))
+    found = F.transform(both, lambda block: F.flatten(F.transform(block["xs"], lambda x: of_line(x, block["ys"]))))
+    return scratch.save(blocks.select(F.explode(found[0]).alias("link")).select("link.a", "link.b").distinct())
 
 
 def _parts_of(df: DataFrame, parts: DataFrame) -> DataFrame:
@@ -145,68 +183,81 @@ def _parts_of(df: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """(key, keep): for every line that is not alone in its class, the place struct<doc, at> of the line that stays, the first of all.
+    """(k1, k2, keep): for every line that is not alone in its class, the place struct<doc, at> of the line that stays, the first of all.
 
-    key is the md5 of the trimmed line. Blank lines have no class.
+    k1 and k2 are 128 bits of the trimmed line's hash. Blank lines have no class.
     """
-    lines = _lines(docs, id_col, text_col)
-    distinct = lines.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("line").alias("line"))
-    signed = distinct.select("key", "first", "n", "line").mapInArrow(_sign, SIGNED.format(doc=lines.schema["doc"].dataType.simpleString()))
-    known = scratch.save(signed.withColumn("id", F.monotonically_increasing_id()), batch=BATCH)
-    scratch.release()
+    distinct = _lines(docs, id_col, text_col).groupBy("k1", "k2").agg(F.any_value("line").alias("line"), F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
+    # Both sides are dealt out alike, so the lines are shuffled once; of a partition's signatures a table is made.
+    signed = distinct.join(_signatures(distinct).hint("shuffle_hash"), ["k1", "k2"])
+    keys = F.array(*(F.xxhash64(F.lit(b), *(f"v{v}" for v in values)) for b, values in enumerate(BANDS)))
+    known = scratch.save(signed.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "first", "n", "line", *_sketch(), keys.alias("keys")))
+
     members = known.select(F.explode("keys").alias("band"), "id")
     hubs = scratch.save(members.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"))
-    scratch.release()
     # Two rays can meet only in bands of three and more.
     shared = scratch.save(members.join(hubs, "band").where("id <> hub").select(F.when(F.col("size") > 2, F.col("band")).alias("band"), "hub", "id"))
-    scratch.release()
+    scratch.drop(hubs)
     links = _stars(shared.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), known, scratch)
-    scratch.release()
-    parts = scratch.save(connected_components(links, scratch))
+    parts = connected_components(links, scratch)
     # Two rays of a star may be similar though the hub is like neither: where a band's rays are still in several components, they are compared.
-    rays = scratch.save(_with_partners(scratch.save(_open_bands(shared, parts)), known))
-    scratch.release()
-    groups = scratch.save(_open_groups(rays, parts))
-    if _load(groups) > 16 * groups.count():  # a few more stars may join most of what is apart
-        links = links.union(_stars(_second_stars(groups), known, scratch))
-        parts = scratch.save(connected_components(links, scratch))
-        groups = scratch.save(_open_groups(rays, parts))
-    if groups.limit(1).count():
+    opened = scratch.save(_open_bands(shared, parts))
+    rays = scratch.save(_with_partners(opened, known))
+    scratch.drop(shared, opened)
+    groups = scratch.save(open_groups(rays, parts))
+    for k in range(STARS):  # a few more stars join most of what is apart
+        if groups.isEmpty():
+            break
+        links = links.union(_stars(second_stars(groups, k), known, scratch))
+        scratch.drop(parts, groups)
+        parts = connected_components(links, scratch)
+        groups = scratch.save(open_groups(rays, parts))
+    if not groups.isEmpty():
         links = links.union(_rest(groups, known, scratch))
-        parts = scratch.save(connected_components(links, scratch))
-    grouped = _parts_of(known.select("id", "key", "first", "n"), parts)
+        scratch.drop(parts)
+        parts = connected_components(links, scratch)
+    scratch.drop(rays, groups)
+    grouped = _parts_of(known.select("id", "k1", "k2", "first", "n"), parts)
     keeps = grouped.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("size")).where("size > 1").select("component", "keep")
-    return scratch.save(grouped.join(keeps, "component").select("key", "keep"))
+    classes = scratch.save(grouped.join(keeps, "component").select("k1", "k2", "keep"))
+    scratch.drop(known, parts)
+    return classes
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, at, line, key) of the lines that are not blank; line is trimmed of spaces and carriage returns."""
+    """(doc, at, line, k1, k2) of the lines that are not blank; line is trimmed of spaces, tabs and carriage returns."""
     rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_of(text_col), "\n")).alias("at", "raw"))
-    return rows.select("doc", "at", F.btrim("raw", F.lit(" \t\r")).alias("line")).where("line <> ''").withColumn("key", F.md5("line"))
+    lines = rows.select("doc", "at", F.btrim("raw", F.lit(" \t\r")).alias("line")).where("line <> ''")
+    return lines.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, with the lines removed from its texts that are copies or near-copies of a line that stays, and with
-    n_lines and n_dropped (long).
+    n_lines and n_dropped (long), which replace columns of these names.
 
-    Lines end at a line feed. Lines whose trimmed texts are equal, or linked by a chain of pairs with a Jaccard similarity of SIMILAR or more
+    Lines end at a line feed. Lines whose trimmed texts are equal, or linked by a chain of pairs with a Jaccard similarity of 0.8 or more
     over character shingles, form a class; the line with the smallest (id, line number) stays. Blank lines are never copies.
     Null texts count as empty, and rows stay even when no line does. Repeated rows with one id are one document: their lines stand at the
-    same places, so all of them keep a line that stays. Columns may have any names but _drop; an empty table gives an empty result.
+    same places, so all of them keep a line that stays. Null ids are one document, the first. Texts and lines of any length are read whole. Other
+    columns may have any names and keep their values; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
     classes = line_classes(docs, id_col, text_col, scratch)
-    here = _lines(docs, id_col, text_col).select("doc", "at", "key").join(classes, "key")
-    drops = here.where(~(F.col("doc").eqNullSafe(F.col("keep.doc")) & (F.col("at") == F.col("keep.at")))).groupBy("doc").agg(F.collect_set("at").alias("_drop"))
-    drops = scratch.save(drops.withColumnRenamed("doc", "_doc"))
-    scratch.release()
+    here = _lines(docs, id_col, text_col).select("doc", "at", "k1", "k2").join(classes, ["k1", "k2"])
+    gone = here.where(~(F.col("doc").eqNullSafe(F.col("keep.doc")) & (F.col("at") == F.col("keep.at")))).groupBy("doc").agg(F.collect_set("at").alias("ats"))
+    doc, ats = fresh(docs, "doc", "ats")
+    drops = scratch.save(gone.select(F.col("doc").alias(doc), F.col("ats").alias(ats)))
+    scratch.drop(classes)
     # Merged at every size: what is dropped grows with the documents, so a broadcast on small tables would not hold on large ones.
-    rows = docs.join(drops.hint("merge"), docs[id_col].eqNullSafe(drops["_doc"]), "left").drop("_doc")
+    rows = docs.join(drops.hint("merge"), docs[id_col].eqNullSafe(drops[doc]), "left")
     lines = F.split(text_of(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_drop", i)), "\n")
-    n = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(" \t\r")) != "")).cast("long")
-    told = rows.withColumn("n_lines", n).withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-    return told.withColumn(text_col, F.when(F.col("_drop").isNull(), text_of(text_col)).otherwise(kept)).drop("_drop")
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(ats, i)), "\n")
+    counts = {
+        "n_lines": F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(" \t\r")) != "")).cast("long"),
+        "n_dropped": F.coalesce(F.size(ats), F.lit(0)).cast("long"),
+    }
+    text = F.when(F.col(ats).isNull(), text_of(text_col)).otherwise(kept).alias(text_col)
+    return rows.select(*(text if c == text_col else docs[c] for c in docs.columns if c not in counts), *(v.alias(c) for c, v in counts.items()))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

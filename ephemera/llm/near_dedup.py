@@ -26,6 +26,8 @@ DEVIATION = (0.25 / KEPT) ** 0.5
 BATCH = 500
 #: Members of a block when the rest of a hub's rays is compared, on either side.
 BLOCK_ROWS = 256
+#: Pairs of stars that are tried before rays are compared in blocks.
+STARS = 2
 
 SIGNED = "id long, n long, d1 long, d2 long, keys array<long>, bins array<short>"
 
@@ -109,8 +111,10 @@ class _Linker:
         """Links between members of one hub's group(hub, id, own, out) in different components, of which one at least is out.
 
         Groups are dealt out as blocks of at most about BLOCK_ROWS members on either side, so that no task holds a whole one;
-        the pairs of a block are compared where they stand, and only links leave it.
+        the pairs of a block are compared where they stand, and at most one link for a member and a component, which stands for its least
+        node, leaves it.
         """
+        # Sizes are counted map-side first and joined by a merge, so a hot hub's rows are split while it runs.
         sizes = groups.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("all"), F.ceil(F.sum(F.col("out").cast("int")) / BLOCK_ROWS).alias("outs"))
         rows = groups.join(sizes, "hub")
         place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
@@ -146,9 +150,9 @@ def _linked_in_block(block: pa.Table, width: int, share: int) -> pa.Table:
         at = np.repeat(low - np.append(0, np.cumsum(runs)[:-1]), runs) + np.arange(runs.sum())
         both = np.bincount(owner[at], minlength=len(right))
         hit = (own[right] != own[k]) & (100 * both >= share * (sizes[right] + sizes[k] - both))
-        for m in ids[right[hit]]:
-            a.append(min(m, ids[k]))
-            b.append(max(m, ids[k]))
+        other = np.unique(own[right[hit]])
+        a += [ids[k]] * len(other)
+        b += other.tolist()
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -164,11 +168,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. Classes meet in banded buckets. In each bucket the smallest id is the hub of a star: at most one candidate edge for each row.
     3. Edges that sizes or signatures rule out go; the rest is confirmed on full sets: first one edge for each document, then
        those that still join two components.
-    4. A star can miss a link between two of its rays. Where a hub's rays are still in several components, a second pair of stars is
-       tried if there are many, and then each ray outside the hub's component is compared with the hub's rays in other components, in blocks:
-       no link is lost.
+    4. A star can miss a link between two of its rays. Where a hub's rays are still in several components, STARS more pairs of stars are
+       tried, and then each ray outside the hub's component is compared with the hub and its rays in other components, in blocks. So of two
+       documents that share a bucket no link is lost.
 
-    Null and empty texts, and texts without words, have an empty set: n_shingles 0, linked with nothing. Rows that share an id are one
+    Rows with a null id have their n_shingles and the component of their text's class; they name no component but their own null one. Null and empty texts, and texts without words, have an empty set: n_shingles 0, linked with nothing. Rows that share an id are one
     document (the least text counts for links). Other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
@@ -179,63 +183,63 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     members = classes.select(F.explode("keys").alias("key"), "id")
     hubs = scratch.save(members.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "hub"))
-    shared = scratch.save(members.join(hubs, "key"))
+    shared = scratch.save(members.join(hubs, "key").select("hub", "id").distinct())
+    scratch.drop(hubs)
     linker = _Linker(docs, classes, scratch, width, share)
-
-    rays = scratch.save(shared.where("id <> hub").select("hub", "id").distinct())
     linker.gather(shared.select("id"))
-    possible = scratch.save(linker.possible(rays.select(F.col("hub").alias("a"), F.col("id").alias("b"))))
+    possible = scratch.save(linker.possible(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))))
     links = linker.links(possible.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    parts = scratch.save(connected_components(links, scratch))
+    parts = connected_components(links, scratch)
     links = links.union(linker.links(_crossing(possible, parts)))
-    parts = scratch.save(connected_components(links, scratch))
-
-    opened = scratch.save(_open_groups(rays, parts))
-    if _load(opened) > 16 * opened.count():  # a few more stars may join most of what is apart
-        links = links.union(linker.links(linker.possible(_second_stars(opened))))
-        parts = scratch.save(connected_components(links, scratch))
-        opened = scratch.save(_open_groups(rays, parts))
-    if opened.limit(1).count():
+    scratch.drop(parts, possible)
+    parts = connected_components(links, scratch)
+
+    opened = scratch.save(open_groups(shared, parts))
+    for k in range(STARS):  # a few more stars join most of what is apart
+        if opened.isEmpty():
+            break
+        links = links.union(linker.links(linker.possible(second_stars(opened, k))))
+        scratch.drop(parts, opened)
+        parts = connected_components(links, scratch)
+        opened = scratch.save(open_groups(shared, parts))
+    if not opened.isEmpty():
         links = links.union(linker.rest(opened))
-        parts = scratch.save(connected_components(links, scratch))
+        scratch.drop(parts)
+        parts = connected_components(links, scratch)
+    scratch.drop(linker.texts, shared, opened)
     rep = signed.join(classes.select("d1", "d2", F.col("id").alias("rep")), ["d1", "d2"], "left")
     told = rep.select("id", "n", F.coalesce("rep", "id").alias("rep")).join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     out = told.select("id", "n", F.coalesce("component", "rep").alias("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _open_groups(rays: DataFrame, parts: DataFrame) -> DataFrame:
+def open_groups(rays: DataFrame, parts: DataFrame) -> DataFrame:
     """(hub, id, own, out): the rays of hubs with rays in other components (out) than the hub's own, where two rays may be linked."""
-    at = _with_parts(_with_parts(rays, parts).withColumnRenamed("component", "own"), parts, "hub")
+    at = with_parts(with_parts(rays, parts).withColumnRenamed("component", "own"), parts, "hub")
     told = at.select("hub", "id", "own", (F.col("own") != F.col("component")).alias("out"))
     mixed = told.groupBy("hub").agg(F.max("out").alias("some"), (F.min("own") != F.max("own")).alias("several")).where("some and several")
     return told.join(mixed.select("hub"), "hub", "left_semi")
 
 
-def _load(opened: DataFrame) -> int:
-    """Pairs that rest() would compare, at most."""
-    pairs = opened.groupBy("hub").agg((F.sum(F.col("out").cast("long")) * F.count(F.lit(1))).alias("pairs"))
-    return pairs.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
-
-
-def _second_stars(opened: DataFrame) -> DataFrame:
+def second_stars(opened: DataFrame, salt: int = 0) -> DataFrame:
     """(a, b): stars around one further member on either side of each group, to the members of other components."""
-    pick = F.struct(F.xxhash64("id"), "id", "own")
+    pick = F.struct(F.xxhash64(F.lit(salt), "id"), "id", "own")
     centres = opened.groupBy("hub").agg(F.min(F.when(F.col("out"), pick)).alias("far"), F.min(F.when(~F.col("out"), pick)).alias("near"))
     rows = opened.select("hub", "id", "own").join(centres, "hub").select("id", "own", F.explode(F.array("far", "near")).alias("c"))
     met = rows.where(F.col("own") != F.col("c.own"))
     return met.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
 
 
-def _with_parts(df: DataFrame, parts: DataFrame, column: str = "id") -> DataFrame:
+def with_parts(df: DataFrame, parts: DataFrame, column: str = "id") -> DataFrame:
+    """Adds the component of a column's nodes; a node without links is its own."""
     named = parts.select(F.col("node").alias(column), "component")
     return df.join(named, column, "left").withColumn("component", F.coalesce("component", column))
 
 
 def _crossing(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """Edges whose ends are in different components."""
-    a = _with_parts(edges, parts, "a").withColumnRenamed("component", "part_a")
-    return _with_parts(a, parts, "b").where("part_a <> component").select("a", "b")
+    a = with_parts(edges, parts, "a").withColumnRenamed("component", "part_a")
+    return with_parts(a, parts, "b").where("part_a <> component").select("a", "b")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,7 +101,7 @@ def test_connected_components(spark, edges):
     assert {r["node"]: r["component"] for r in got.collect()} == {x: union.find(x) for x in nodes}
 
 
-def lines_left(rows, width=line_dedup.WIDTH, similar=line_dedup.SIMILAR):
+def lines_left(rows, width=line_dedup.WIDTH, similar=line_dedup.TENTHS / 10):
     clean = lambda x: x.strip(" \t\r")
     first = {}
     for i, t in sorted(rows, key=lambda r: r[0]):
