@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import number_text, round_half_up
+from .numeric import round_half_up
 
 HOUR_MS, MINUTE_MS, DAY_MS = 3_600_000, 60_000, 86_400_000
 #: Part of every identifier after the @; identifiers stay the same between runs for one domain.
@@ -56,8 +56,8 @@ def local_date(ms: Column, offset: Column) -> Column:
     return date_of(ms + offset.cast("bigint") * HOUR_MS)
 
 
-def sun_uid(kind: Column, day: Column, lat: Column, lon: Column, domain: str = DOMAIN) -> Column:
-    return F.concat(F.concat_ws("-", kind, date_digits(day), number_text(lat), number_text(lon)), F.lit(f"@{domain}"))
+def sun_uid(kind: Column, day: Column, lat_text: Column, lon_text: Column, domain: str = DOMAIN) -> Column:
+    return F.concat(F.concat_ws("-", kind, date_digits(day), lat_text, lon_text), F.lit(f"@{domain}"))
 
 
 def indexed_uid(kind: str, idx: Column, year: Column, domain: str = DOMAIN) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..functions.numeric import number_text
 from .celestial import ORDER
 
 CRLF = "\r\n"
@@ -46,7 +45,7 @@ def _head(product: str, title: Column) -> list[Column | str]:
 
 def sun_feed_lines(labelled: DataFrame, product: str = "-//Ephemera//Sunrise Calendar//EN") -> DataFrame:
     """(location_id, filename, head, day, kind_rank, body): every event's text, with its feed's head. head is the same in all rows of a feed."""
-    lat, lon = number_text(F.col("lat")), number_text(F.col("lon"))
+    lat, lon = F.col("lat_text"), F.col("lon_text")
     title = F.concat(F.lit("Sunrise & Sunset ("), lat, F.lit(", "), lon, F.lit(")"))
     head = _block(*_head(product, title), zone_text(F.col("tz_id"), F.col("offset_hours")))
     summary = F.when(F.col("kind") == "sunrise", "Sunrise").otherwise("Sunset")
@@ -57,7 +56,7 @@ def sun_feed_lines(labelled: DataFrame, product: str = "-//Ephemera//Sunrise Cal
 def sun_feeds(lines: DataFrame) -> DataFrame:
     """(feed_id, filename, ics), one row per location, events by day, sunrise first. A feed's size is bounded by its window."""
     bodies = F.transform(F.array_sort(F.collect_list(F.struct("day", "kind_rank", "body"))), lambda x: x["body"])
-    feeds = lines.groupBy("location_id").agg(F.min("filename").alias("filename"), F.min("head").alias("head"), bodies.alias("bodies"))
+    feeds = lines.groupBy("location_id").agg(F.any_value("filename").alias("filename"), F.any_value("head").alias("head"), bodies.alias("bodies"))
     return feeds.select(F.col("location_id").cast("string").alias("feed_id"), "filename", F.concat_ws(CRLF, "head", F.array_join("bodies", CRLF), F.lit("END:VCALENDAR")).alias("ics"))
 
 
@@ -79,18 +78,26 @@ def write_feed_table(feeds: DataFrame, path: str) -> None:
 def write_feed_files(lines: DataFrame, directory: str, tasks: int | None = None) -> None:
     """One file per feed from sun_feed_lines(), written by the tasks as rows stream by: no feed is ever held whole.
 
-    directory: any address that pyarrow's file systems open. Files are overwritten, so a task that runs again does no harm.
+    directory: any address that pyarrow's file systems open. Files are overwritten, so a task that runs again does no harm. Places with equal
+    coordinates have one feed and one file, so a file's rows are all in one task and those of its first place are written.
     """
-    dealt = lines.repartition(*([tasks] if tasks else []), "location_id").sortWithinPartitions("location_id", "day", "kind_rank")
-    dealt.select("filename", "head", "body").foreachPartition(_FileWriter(directory))
+    dealt = lines.repartition(*([tasks] if tasks else []), "filename").sortWithinPartitions("filename", "location_id", "day", "kind_rank")
+    dealt.select("filename", "location_id", "head", "body").foreachPartition(_FileWriter(directory))
+
+
+def write_whole_feeds(feeds: DataFrame, directory: str) -> None:
+    """One file per row of feeds(filename, ics), such as celestial_feed() or sun_feeds() make, with its text byte for byte."""
+    feeds.select("filename", F.lit(0).alias("location_id"), F.col("ics").alias("head"), F.lit(None).cast("string").alias("body")).foreachPartition(_FileWriter(directory))
 
 
 class _FileWriter:
+    """Writes rows (filename, location_id, head, body) that stand together by file and place. A head without body is the whole text."""
+
     def __init__(self, directory: str):
         self.directory = directory
 
     def __call__(self, rows: Iterator[Row]) -> None:
-        from itertools import groupby
+        from itertools import chain, groupby
 
         from pyarrow import fs
 
@@ -98,8 +105,11 @@ class _FileWriter:
         system.create_dir(root, recursive=True)
         for name, events in groupby(rows, key=lambda r: r["filename"]):
             with system.open_output_stream(f"{root}/{name}") as out:
-                for i, row in enumerate(events):
-                    if not i:
-                        out.write(row["head"].encode())
-                    out.write((CRLF + row["body"]).encode())
+                first = next(events)
+                out.write(first["head"].encode())
+                if first["body"] is None:
+                    continue
+                for row in chain([first], events):
+                    if row["location_id"] == first["location_id"]:
+                        out.write((CRLF + row["body"]).encode())
                 out.write(f"{CRLF}END:VCALENDAR".encode())

@@ -19,9 +19,12 @@ def with_phase(df: DataFrame, ms: str, out: str = "phase") -> DataFrame:
     return chain(df, lunar.STEPS, {"ms": F.col(ms)}, {"phase": out}, prefix=f"_{out}_")
 
 
-def daily_phases(spark: SparkSession, window: Window) -> DataFrame:
-    """(chunk, ms, phase) of the daily samples, the window's end included."""
-    return with_phase(spines.samples(spark, window), "ms")
+def daily_phases(spark: SparkSession, window: Window, overlap: bool = True) -> DataFrame:
+    """(chunk, ms, phase) of the daily samples, the window's end included. overlap: inner samples at a chunk's edge stand in both of its chunks."""
+    rows = spines.samples(spark, window)
+    if not overlap:
+        rows = rows.where((F.col("chunk") == 0) | (F.col("ms") > window.start_ms + F.col("chunk") * spines.CHUNK * DAY_MS))
+    return with_phase(rows, "ms")
 
 
 def crossings(daily: DataFrame) -> DataFrame:

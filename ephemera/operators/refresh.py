@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import labels
+from ..functions.numeric import number_text
 
-def one_per_uid(labelled: DataFrame) -> DataFrame:
-    """The first event of each identifier by day; near the polar circle two events can share one."""
-    order = F.struct("day", "event_ms")
-    return labelled.groupBy("uid").agg(F.min_by(F.struct("location_id", "lat", "lon", "day", "kind", "event_ms"), order).alias("e")).select("uid", "e.*")
+
+def one_per_uid(labelled: DataFrame, domain: str = labels.DOMAIN) -> DataFrame:
+    """(uid, location_id, lat, lon, day, kind, event_ms): the first event of each identifier by day, instant and place.
+
+    Near the polar circle two events can share an identifier, and so do places with equal coordinates (sources.locations.shared_coordinates()
+    reports those). Events are grouped by what an identifier is made of, and the text is made for one of each group.
+    """
+    first = labelled.groupBy("lat", "lon", "kind", "local_date").agg(F.min(F.struct("day", "event_ms", "location_id")).alias("e"))
+    uid = labels.sun_uid(F.col("kind"), F.col("local_date"), number_text(F.col("lat")), number_text(F.col("lon")), domain)
+    return first.select(uid.alias("uid"), "e.location_id", "lat", "lon", "e.day", "kind", "e.event_ms")
 
 
 def refresh_diff(old: DataFrame, new: DataFrame) -> DataFrame:

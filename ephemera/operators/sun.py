@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels, solar
+from ..functions.numeric import number_text
 from ..functions.steps import chain
 from ..sources.spines import Window, day_array, day_ms
 
@@ -22,41 +23,61 @@ def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
-def sun_times(locations: DataFrame, window: Window, tasks: int | None = None) -> DataFrame:
-    """(location_id, lat, lon, day, rise_ms, set_ms): one row per location and UTC day; null instants where the sun neither rises nor sets."""
-    rows = spread(locations.select("location_id", "lat", "lon"), tasks)
+def sun_times(locations: DataFrame, window: Window, tasks: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(location_id, lat, lon, *keep, day, rise_ms, set_ms): one row per location and UTC day; null instants where the sun neither rises nor sets.
+
+    keep: further columns of locations.
+    """
+    rows = spread(locations.select("location_id", "lat", "lon", *keep), tasks)
     daily = rows.withColumn("day", F.explode(day_array(window)))
     inputs = {"lat": F.col("lat"), "lon": F.col("lon"), "day_ms": day_ms(F.col("day"))}
     return chain(daily, solar.STEPS, inputs, {"rise_ms": "rise_ms", "set_ms": "set_ms"})
 
 
-def sun_events(locations: DataFrame, window: Window, tasks: int | None = None) -> DataFrame:
-    """(location_id, lat, lon, day, kind_rank, kind, event_ms): the events that exist, two a day at most.
+def sun_events(locations: DataFrame, window: Window, tasks: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(location_id, lat, lon, *keep, day, kind_rank, kind, event_ms): the events that exist, two a day at most.
 
     day is the UTC day that was sampled; an event's local date may be the day before or after. One narrow stage: no exchange follows the
     spreading of the locations.
     """
     both = F.array(*(F.struct(F.lit(rank).alias("kind_rank"), F.lit(kind).alias("kind"), F.col(ms).alias("event_ms")) for rank, kind, ms in KINDS))
-    rows = sun_times(locations, window, tasks).withColumn("e", F.explode(both))
-    return rows.select("location_id", "lat", "lon", "day", "e.*").where("event_ms is not null")
+    rows = sun_times(locations, window, tasks, keep).withColumn("e", F.explode(both))
+    return rows.select("location_id", "lat", "lon", *keep, "day", "e.*").where("event_ms is not null")
+
+
+#: What is the same for all events of a place: the offset from UTC, its zone, and the coordinates as text.
+PLACE = ("offset_hours", "tz_id", "lat_text", "lon_text")
+
+
+def with_place(df: DataFrame) -> DataFrame:
+    """Adds PLACE. Before the days multiply it costs a place what it would cost every event after."""
+    rows = df.withColumns({"offset_hours": labels.offset_hours(F.col("lon")), "lat_text": number_text(F.col("lat")), "lon_text": number_text(F.col("lon"))})
+    return rows.withColumn("tz_id", labels.zone_label(F.col("offset_hours")))
+
+
+def labelled_events(locations: DataFrame, window: Window, domain: str = labels.DOMAIN, tasks: int | None = None) -> DataFrame:
+    """The sun events with their labels: with_labels(sun_events(...)), with what belongs to a place told once for the place."""
+    return with_labels(sun_events(with_place(locations), window, tasks, PLACE), domain)
 
 
 def with_labels(events: DataFrame, domain: str = labels.DOMAIN) -> DataFrame:
-    """Adds end_ms, offset_hours, tz_id, local_date, local_start, local_end and uid."""
+    """Adds end_ms, local_date, local_start, local_end and uid, and PLACE where events lack it."""
+    rows = events if set(PLACE) <= set(events.columns) else with_place(events)
     offset = F.col("offset_hours")
-    rows = events.withColumn("end_ms", F.col("event_ms") + labels.MINUTE_MS).withColumn("offset_hours", labels.offset_hours(F.col("lon")))
-    return rows.withColumn("local_date", labels.local_date(F.col("event_ms"), offset)).select(
-        *events.columns,
-        "end_ms",
-        "offset_hours",
-        labels.zone_label(offset).alias("tz_id"),
-        "local_date",
+    dated = rows.withColumns({"end_ms": F.col("event_ms") + labels.MINUTE_MS, "local_date": labels.local_date(F.col("event_ms"), offset)})
+    return dated.select(
+        *dated.columns,
         labels.local_stamp(F.col("event_ms"), offset).alias("local_start"),
         labels.local_stamp(F.col("end_ms"), offset).alias("local_end"),
-        labels.sun_uid(F.col("kind"), F.col("local_date"), F.col("lat"), F.col("lon"), domain).alias("uid"),
+        labels.sun_uid(F.col("kind"), F.col("local_date"), F.col("lat_text"), F.col("lon_text"), domain).alias("uid"),
     )
 
 
-def uid_collisions(labelled: DataFrame) -> DataFrame:
-    """(location_id, uid, events): identifiers of several events, which occur where two events of a kind fall on one local date."""
-    return labelled.groupBy("location_id", "uid").agg(F.count(F.lit(1)).alias("events")).where("events > 1")
+def uid_collisions(labelled: DataFrame, domain: str = labels.DOMAIN) -> DataFrame:
+    """(location_id, uid, events): identifiers of several events, which occur where two events of a kind fall on one local date.
+
+    Events are grouped by what an identifier is made of, and only those of several events get their text.
+    """
+    met = labelled.groupBy("location_id", "lat", "lon", "kind", "local_date").agg(F.count(F.lit(1)).alias("events")).where("events > 1")
+    uid = labels.sun_uid(F.col("kind"), F.col("local_date"), number_text(F.col("lat")), number_text(F.col("lon")), domain)
+    return met.select("location_id", uid.alias("uid"), "events")

@@ -68,7 +68,7 @@ def sun_events_polar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sun_event_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sun.with_labels(sun.sun_events(supplier_locations(spark, sf_dir), Window.around(AS_OF)))
+    found = sun.labelled_events(supplier_locations(spark, sf_dir), Window.around(AS_OF))
     return found.select("location_id", "day", "kind", "end_ms", "offset_hours", "tz_id", "local_date", "local_start", "local_end", "uid")
 
 
@@ -89,8 +89,7 @@ def rejected_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def moon_phase_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # An inner sample at a chunk's edge belongs to both of its chunks.
-    return moon.daily_phases(spark, _span(spark, sf_dir, "events", "ts")).select("ms", F.round("phase", 6).alias("phase")).distinct()
+    return moon.daily_phases(spark, _span(spark, sf_dir, "events", "ts"), overlap=False).select("ms", F.round("phase", 6).alias("phase"))
 
 
 def moon_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +104,7 @@ def celestial_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sun_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = feeds.sun_feeds(feeds.sun_feed_lines(sun.with_labels(sun.sun_events(supplier_locations(spark, sf_dir), Window.around(AS_OF)))))
+    found = feeds.sun_feeds(feeds.sun_feed_lines(sun.labelled_events(supplier_locations(spark, sf_dir), Window.around(AS_OF))))
     return found.select("feed_id", "filename", F.length("ics").cast("long").alias("n_chars"), F.md5("ics").alias("ics_md5"))
 
 
@@ -116,12 +115,12 @@ def celestial_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def refresh_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of what changes in the stored sun events when the calendar moves on by a year."""
-    made = [refresh.one_per_uid(sun.with_labels(sun.sun_events(supplier_locations(spark, sf_dir), Window.around(AS_OF.replace(year=AS_OF.year + k))))) for k in (0, 1)]
+    made = [refresh.one_per_uid(sun.labelled_events(supplier_locations(spark, sf_dir), Window.around(AS_OF.replace(year=AS_OF.year + k)))) for k in (0, 1)]
     return refresh.refresh_diff(*made).groupBy("action").agg(F.count(F.lit(1)).alias("events"), F.min("uid").alias("first_uid"))
 
 
 def uid_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sun.uid_collisions(sun.with_labels(sun.sun_events(supplier_locations(spark, sf_dir), Window.around(AS_OF))))
+    return sun.uid_collisions(sun.labelled_events(supplier_locations(spark, sf_dir), Window.around(AS_OF)))
 
 
 # --- applied to fact tables ---------------------------------------------------------------------------------

@@ -1,9 +1,10 @@
-"""Location tables: readers, and validation of coordinates given as text."""
+"""Location tables: readers, and validation of coordinates given as text or numbers."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.numeric import parse_number
 
@@ -12,18 +13,24 @@ RAW = "location_id bigint, lat string, lon string"
 
 
 def read_locations(spark: SparkSession, path: str, kind: str = "parquet", **options: str) -> DataFrame:
-    """(location_id, lat, lon) from parquet, orc, csv or json. Text formats are read with a fixed schema, never inferred, and validated."""
+    """(location_id, lat, lon) from parquet, orc, csv or json, validated. Text formats are read with a fixed schema, never inferred."""
     if kind in ("csv", "json"):
         reader = spark.read.schema(RAW).options(**({"header": "true"} | options if kind == "csv" else options))
         return valid_locations(getattr(reader, kind)(path))
-    return spark.read.options(**options).format(kind).load(path).select("location_id", F.col("lat").cast("double"), F.col("lon").cast("double"))
+    return valid_locations(spark.read.options(**options).format(kind).load(path))
 
 
 def _checked(raw: DataFrame, lat: str, lon: str) -> DataFrame:
     def reason(text: str, value: Column, name: str, most: float) -> Column:
         return F.when(F.col(text).isNull(), f"{name} missing").when(value.isNull(), f"{name} not a number").when(~value.between(-most, most), f"{name} out of range")
 
-    told = raw.select("location_id", F.col(lat).alias("lat_text"), F.col(lon).alias("lon_text"), parse_number(F.col(lat)).alias("lat"), parse_number(F.col(lon)).alias("lon"))
+    def number(name: str) -> Column:
+        if isinstance(raw.schema[name].dataType, StringType):
+            return parse_number(F.col(name))
+        value = F.col(name).cast("double")
+        return F.when(~F.isnan(value), value)
+
+    told = raw.select("location_id", F.col(lat).cast("string").alias("lat_text"), F.col(lon).cast("string").alias("lon_text"), number(lat).alias("lat"), number(lon).alias("lon"))
     return told.withColumn("reason", F.concat_ws("; ", reason("lat_text", F.col("lat"), "lat", 90.0), reason("lon_text", F.col("lon"), "lon", 180.0)))
 
 
@@ -35,3 +42,9 @@ def valid_locations(raw: DataFrame, lat: str = "lat", lon: str = "lon") -> DataF
 def rejected_locations(raw: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """(location_id, lat_text, lon_text, reason) of the other rows."""
     return _checked(raw, lat, lon).where("reason <> ''").select("location_id", "lat_text", "lon_text", "reason")
+
+
+def shared_coordinates(locations: DataFrame) -> DataFrame:
+    """(lat, lon, places, first_id, last_id) of coordinates that several places have: their events share identifiers and their feeds a file."""
+    told = locations.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("places"), F.min("location_id").alias("first_id"), F.max("location_id").alias("last_id"))
+    return told.where("places > 1")

@@ -148,6 +148,38 @@ def test_feed_files_equal_the_assembled_feeds(spark, labelled, tmp_path):
     assert {p.name: p.read_bytes() for p in tmp_path.iterdir() if p.suffix == ".ics"} == want
 
 
+def test_places_with_equal_coordinates_share_one_file(spark, tmp_path):
+    twins = spark.createDataFrame([(3, 10.0, 20.0), (2, 10.0, 20.0), (4, 11.0, -20.0)], places.LOCATIONS)
+    lines = feeds.sun_feed_lines(sun.labelled_events(twins, W2026))
+    feeds.write_feed_files(lines, tmp_path.as_uri(), tasks=4)
+    want = {r["filename"]: r["ics"].encode() for r in feeds.sun_feeds(lines).collect()}
+    assert len(want) == 2
+    assert {p.name: p.read_bytes() for p in tmp_path.iterdir() if p.suffix == ".ics"} == want
+    assert [tuple(r) for r in places.shared_coordinates(twins).collect()] == [(10.0, 20.0, 2, 2, 3)]
+    first = refresh.one_per_uid(sun.labelled_events(twins, W2026)).where("lat = 10").select("location_id").distinct().collect()
+    assert [r[0] for r in first] == [2]
+
+
+def test_the_celestial_feed_is_a_file_and_a_table(spark, tmp_path):
+    sky = feeds.celestial_feed(celestial.celestial_events(spark, W2026))
+    feeds.write_whole_feeds(sky, (tmp_path / "files").as_uri())
+    written = (tmp_path / "files" / "celestial.ics").read_bytes()
+    assert len(written) == 23_212 and written == sky.first()["ics"].encode()
+    feeds.write_feed_table(sky, str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).first()["ics"].encode() == written
+
+
+def test_labels_of_a_place_equal_those_of_its_events(locations):
+    one, other = sun.labelled_events(locations, W2026), sun.with_labels(sun.sun_events(locations, W2026))
+    assert one.select(sorted(one.columns)).exceptAll(other.select(sorted(one.columns))).count() == 0
+
+
+def test_samples_stand_once_without_overlap(spark):
+    window = Window(dt.date(2024, 1, 1), dt.date(2027, 3, 1))
+    rows = moon.daily_phases(spark, window, overlap=False).select("ms").collect()
+    assert sorted(r["ms"] for r in rows) == [window.start_ms + k * 86_400_000 for k in range(window.days + 1)]
+
+
 def test_empty_feed(spark):
     empty = celestial.celestial_events(spark, Window(dt.date(2025, 1, 1), dt.date(2025, 1, 1)))
     assert feeds.celestial_feed(empty).first()["ics"].endswith("X-WR-CALNAME:Celestial Events\r\nEND:VCALENDAR")

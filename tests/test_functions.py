@@ -53,3 +53,11 @@ def test_validation(spark, tmp_path):
     places.valid_locations(raw).write.parquet(str(tmp_path / "parquet"))
     for kind in ("csv", "json", "parquet"):
         assert places.read_locations(spark, str(tmp_path / kind), kind).count() == 2
+
+    typed = spark.createDataFrame([(1, 95.0, 500.0), (2, float("nan"), 0.0), (3, 45.0, None), (4, 45.0, 9.0)], places.LOCATIONS)
+    typed.write.parquet(str(tmp_path / "typed"))
+    typed.write.orc(str(tmp_path / "orc"))
+    for kind, name in (("parquet", "typed"), ("orc", "orc")):
+        assert [tuple(r) for r in places.read_locations(spark, str(tmp_path / name), kind).collect()] == [(4, 45.0, 9.0)]
+    reasons = {r["location_id"]: r["reason"] for r in places.rejected_locations(typed).collect()}
+    assert reasons == {1: "lat out of range; lon out of range", 2: "lat not a number", 3: "lon missing"}
