@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, table, text_of
 from .components import connected_components
-from .near_dedup import open_groups, second_stars, with_parts
+from .near_dedup import open_groups, with_parts
 
 #: Characters of a shingle; lines are linked at this Jaccard similarity, in tenths, of their shingle sets.
 WIDTH, TENTHS = 12, 8
@@ -32,8 +32,10 @@ WORDS, ALIKE = FAMILIES * MASKS // 8, 11
 SKETCH = [f"s{w}" for w in range(WORDS)]
 #: Members of a block when the rest of a band's or hub's rays is compared, on either side.
 BLOCK_ROWS = 256
-#: Pairs of stars that are tried before rays are compared in blocks.
-STARS = 2
+#: Before rays are compared with one another, they are compared with so many centres of their group, so many times over.
+CENTRES, ROUNDS = 8, 1
+#: Words of the map of a line's hashes that bounds what two lines have in common.
+MAP_WORDS = 48
 
 
 def _mask(family: int, k: int) -> int:
@@ -89,22 +91,15 @@ def _low_bits(n: int) -> int:
     return int.from_bytes(bytes([(1 << n) - 1] * 8), "little")
 
 
-def _hashes(codes: Column) -> Column:
-    """All distinct shingle hashes of a line given as UTF-32; codes must be a stored value, as it is read for every shingle."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), _last(codes)), lambda at: _shingle(codes, at)))
+def _hashes(line: str) -> Column:
+    """The distinct hashes of all shingles of a line; a line shorter than a shingle is its only one."""
+    runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{WIDTH}}}))."), 1)
+    return F.array_distinct(F.transform(F.when(F.length(line) < WIDTH, F.array(line)).otherwise(runs), lambda s: F.xxhash64(s)))
 
 
-def _similar(x: Column, y: Column) -> Column:
-    """Whether two sets of hashes are similar enough."""
-    both = F.size(F.array_intersect(x, y))
-    return 10 * both >= TENTHS * (F.size(x) + F.size(y) - both)
-
-
-def _linked(a: Column, b: Column) -> Column:
-    """Whether two lines are similar enough, by their whole shingle sets."""
-    codes = F.transform(F.array(a, b), lambda line: F.encode(line, "UTF-32"))  # a lambda's argument is a stored value
-    pair = F.transform(F.array(F.transform(codes, _hashes)), lambda sets: _similar(sets[0], sets[1]))
-    return pair[0]
+def _similar(x: str, y: str) -> Column:
+    """Whether two sets of hashes are similar enough: both >= similarity * (x + y - both)."""
+    return (10 + TENTHS) * F.size(F.array_intersect(x, y)) >= TENTHS * (F.size(x) + F.size(y))
 
 
 def _told(x: str) -> list[Column]:
@@ -117,15 +112,16 @@ def _possible() -> Column:
     return _alike([F.col(f"{c}_a") for c in SKETCH], [F.col(f"{c}_b") for c in SKETCH])
 
 
-def _stars(edges: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
-    """The edges (a, b) that are links. Only of those that sketches leave are the lines gathered."""
-    side = lambda x: known.select(F.col("id").alias(x), *_told(x))
+def _stars(edges: DataFrame, met: DataFrame, scratch: Scratch) -> DataFrame:
+    """The edges (a, b) that are links, between lines of met(id, line, *SKETCH). Only for those that sketches leave are lines compared."""
+    side = lambda x: met.select(F.col("id").alias(x), *_told(x))
     possible = scratch.save(edges.join(side("a"), "a").join(side("b"), "b").where(_possible()).select("a", "b"))
-    ends = possible.select(F.col("a").alias("id")).union(possible.select("b")).distinct()
-    texts = scratch.save(known.select("id", "line").join(ends, "id", "left_semi"))
-    text = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
-    links = scratch.save(possible.join(text("a"), "a").join(text("b"), "b").where(_linked(F.col("line_a"), F.col("line_b"))).select("a", "b"))
-    scratch.drop(possible, texts)
+    text = lambda x: met.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
+    both = F.struct(_hashes("line_a").alias("x"), _hashes("line_b").alias("y"))
+    # Made by explode(), the sets are stored before they are compared; a filter would make them anew wherever it names them.
+    pairs = possible.join(text("a"), "a").join(text("b"), "b").select("a", "b", F.explode(F.array(both)).alias("sets"))
+    links = scratch.save(pairs.where(_similar("sets.x", "sets.y")).select("a", "b"))
+    scratch.drop(possible)
     return links
 
 
@@ -160,72 +156,108 @@ def _with_partners(opened: DataFrame, known: DataFrame) -> DataFrame:
     return outs.unionByName(ins).distinct()
 
 
-def _rest(groups: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a line, a component) between members of one hub's group(hub, id, own, out) in different components, of which one at least is out:
-    compared in blocks where they stand, so that at most one link for a line and a component leaves a block."""
-    left, right = _dealt(groups, "hub")
-    rows = left.unionByName(right.withColumn("out", F.lit(False))).join(known.select("id", "line", *SKETCH), "id")
-    entry = F.struct("id", "own", *SKETCH, F.encode("line", "UTF-32").alias("codes"))
-    blocks = rows.groupBy("hub", "i", "j").agg(F.collect_list(F.when(F.col("out"), entry)).alias("xs"), F.collect_list(F.when(~F.col("out"), entry)).alias("ys"))
-    with_sets = lambda side: F.transform(side, lambda r: F.struct(r["id"], r["own"], *(r[c] for c in SKETCH), _hashes(r["codes"]).alias("hashes")))
+def _maps(ids: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, n, lost, m0, m1, ...): of each line the number of its hashes, a map of 64 * MAP_WORDS bits that has a bit for each, and how many of
+    them share a bit with another. Two lines have at most the bits that both maps have, and the lesser lost, in common."""
+    lines = known.select("id", "line").join(ids.distinct(), "id", "left_semi")
+    bit = lines.select("id", F.explode(_hashes("line")).alias("h")).select("id", F.pmod("h", F.lit(64 * MAP_WORDS)).cast("int").alias("bit"))
+    bit = bit.select("id", F.shiftrightunsigned("bit", 6).alias("word"), F.expr("shiftleft(1L, bit & 63)").alias("one"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("one"))), F.lit(0).cast("long")).alias(f"m{w}") for w in range(MAP_WORDS)]
+    maps = bit.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n"), *words)
+    set_ = reduce(Column.__add__, (F.bit_count(f"m{w}") for w in range(MAP_WORDS)))
+    return scratch.save(maps.withColumn("lost", F.col("n") - set_))
+
+
+def _compared(left: DataFrame, right: DataFrame, by: tuple[str, ...], ids: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a line of the left, a component of the right) between rows (*by, id, own, out) that meet in a block, in different components; ids: all
+    their ids, known: (id, line, *SKETCH). Two rows
+    that are out meet twice, and are compared once. Only links leave the join, and of a task at most one for a line and a component.
 
-    def of_line(x: Column, ys: Column) -> Column:
-        met = F.filter(ys, lambda y: (x["own"] != y["own"]) & _alike([x[c] for c in SKETCH], [y[c] for c in SKETCH]) & _similar(x["hashes"], y["hashes"]))
-        return F.array_distinct(F.transform(met, lambda y: F.struct(x["id"].alias("a"), y["own"].alias("b"))))
+    Sketches rule pairs out first, then what their maps can have in common at most, and the sets themselves decide.
+    """
+    maps = _maps(ids, known, scratch)
+    told = known.select("id", "line", *SKETCH).join(maps, "id")
+    numbers = [*SKETCH, *(c for c in maps.columns if c != "id")]
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        # Lines are hashed where their blocks are, since texts are shuffled at a fraction of what their hashes would be.
+        placed = df.select(*by, "id", "own", "out").join(told, "id").select(*by, "id", "own", "out", "line", *numbers).repartition(*by)
+        return placed.select(*by, *(F.col(c).alias(f"{c}_{x}") for c in ("id", "own", "out", *numbers)), F.explode(F.array(_hashes("line"))).alias(f"hashes_{x}"))
+
+    one, other = side(left, "a"), side(right, "b")
+    once = ~(F.col("out_a") & F.col("out_b")) | (F.col("id_a") < F.col("id_b"))
+    most = reduce(Column.__add__, (F.bit_count(F.col(f"m{w}_a").bitwiseAND(F.col(f"m{w}_b"))) for w in range(MAP_WORDS))) + F.least("lost_a", "lost_b")
+    enough = (10 + TENTHS) * most >= TENTHS * (F.col("n_a") + F.col("n_b"))
+    meets = [one[c] == other[c] for c in by] + [F.col("own_a") != F.col("own_b"), once, _possible(), enough, _similar("hashes_a", "hashes_b")]
+    links = scratch.save(one.join(other, meets).select(F.col("id_a").alias("a"), F.col("own_b").alias("b")).distinct())
+    scratch.drop(maps)
+    return links
 
-    both = F.array(F.struct(with_sets(F.col("xs")).alias("xs"), with_sets(F.col("ys")).alias("ys")))
-    found = F.transform(both, lambda block: F.flatten(F.transform(block["xs"], lambda x: of_line(x, block["ys"]))))
-    return scratch.save(blocks.select(F.explode(found[0]).alias("link")).select("link.a", "link.b").distinct())
 
+def _centred(groups: DataFrame, known: DataFrame, salt: int, scratch: Scratch) -> DataFrame:
+    """Links of each hub's group(hub, id, own, out) to CENTRES of its members, in blocks of its members with all centres."""
+    pick = lambda c: F.min(F.struct(F.xxhash64(F.lit(salt * CENTRES + c), "id"), "id"))["id"]
+    sizes = groups.groupBy("hub").agg(F.array_distinct(F.array(*(pick(c) for c in range(CENTRES)))).alias("centres"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("n"))
+    sizes = scratch.save(sizes)
+    rows = groups.join(sizes.select("hub", "n"), "hub").withColumns({"i": F.pmod(F.xxhash64("id"), "n"), "out": F.lit(True)})
+    centres = groups.join(sizes.select("hub", "n", F.explode("centres").alias("id")), ["hub", "id"])
+    centres = centres.withColumns({"i": F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)), "out": F.lit(False)})
+    links = _compared(rows, centres, ("hub", "i"), groups.select("id"), known, scratch)
+    scratch.drop(sizes)
+    return links
 
-def _parts_of(df: DataFrame, parts: DataFrame) -> DataFrame:
-    return df.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
+def _rest(groups: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between members of one hub's group(hub, id, own, out) in different components, of which one at least is out, in blocks of members."""
+    left, right = _dealt(groups, "hub")
+    return _compared(left, right, ("hub", "i", "j"), groups.select("id"), known, scratch)
 
-def line_classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """(k1, k2, keep): for every line that is not alone in its class, the place struct<doc, at> of the line that stays, the first of all.
 
-    k1 and k2 are 128 bits of the trimmed line's hash. Blank lines have no class.
-    """
-    distinct = _lines(docs, id_col, text_col).groupBy("k1", "k2").agg(F.any_value("line").alias("line"), F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
-    # Both sides are dealt out alike, so the lines are shuffled once; of a partition's signatures a table is made.
+def line_components(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(doc, at, component) for every line that is not blank: a saved table. Lines of one component are equal or linked by a chain of similar lines."""
+    lines = _lines(docs, id_col, text_col)
+    distinct = lines.groupBy("k1", "k2").agg(F.any_value("line").alias("line"))
+    # Both sides are the same rows, so the lines are shuffled once; of a partition's signatures a hash table is made.
     signed = distinct.join(_signatures(distinct).hint("shuffle_hash"), ["k1", "k2"])
     keys = F.array(*(F.xxhash64(F.lit(b), *(f"v{v}" for v in values)) for b, values in enumerate(BANDS)))
-    known = scratch.save(signed.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "first", "n", "line", *_sketch(), keys.alias("keys")))
+    known = scratch.save(signed.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "line", *_sketch(), keys.alias("keys")))
 
     members = known.select(F.explode("keys").alias("band"), "id")
     hubs = scratch.save(members.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     # Two rays can meet only in bands of three and more.
     shared = scratch.save(members.join(hubs, "band").where("id <> hub").select(F.when(F.col("size") > 2, F.col("band")).alias("band"), "hub", "id"))
     scratch.drop(hubs)
-    links = _stars(shared.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), known, scratch)
+    # Only these lines are read again, once for all. Merged at every size: they grow with the documents, so a broadcast would not hold.
+    ends = shared.select("id").union(shared.select("hub")).distinct()
+    met = scratch.save(known.select("id", "line", *SKETCH).join(ends.hint("merge"), "id", "left_semi"))
+    links = _stars(shared.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), met, scratch)
     parts = connected_components(links, scratch)
     # Two rays of a star may be similar though the hub is like neither: where a band's rays are still in several components, they are compared.
     opened = scratch.save(_open_bands(shared, parts))
-    rays = scratch.save(_with_partners(opened, known))
+    rays = scratch.save(_with_partners(opened, met))
     scratch.drop(shared, opened)
     groups = scratch.save(open_groups(rays, parts))
-    for k in range(STARS):  # a few more stars join most of what is apart
+    for k in range(ROUNDS):  # joins most of what is apart
         if groups.isEmpty():
             break
-        links = links.union(_stars(second_stars(groups, k), known, scratch))
+        links = links.union(_centred(groups, met, k, scratch))
         scratch.drop(parts, groups)
         parts = connected_components(links, scratch)
         groups = scratch.save(open_groups(rays, parts))
     if not groups.isEmpty():
-        links = links.union(_rest(groups, known, scratch))
+        links = links.union(_rest(groups, met, scratch))
         scratch.drop(parts)
         parts = connected_components(links, scratch)
-    scratch.drop(rays, groups)
-    grouped = _parts_of(known.select("id", "k1", "k2", "first", "n"), parts)
-    keeps = grouped.groupBy("component").agg(F.min("first").alias("keep"), F.sum("n").alias("size")).where("size > 1").select("component", "keep")
-    classes = scratch.save(grouped.join(keeps, "component").select("k1", "k2", "keep"))
+    scratch.drop(rays, groups, met)
+    here = lines.select("doc", "at", "k1", "k2").join(known.select("k1", "k2", "id"), ["k1", "k2"])
+    placed = scratch.save(with_parts(here, parts).select("doc", "at", "component"))
     scratch.drop(known, parts)
-    return classes
+    return placed
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, at, line, k1, k2) of the lines that are not blank; line is trimmed of spaces, tabs and carriage returns."""
+    """(doc, at, line, k1, k2) of the lines that are not blank; line is trimmed of spaces, tabs and carriage returns, k1 and k2 are 128 bits of
+    its hash."""
     rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_of(text_col), "\n")).alias("at", "raw"))
     lines = rows.select("doc", "at", F.btrim("raw", F.lit(" \t\r")).alias("line")).where("line <> ''")
     return lines.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(1), "line")})
@@ -242,12 +274,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     columns may have any names and keep their values; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    classes = line_classes(docs, id_col, text_col, scratch)
-    here = _lines(docs, id_col, text_col).select("doc", "at", "k1", "k2").join(classes, ["k1", "k2"])
-    gone = here.where(~(F.col("doc").eqNullSafe(F.col("keep.doc")) & (F.col("at") == F.col("keep.at")))).groupBy("doc").agg(F.collect_set("at").alias("ats"))
+    placed = line_components(docs, id_col, text_col, scratch)
+    firsts = scratch.save(placed.groupBy("component").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    same = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("at") == F.col("first.at"))
+    gone = placed.join(firsts, "component").where(~same).groupBy("doc").agg(F.collect_set("at").alias("ats"))
     doc, ats = fresh(docs, "doc", "ats")
     drops = scratch.save(gone.select(F.col("doc").alias(doc), F.col("ats").alias(ats)))
-    scratch.drop(classes)
+    scratch.drop(placed, firsts)
     # Merged at every size: what is dropped grows with the documents, so a broadcast on small tables would not hold on large ones.
     rows = docs.join(drops.hint("merge"), docs[id_col].eqNullSafe(drops[doc]), "left")
     lines = F.split(text_of(text_col), "\n")
