@@ -6,7 +6,7 @@ from .chat_format import OP8_SQL, op8_chat_format
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .fingerprints import op4_fingerprints
 from .line_dedup import op7_line_dedup
-from .mixing import op3_source_mix
+from .mixing import OP3_SQL, op3_source_mix
 from .near_dedup import OP9_SQL, op9_near_dedup
 from .packing import op10_best_fit_packing
 from .quality import op2_quality
@@ -27,6 +27,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
+    "op3_source_mix": OP3_SQL,
     "op5_secret_scan": OP5_SQL,
     "op8_chat_format": OP8_SQL,
     "op9_near_dedup": OP9_SQL,
