@@ -12,14 +12,17 @@ from .common import Scratch, table, text_of
 #: Marks put around matches while a text is scanned. Where a text holds them itself, SUB stands for them meanwhile; no rule matches any of these.
 BEGIN, GROUP, END, SUB = "\u0001", "\u0002", "\u0003", "\u001a"
 SPANS = "array<struct<start:int,end:int>>"
-LEDGER = f"blob string, scans array<struct<version:string,spans:{SPANS}>>"
+SCANS = f"array<struct<version:string,spans:{SPANS}>>"
+LEDGER, HISTORY = f"blob string, scans {SCANS}", "path string, blob string"
+#: At most so many digests of blobs that are due (some megabytes) are broadcast, so that the texts of other blobs are not shuffled.
+BROADCAST_BLOBS = 100_000
 
 
 @dataclass(frozen=True)
 class Rule:
     """One kind of secret. head and tail: a match is head followed by tail (Java regex, without capturing groups);
     a match whose tail is shorter than least code points is dropped, after matching. guard: a cheaper regex that every kept match
-    contains. Changing anything needs a new revision, so that blobs are scanned again."""
+    contains. Groups repeat a bounded number of times, as the engine recurses for each; only single characters repeat without bound. Changing anything needs a new revision, so that blobs are scanned again."""
 
     kind: str
     head: str
@@ -38,8 +41,8 @@ RULES = (
     Rule("assign", r"(?i:(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?)", r"[A-Za-z0-9+/_.=-]+", 6, r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"),
     Rule("access", r"AKIA", r"[A-Z0-9]+", 16, r"AKIA[A-Z0-9]{16}"),
     Rule("hex", r"", r"[0-9a-f]+", 24, r"[0-9a-f]{24}"),
-    Rule("pem", r"-----BEGIN ", r"(?:[A-Z]+ )*PRIVATE KEY-----", 16, r"PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.", r"[A-Za-z0-9_-]+", 16, r"eyJ[A-Za-z0-9_-]{8}"),
+    Rule("pem", r"-----BEGIN ", r"(?:[A-Z]+ ){0,4}PRIVATE KEY-----", 16, r"PRIVATE KEY-----", 2),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,500}\.eyJ[A-Za-z0-9_-]{8,}\.", r"[A-Za-z0-9_-]+", 16, r"eyJ[A-Za-z0-9_-]{8,500}\.eyJ", 2),
     Rule("forge", r"gh[opsu]_", r"[A-Za-z0-9]+", 36, r"gh[opsu]_[A-Za-z0-9]{36}"),
 )
 
@@ -66,34 +69,78 @@ def spans_of(text: Column, rule: Rule) -> Column:
 
 
 def scan_new(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The ledger with every blob of docs scanned by every rule version: (blob, scans array<struct<version, spans>>).
+    """The rows that docs add to the ledger: (blob, scans array<struct<version, spans>>), for pairs of blob and rule version that it lacks.
 
-    A blob is a text, addressed by its SHA-256; null counts as empty. A blob of many rows is scanned once. What the ledger already has for a
-    blob and rule version is kept and not scanned again; blobs of earlier versions of a path stay in it.
+    A blob is a text, addressed by its SHA-256; null counts as empty. Digests are held against the ledger first; only texts with a version due are
+    scanned, each once however many rows have it. Rows of a ledger are never rewritten: a blob has a row for every time that it was scanned.
+    Other columns are ignored; an empty table adds nothing.
     """
-    blobs = docs.select(text_of(text_col).alias("text")).select(F.sha2("text", 256).alias("blob"), "text").dropDuplicates(["blob"])
+    scratch, none = Scratch(docs.sparkSession), F.array().cast(SCANS)
+    versions = F.array(*(F.lit(r.version) for r in rules))
+    rows = docs.select(text_of(text_col).alias("text")).withColumn("blob", F.sha2("text", 256))
     if ledger is None:
-        known = blobs.withColumn("scans", F.array().cast("array<struct<version:string,spans:" + SPANS + ">>"))
+        due = rows.dropDuplicates(["blob"]).withColumn("due", versions)
     else:
-        known = blobs.join(ledger, "blob", "full_outer").withColumn("scans", F.coalesce("scans", F.array().cast(ledger.schema["scans"].dataType)))
-    seen = F.transform("scans", lambda s: s["version"])
-    due = [F.when(F.col("text").isNotNull() & ~F.array_contains(seen, r.version), F.array(F.struct(F.lit(r.version).alias("version"), spans_of(F.col("text"), r).alias("spans")))).otherwise(F.array()) for r in rules]
-    return known.select("blob", F.concat("scans", *due).alias("scans"))
+        seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("scans", lambda s: s["version"])))).alias("seen"))
+        told = rows.select("blob").distinct().join(seen, "blob", "left")
+        missing = scratch.save(told.select("blob", F.array_except(versions, F.coalesce("seen", F.array().cast("array<string>"))).alias("due")).where("size(due) > 0"))
+        if missing.count() <= BROADCAST_BLOBS:
+            rows = rows.join(F.broadcast(missing.select("blob")), "blob", "left_semi")
+        due = rows.dropDuplicates(["blob"]).join(missing, "blob")
+    scans = (F.when(F.array_contains("due", r.version), F.array(F.struct(F.lit(r.version).alias("version"), spans_of(F.col("text"), r).alias("spans")))).otherwise(none) for r in rules)
+    return due.select("blob", F.concat(*scans).alias("scans"))
+
+
+class Ledger:
+    """A stored ledger below a folder that all executors share: rows of scans and the history of paths, both only ever added to."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self._scans, self._history = spark, f"{root}/scans", f"{root}/history"
+        for path, schema in ((self._scans, LEDGER), (self._history, HISTORY)):  # a folder can be read once it holds a file
+            spark.createDataFrame([], schema).write.mode("append").parquet(path)
+
+    def scans(self) -> DataFrame:
+        return self.spark.read.schema(LEDGER).parquet(self._scans)
+
+    def history(self) -> DataFrame:
+        """(path, blob): every version that any path ever had."""
+        return self.spark.read.schema(HISTORY).parquet(self._history)
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> None:
+        """Scans what is new in docs, whose ids are the paths. A write that was cut short may be repeated: only what lacks is added."""
+        scan_new(docs, self.scans(), text_col, rules).write.mode("append").parquet(self._scans)
+        here = docs.select(F.col(id_col).cast("string").alias("path"), F.sha2(text_of(text_col), 256).alias("blob")).distinct()
+        known = self.history()
+        same = here["path"].eqNullSafe(known["path"]) & (here["blob"] == known["blob"])
+        here.join(known, same, "left_anti").write.mode("append").parquet(self._history)
 
 
 def findings(docs: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(id, found array<struct<start, rank, end, kind>>) for every row of docs, from the ledger, sorted by start and then the rules' order.
 
-    Repeated rows each get their findings; blobs without a scan of a rule's version have none of it.
+    Repeated rows each get their findings; blobs without a scan of a rule's version have none of it. Other columns are ignored.
     """
+    rows = docs.select(F.col(id_col).alias("id"), F.sha2(text_of(text_col), 256).alias("blob"))
+    return _found(rows, ledger, rules).select(F.col("id").alias(id_col), "found")
+
+
+def history_findings(history: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(path, blob, found) for every version that a path ever had: a secret stays known when a later version drops it."""
+    return _found(history, ledger, rules).select("path", "blob", "found")
+
+
+def _found(rows: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     def of_rule(rank: int, rule: Rule) -> Column:
-        scans = F.filter("scans", lambda s: s["version"] == rule.version)
+        # Scans of one blob and version agree, should a repeated write have left two.
+        scans = F.slice(F.filter("scans", lambda s: s["version"] == rule.version), 1, 1)
         told = lambda p: F.struct(p["start"].alias("start"), F.lit(rank).alias("rank"), p["end"].alias("end"), F.lit(rule.kind).alias("kind"))
         return F.flatten(F.transform(scans, lambda s: F.transform(s["spans"], told)))
 
+    # Few blobs hold a secret; only their findings are joined, and grouped first, so that rows of a frequent blob can be split while they are joined.
+    hits = ledger.where(F.exists("scans", lambda s: F.size(s["spans"]) > 0))
+    blobs = Scratch(ledger.sparkSession).save(hits.groupBy("blob").agg(F.flatten(F.collect_list("scans")).alias("scans")))
     by_rule = F.flatten(F.array(*(of_rule(i, r) for i, r in enumerate(rules))))
-    rows = docs.select(F.col(id_col), F.sha2(text_of(text_col), 256).alias("blob"))
-    return rows.join(ledger, "blob", "left").select(id_col, F.array_sort(F.coalesce(by_rule, F.array())).alias("found"))
+    return rows.join(blobs, "blob", "left").withColumn("found", F.array_sort(F.coalesce(by_rule, F.array())))
 
 
 def spans_text(found: Column) -> Column:
@@ -101,9 +148,12 @@ def spans_text(found: Column) -> Column:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger is made in two increments: the base rules first, then all, which scans blobs with the added rules only."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = Scratch(spark).save(scan_new(docs))
-    told = findings(docs, ledger)
+    ledger = Ledger(spark, Scratch(spark).root)
+    ledger.add(docs, rules=RULES[:3])
+    ledger.add(docs)
+    told = findings(docs, ledger.scans())
     count = lambda rank: F.size(F.filter("found", lambda s: s["rank"] == rank)).cast("long")
     base = F.filter("found", lambda s: s["rank"] < 3)
     return told.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("found")).alias("spans"))
