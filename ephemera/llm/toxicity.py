@@ -1,4 +1,4 @@
-"""Operator 6, toxicity: a weighted lexicon with single-word exceptions, matched by Aho-Corasick on folded text."""
+"""Operator 6, toxicity: a weighted lexicon with exception phrases, matched by Aho-Corasick on folded text."""
 
 from __future__ import annotations
 
@@ -19,7 +19,8 @@ from .common import Scratch, table, text_of
 TRAIN_ROWS = 6000
 #: Terms are word beginnings of SHORTEST to LONGEST letters and whole words, seen in at least LEAST_DOCS toxic training rows, where at
 #: least PRECISE of all training rows with the term are toxic and the log-likelihood gain over the base rate is at least GAIN, so
-#: that among the very many beginnings hardly one passes by chance.
+#: that among the very many beginnings hardly one passes by chance. Exception phrases stand in LEAST_DOCS clean training rows, and at least PRECISE of
+#: all training rows with the phrase are clean.
 SHORTEST, LONGEST, LEAST_DOCS, PRECISE, GAIN = 4, 12, 4, 0.7, 12.0
 #: Rows that a Python worker is sent at a time.
 BATCH = 1000
@@ -46,7 +47,7 @@ def terms_of(folded: str) -> set[str]:
 
 @dataclass
 class Lexicon:
-    """weights of terms; exceptions, which contain a term but are harmless; and the score's logistic coefficients."""
+    """weights of terms; exceptions, phrases of one to three words that hold a term but are harmless; and the score's logistic coefficients."""
 
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: list[str] = field(default_factory=list)
@@ -57,34 +58,53 @@ class Lexicon:
         import ahocorasick
 
         found = ahocorasick.Automaton()
-        for term, weight in self.weights.items():
-            found.add_word(term, (len(term), weight))
-        for term in self.exceptions:
-            found.add_word(term, (len(term), 0.0))
+        for term in {*self.weights, *self.exceptions}:
+            found.add_word(term, (len(term), self.weights.get(term, 0.0), term in self.exceptions))
         found.make_automaton()
         return found
 
 
-def features(folded: str, automaton) -> tuple[float, float]:
-    """log(1 + weight of all matches), and the same per 100 words. Of matches that begin at one place the longest counts,
-    so an exception phrase outweighs the term that it begins with."""
+def matches(folded: str, automaton) -> list[tuple[int, int, float]]:
+    """(begin, end, weight) of the terms that count: of those that begin at one place the longest, and none inside an exception phrase."""
     best: dict[int, tuple[int, float]] = {}
+    spared: list[tuple[int, int]] = []
     if len(automaton):
-        for end, (n, weight) in automaton.iter(folded):
-            at = end - n + 1
-            if n > best.get(at, (0, 0.0))[0]:
+        for last, (n, weight, spares) in automaton.iter(folded):
+            at = last - n + 1
+            if spares:
+                spared.append((at, at + n))
+            elif n > best.get(at, (0, 0.0))[0]:
                 best[at] = (n, weight)
-    total = sum(w for _, w in best.values())
+    return [(at, at + n, w) for at, (n, w) in best.items() if not any(a <= at and at + n <= b for a, b in spared)]
+
+
+def features(folded: str, automaton) -> tuple[float, float]:
+    """log(1 + weight of all matches), and the same per 100 words."""
+    total = sum(w for _, _, w in matches(folded, automaton))
     return math.log1p(total), math.log1p(100 * total / max(1, folded.count(" ") - 1))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each term, toxic and not, summed within a batch before anything is shuffled."""
+def phrases_of(folded: str, automaton) -> set[str]:
+    """The phrases of one to three words around each match: its words, with the word before, the word after, and both."""
+    out = set()
+    for at, end, _ in matches(folded, automaton):
+        stop = folded.index(" ", end - 1) + 1  # a term begins with a space, and may end within a word
+        before = folded.rfind(" ", 0, at) if at else -1
+        after = folded.find(" ", stop) + 1
+        for a in {at, before} - {-1}:
+            for b in {stop, after} - {0}:
+                out.add(folded[a:b])
+    return out
+
+
+def _counted(batches: Iterator[pa.RecordBatch], lexicon: Lexicon | None = None) -> Iterator[pa.RecordBatch]:
+    """Documents with each term, toxic and not, summed within a batch before anything is shuffled. With a lexicon, with each phrase around its terms."""
+    automaton = lexicon.automaton() if lexicon else None
     for batch in batches:
         toxic: Counter[str] = Counter()
         clean: Counter[str] = Counter()
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            (toxic if label else clean).update(terms_of(fold(text)))
+            (toxic if label else clean).update(phrases_of(fold(text), automaton) if lexicon else terms_of(fold(text)))
         terms = list({*toxic, *clean})
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([clean[t] for t in terms], pa.int64())], ["term", "toxic", "clean"])
 
@@ -95,9 +115,10 @@ def held_out(id_col: str = "doc_id"):
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Lexicon:
-    """Learns terms, weights, exceptions and the score's coefficients from labelled rows that are not held out.
+    """Learns terms, weights, exception phrases and the score's coefficients from labelled rows that are not held out.
 
-    Terms are counted in Spark; only those frequent enough among toxic rows, and the features of at most `rows` rows, reach the driver.
+    Terms, and the phrases around them, are counted in Spark; only those frequent enough, and the features of at most `rows` rows, reach the driver.
+    A label that stands twice counts twice; null ids and labels count nothing, other columns are ignored. Without toxic rows the lexicon is empty.
     """
     scratch = Scratch(docs.sparkSession)
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col, F.col(label_col).alias("label"))
@@ -108,9 +129,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic:
         return Lexicon()
-    counted = train.mapInArrow(_counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+    def count(lexicon: Lexicon | None = None) -> DataFrame:
+        summed = train.mapInArrow(partial(_counted, lexicon=lexicon), "term string, toxic long, clean long").groupBy("term")
+        return summed.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
     rate = F.col("toxic") / (F.col("toxic") + F.col("clean"))
-    told = scratch.save(counted.where((F.col("toxic") >= LEAST_DOCS) & (rate >= PRECISE)), batch=BATCH)
+    told = scratch.save(count().where((F.col("toxic") >= LEAST_DOCS) & (rate >= PRECISE)), batch=BATCH)
     # Every toxic row lends its terms at most once each, so these are few: at most the terms shared by LEAST_DOCS of at most `rows` rows.
     seen = {r["term"]: (r["toxic"], r["clean"]) for r in told.collect()}
     base = n_toxic / (n_toxic + n_clean)
@@ -128,13 +153,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             weights[term] = math.log(((a + 0.5) / (n_toxic + 1)) / ((b + 0.5) / (n_clean + 1)))
             chosen |= {term[:k] for k in range(SHORTEST + 1, len(term) + 1)}
     weights = {t: w for t, w in weights.items() if w > 0}
-    exceptions = []
+    lexicon = Lexicon(weights)
     if weights:
-        known = docs.sparkSession.createDataFrame([(t,) for t in weights if not t.endswith(" ")] or [("",)], "start string")
-        words = scratch.save(counted.where(F.col("term").endswith(" ") & (F.col("clean") > F.col("toxic"))), batch=BATCH)
-        starts = words.select("term", F.explode(F.transform(F.sequence(F.lit(SHORTEST + 1), F.lit(LONGEST + 1)), lambda k: F.substr("term", F.lit(1), k))).alias("start"))
-        exceptions = [r["term"] for r in starts.join(F.broadcast(known), "start", "left_semi").select("term").distinct().collect()]
-    lexicon = Lexicon(weights, exceptions)
+        harmless = count(lexicon).where((F.col("clean") >= LEAST_DOCS) & (rate <= 1 - PRECISE))
+        lexicon.exceptions = sorted(r["term"] for r in scratch.save(harmless, batch=BATCH).collect())
     found = train.mapInArrow(partial(_features, lexicon=lexicon), "x1 double, x2 double, label boolean").toPandas()
     x = np.column_stack([np.ones(len(found)), found["x1"], found["x2"]])
     beta = fit_logistic(x, found["label"].to_numpy(float))
@@ -172,7 +194,11 @@ def _scored(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.
 
 
 def toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for every row: 0 to 1, from the whole text alone. Null texts count as empty; repeated rows are scored each."""
+    """(id, score) for every row: 0 to 1, from the whole text alone.
+
+    Null texts count as empty, which have the score of a text without any term; texts of any length are read whole. Repeated rows are scored each, equal
+    texts equally. Other columns are ignored; an empty table gives an empty result.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     return rows.mapInArrow(partial(_scored, lexicon=lexicon), "id long, score double").withColumnRenamed("id", id_col)
 
