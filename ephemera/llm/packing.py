@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, table, text_of
 
 LENGTH = 2048
-#: Rows of one length are ranked within this many parts, so that a length that very many pieces share is not one task's work.
-PARTS = 64
+#: Pieces of one length are ranked in parts of about this many, so that a length that very many pieces share is not one task's work.
+PART_ROWS = 20_000
 #: Whole texts that a Python worker is sent at a time.
 BATCH = 1000
 PIECES = "id long, copy long, piece int, start long, length long, ids_crc32 long"
@@ -40,8 +41,23 @@ def _encoder(name: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special), tuple(special)
 
 
+#: Runs that the rank file's encoder cannot be trusted with: its regex engine recurses for every character of white space.
+_LONG_RUN = re.compile(r"\s{5000}")
+
+
+@lru_cache(maxsize=2)
+def _plain_encoder(name: str):
+    """The vocabulary's .json file itself: slower, but at ease with long runs."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+
+
 def token_ids(text: str, vocabulary: str = "byte_bpe_50k") -> np.ndarray:
     """Token ids as uint32. A special token's string within a text is that token, as the tokenizer library reads it."""
+    if len(text) >= 5000 and _LONG_RUN.search(text):
+        return np.asarray(_plain_encoder(vocabulary).encode(text, add_special_tokens=False).ids, np.uint32)
     encoding, special = _encoder(vocabulary)
     if any(s in text for s in special):
         return np.asarray(encoding.encode(text, allowed_special="all"), np.uint32)
@@ -126,17 +142,22 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
 
     A document is its token ids and a 0; over `most` tokens it is cut. Pieces are packed into as few sequences of at most `most` tokens as minimum
     bin slack finds; whole sequences of one piece need no search. The histogram of lengths, at most `most` numbers, is all that the
-    driver sees; the pieces of each length get ranks, in PARTS parts, and a rank decides the place.
+    driver sees; the pieces of each length get ranks, in parts of about PART_ROWS, and a rank decides the place.
 
-    Null texts count as empty (one token). Repeated rows are packed each. Other columns are ignored; an empty table gives an empty result.
+    Null texts count as empty (one token); very long texts and long runs of white space are encoded whole. Repeated rows are packed each, equal ones too. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("copy"), text_of(text_col).alias("text"))
     pieces = scratch.save(rows.mapInArrow(partial(_pieces, vocabulary=vocabulary, most=most), PIECES), batch=BATCH)
-    parted = pieces.withColumn("part", F.pmod(F.xxhash64("id", "copy", "piece"), F.lit(PARTS)).cast("int"))
+    # A full piece is a sequence by itself and needs no rank; its number is negative, where no other sequence has one.
+    columns = [F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32"]
+    full = pieces.where(F.col("length") == most).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = pieces.where(F.col("length") < most)
+    histogram = {r["length"]: r["count"] for r in rest.groupBy("length").count().collect()}
+    parts = F.array(*(F.lit(-(-histogram.get(n, 0) // PART_ROWS) or 1) for n in range(most)))
+    parted = rest.withColumn("part", F.pmod(F.xxhash64("id", "copy", "piece"), F.get(parts, F.col("length").cast("int"))).cast("int"))
     counts = scratch.save(parted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
 
     # Where each length's ranks go: ranks from `first` on fill bins that hold `per` of it, in the slots at `offsets`.
     runs, base, used = [], 0, dict.fromkeys(histogram, 0)
@@ -162,15 +183,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     run = F.element_at(F.filter("runs", lambda r: (r["first"] <= F.col("rank")) & (F.col("rank") < r["beyond"])), 1)
     placed = ranked.withColumn("run", run).withColumn("at", F.col("rank") - F.col("run.first"))
     per = F.size("run.offsets")
-    return placed.select(
-        F.col("id").alias(id_col),
-        "piece",
-        "start",
-        "length",
-        "ids_crc32",
+    shared = placed.select(
+        *columns,
         (F.col("run.base") + F.floor(F.col("at") / per)).cast("long").alias("sequence_id"),
         F.get("run.offsets", (F.col("at") % per).cast("int")).cast("long").alias("offset"),
     )
+    return shared.unionByName(full)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
