@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WHITE, table, text_of
+from .common import WHITE, fresh, table, text_of
 
 WIDTH = 5
 #: Every shingle hash below this share of the 64-bit range is retained.
@@ -28,18 +28,20 @@ def with_sketch(df: DataFrame, text_col: str, out: str) -> DataFrame:
     """Adds the sketch of a text: struct<hashes, bound>, hashes ascending.
 
     Shingles are WIDTH lower-cased words in a row, or all words if there are fewer; null and empty texts have none. The hashes at or
-    below bound are all those that the text has there; for a text with LEAST shingles or fewer bound is the highest number.
+    below bound are all those that the text has there; for a text with LEAST shingles or fewer bound is the highest number. Texts of any length
+    are read whole. Every row gets its sketch, repeated rows the same; a column called like `out` is replaced, others keep their values.
     """
-    words = df.withColumn("_w", F.transform(_words(text_of(text_col)), lambda w: F.xxhash64(w)))
-    n = F.size("_w")
-    short = F.when(n > 0, F.array(F.xxhash64("_w"))).otherwise(F.array().cast("array<bigint>"))
-    all_ = F.when(n < WIDTH, short).otherwise(F.transform(F.sequence(F.lit(0), n - WIDTH), lambda i: F.xxhash64(*(F.get("_w", i + k) for k in range(WIDTH)))))
-    hashed = words.withColumn("_h", all_).withColumn("_low", F.array_sort(F.array_distinct(F.filter("_h", lambda h: h < THRESHOLD))))
-    few = F.size("_low") < LEAST
-    padded = hashed.withColumn("_all", F.when(few, F.array_sort(F.array_distinct("_h"))))
-    kept = F.when(few, F.slice("_all", 1, LEAST)).otherwise(F.col("_low"))
-    bound = F.when(~few, F.lit(THRESHOLD - 1)).when(F.size("_all") <= LEAST, F.lit(HIGHEST)).otherwise(F.greatest(F.lit(THRESHOLD - 1), F.element_at("_all", LEAST)))
-    return padded.withColumn(out, F.struct(kept.alias("hashes"), bound.alias("bound"))).drop("_w", "_h", "_low", "_all")
+    w, h, low, every = fresh(df.select("*", F.lit(0).alias(out)), "w", "h", "low", "every")
+    words = df.withColumn(w, F.transform(_words(text_of(text_col)), lambda word: F.xxhash64(word)))
+    n = F.size(w)
+    short = F.when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+    all_ = F.when(n < WIDTH, short).otherwise(F.transform(F.sequence(F.lit(0), n - WIDTH), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(WIDTH)))))
+    hashed = words.withColumn(h, all_).withColumn(low, F.array_sort(F.array_distinct(F.filter(h, lambda x: x < THRESHOLD))))
+    few = F.size(low) < LEAST
+    padded = hashed.withColumn(every, F.when(few, F.array_sort(F.array_distinct(h))))
+    kept = F.when(few, F.slice(every, 1, LEAST)).otherwise(F.col(low))
+    bound = F.when(~few, F.lit(THRESHOLD - 1)).when(F.size(every) <= LEAST, F.lit(HIGHEST)).otherwise(F.greatest(F.lit(THRESHOLD - 1), F.element_at(every, LEAST)))
+    return padded.withColumn(out, F.struct(kept.alias("hashes"), bound.alias("bound"))).drop(w, h, low, every)
 
 
 def _common(a: Column, b: Column) -> tuple[Column, Column, Column]:
@@ -96,25 +98,29 @@ def with_next(docs: DataFrame, order_col: str, columns: list[str], tie_col: str)
     """Adds next_<column> of the following row by order_col (after the last: the first), ties by tie_col.
 
     Rows go to buckets of neighbouring numbers. The first row of a bucket is also sent to the bucket before, as a sentinel, so a window over each
-    bucket finds every successor and one shuffle is all. Null numbers sort first.
+    bucket finds every successor and one shuffle is all. Null numbers sort first. Rows with one number follow each other by tie_col, equal rows in any
+    order; they share a bucket. Columns called next_<column> are replaced, others keep their values; an empty table gives an empty result.
     """
+    following = {f"next_{c}": c for c in columns}
+    docs = docs.drop(*following)
+    at, own, to, bucket, sent = fresh(docs.select("*", *(F.lit(0).alias(c) for c in following)), "at", "own", "to", "bucket", "sent")
     place = F.coalesce(F.col(order_col), F.lit(-(1 << 63)))
     ids = docs.select(place.alias("at"))
     n = ids.count()
     if not n:
-        return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+        return docs.select("*", *(F.col(c).alias(name) for name, c in following.items()))
     parts = min(BUCKETS, -(-n // BUCKET_ROWS))
     cuts = ids.agg(F.percentile_approx("at", [k / parts for k in range(parts)], 10 * parts + 1000)).first()[0]
     firsts = sorted(r["f"] for r in ids.groupBy(_bucket(sorted(set(cuts)), F.col("at")).alias("b")).agg(F.min("at").alias("f")).collect())
-    own = _bucket(firsts, F.col("_at"))
-    rows = docs.withColumn("_at", place).withColumn("_own", own)
-    first = F.get(F.array(*map(F.lit, firsts)), F.col("_own")) == F.col("_at")
-    before = F.when(F.col("_own") > 0, F.struct((F.col("_own") - 1).alias("bucket"), F.lit(1).alias("sent"))).otherwise(F.struct(F.lit(len(firsts) - 1).alias("bucket"), F.lit(2).alias("sent")))
-    here = F.struct(F.col("_own").alias("bucket"), F.lit(0).alias("sent"))
-    dealt = rows.select("*", F.explode(F.when(first, F.array(here, before)).otherwise(F.array(here))).alias("_to")).select(*docs.columns, "_at", F.col("_to.bucket").alias("_bucket"), F.col("_to.sent").alias("_sent"))
+    rows = docs.withColumn(at, place).withColumn(own, _bucket(firsts, F.col(at)))
+    first = F.get(F.array(*map(F.lit, firsts)), F.col(own)) == F.col(at)
+    before = F.when(F.col(own) > 0, F.struct((F.col(own) - 1).alias("bucket"), F.lit(1).alias("sent"))).otherwise(F.struct(F.lit(len(firsts) - 1).alias("bucket"), F.lit(2).alias("sent")))
+    here = F.struct(F.col(own).alias("bucket"), F.lit(0).alias("sent"))
+    doubled = rows.withColumn(to, F.explode(F.when(first, F.array(here, before)).otherwise(F.array(here))))
+    dealt = doubled.select(*docs.columns, at, F.col(to)["bucket"].alias(bucket), F.col(to)["sent"].alias(sent))
     # Within a bucket its own rows come first, then the sentinels of the next bucket, or after the last one those of the first.
-    w = Window.partitionBy("_bucket").orderBy("_sent", "_at", tie_col)
-    return dealt.select(*docs.columns, "_sent", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns)).where("_sent = 0").drop("_sent")
+    w = Window.partitionBy(bucket).orderBy(sent, at, tie_col)
+    return dealt.select(*docs.columns, sent, *(F.lead(c).over(w).alias(name) for name, c in following.items())).where(F.col(sent) == 0).drop(sent)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
