@@ -112,7 +112,8 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id", mappings: tuple[Mapp
 def canonical_turns_of_json(df: DataFrame, id_col: str, json_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """The same for a column of JSON records of mixed layouts: the fingerprint is taken row by row.
 
-    The paths of a record come from its variant's schema, with the types cut away. A record without a mapping, and text
+    The paths of a record come from its variant's schema, with the types cut away. All paths count: a record with one field more than a mapping
+    names has another fingerprint, unlike a table, whose further columns are ignored. A record without a mapping, and text
     that is not JSON, gets null turns and keeps its fingerprint, so that a mapping can be added for it.
     """
     whole = [m for m in mappings if m.turns]
