@@ -2,7 +2,12 @@
 
 import hashlib
 import json
+import math
 import re
+import zlib
+
+import pytest
+import xxhash
 
 from pyspark.sql import functions as F
 
@@ -91,19 +96,49 @@ def test_added_rules(spark):
     assert [s["kind"] for s in scan.findings(rows, scan.scan_new(rows)).first()["found"]] == ["jwt", "forge", "pem"]
 
 
-def test_the_ledger_scans_only_what_is_new(spark, monkeypatch):
+def test_long_texts_end_no_executor(spark):
+    texts = [
+        "-----BEGIN " + "A " * 5_000_000 + "PRIVATE KEY-----",
+        "-----BEGIN " + "A" * 5_000_000,
+        "eyJ" * 100_000,
+        "password=" + "x" * 3_000_000,
+        "a" * 3_000_000,
+        "secret " + " " * 1_000_000 + ": abcdef",
+        "x" * 1_000_000 + "-----BEGIN OPENSSH PRIVATE KEY-----",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["found"]] for r in scan.findings(rows, scan.scan_new(rows)).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: [(0, 0, 3_000_009, "assign")], 4: [(0, 2, 3_000_000, "hex")], 5: [(0, 0, 1_000_015, "assign")], 6: [(1_000_000, 3, 1_000_035, "pem")]}
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_the_ledger_scans_only_what_is_new(spark, monkeypatch, most):
+    monkeypatch.setattr(scan, "BROADCAST_BLOBS", most)  # both ways to the texts that are due
     day1 = spark.createDataFrame([(1, "token=abcdef"), (2, "plain")], "doc_id long, text string")
-    day2 = spark.createDataFrame([(1, "changed token=ghijkl"), (2, "plain"), (3, "token=abcdef")], "doc_id long, text string")
-    first = scan.scan_new(day1).cache()
+    day2 = spark.createDataFrame([(1, "changed token=ghijkl"), (2, "plain"), (3, "token=abcdef"), (4, "token=abcdef")], "doc_id long, text string")
+    first = scan.scan_new(day1)
     # A ledger whose findings are marked shows what was taken from it.
     marked = first.withColumn("scans", F.transform("scans", lambda s: F.struct(s["version"].alias("version"), F.transform(s["spans"], lambda p: F.struct((p["start"] + 1000).alias("start"), p["end"].alias("end"))).alias("spans"))))
-    second = scan.scan_new(day2, marked)
-    got = {r["doc_id"]: [s["start"] for s in r["found"]] for r in scan.findings(day2, second).collect()}
-    assert got == {1: [8], 2: [], 3: [1000]}
-    assert second.count() == 3
+    added = scan.scan_new(day2, marked)
+    assert added.count() == 1
+    got = {r["doc_id"]: [s["start"] for s in r["found"]] for r in scan.findings(day2, marked.unionByName(added)).collect()}
+    assert got == {1: [8], 2: [], 3: [1000], 4: [1000]}
     newer = (*scan.RULES[:1], scan.Rule("hex", "", "[0-9a-f]+", 24, "[0-9a-f]{24}", revision=2))
-    assert {s["version"] for s in scan.scan_new(day2, second, rules=newer).first()["scans"]} >= {"hex@1", "hex@2", "assign@1"}
-    assert scan.scan_new(day1.limit(0)).count() == 0
+    again = scan.scan_new(day2, marked.unionByName(added), rules=newer).collect()
+    assert len(again) == 3 and {s["version"] for r in again for s in r["scans"]} == {"hex@2"}
+    assert scan.scan_new(day1.limit(0)).count() == scan.scan_new(day1.limit(0), first).count() == 0
+
+
+def test_a_stored_ledger_knows_every_version_of_every_path(spark, tmp_path):
+    ledger = scan.Ledger(spark, str(tmp_path))
+    days = [[(1, "token=abcdef"), (2, None)], [(1, "clean now"), (2, None), (None, "token=abcdef")]]
+    for day in days:
+        ledger.add(spark.createDataFrame(day, "doc_id long, text string"))
+    again = scan.Ledger(spark, str(tmp_path))
+    again.add(spark.createDataFrame(days[1], "doc_id long, text string"))
+    assert again.scans().count() == 3 and again.history().count() == 4
+    found = sorted((r["path"] or "", len(r["found"])) for r in scan.history_findings(again.history(), again.scans()).collect())
+    assert found == [("", 1), ("1", 0), ("1", 1), ("2", 0)]
 
 
 def turns(spark, rows):
@@ -153,14 +188,44 @@ def test_folding():
     assert tox.fold("i\u200bdiot") == " idiot "
 
 
-def test_exception_phrases_outweigh_their_terms():
-    lexicon = tox.Lexicon({" scum": 2.0}, [" scumble "])
+def test_exception_phrases_spare_the_terms_inside_them():
+    lexicon = tox.Lexicon({" scum": 2.0, " idiot ": 3.0}, [" scumble ", " the idiot by ", " no scum "])
     automaton = lexicon.automaton()
-    assert tox.features(tox.fold("to scumble a canvas"), automaton)[0] == 0
-    assert tox.features(tox.fold("you scumbag"), automaton)[0] > 1
+    score = lambda text: tox.features(tox.fold(text), automaton)[0]
+    assert score("to scumble a canvas") == score("The Idiot, by a Russian") == score("no scum here") == 0
+    assert score("you scumbag") == math.log1p(2) and score("an idiot by name, no scumbag") == math.log1p(5)
     assert tox.features(tox.fold(""), tox.Lexicon().automaton()) == (0.0, 0.0)
 
 
+def test_exception_phrases_are_learned(spark, words):
+    pick = lambda k, n: " ".join(words[(k * 13 + 7 * j) % 300] for j in range(n))
+    rows, labels = [], []
+    for k in range(600):
+        kind = k % 6
+        middle = "you grobnik" if kind == 0 else "grobnik of the glen" if kind == 1 else "calm day"
+        rows.append((k, f"{pick(k, 9)} {middle} {pick(k + 1, 9)}"))
+        labels.append((k, int(kind == 0)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon = tox.learn(docs.where("doc_id % 6 <> 1 or doc_id > 450"), known)
+    assert any(" grobnik ".startswith(t) for t in lexicon.weights) and " grobnik of " in lexicon.exceptions
+    scores = {r["doc_id"]: r["score"] for r in tox.toxicity(docs, lexicon).collect()}
+    assert all((scores[k] >= 0.5) == bool(toxic) for k, toxic in labels)
+
+
+def test_scores_equal_brute_force(spark, docs, corpus):
+    lexicon = tox.Lexicon({" ab": 1.5, " abc": 2.5, " one ": 3.0, " q": 0.5}, [" one two "], -2.0, (0.7, 0.3))
+    got = sorted((r["doc_id"], r["score"]) for r in tox.toxicity(docs, lexicon).collect())
+    want = []
+    for i, text in corpus:
+        folded = tox.fold(text or "")
+        spared = {at + k for at in range(len(folded)) if folded.startswith(" one two ", at) for k in range(4)}
+        total = sum(max((w for t, w in lexicon.weights.items() if folded.startswith(t, at)), key=lambda w: w, default=0.0) for at in range(len(folded)) if at not in spared)
+        x = lexicon.bias + 0.7 * math.log1p(total) + 0.3 * math.log1p(100 * total / max(1, len(folded.split())))
+        want.append((i, 1 / (1 + math.exp(-x))))
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)]
+    assert [x for _, x in got] == pytest.approx([x for _, x in sorted(want)])
+
+
 def test_toxicity_on_rows_it_never_saw(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -182,16 +247,51 @@ def test_toxicity_without_labels_or_rows(spark, docs):
     got = tox.toxicity(docs, lexicon)
     assert got.count() == docs.count() and got.where("score >= 0.5").count() == 0
     assert tox.toxicity(docs.limit(0), lexicon).count() == 0
+    long = spark.createDataFrame([(1, "word " * 400_000), (1, None)], "doc_id long, text string")
+    assert tox.toxicity(long, lexicon).count() == 2
+
+
+def hashed(values, seed=42):
+    """What the engine's 64-bit hash makes of a text, or of numbers one after another."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else (v % 2**64).to_bytes(8, "little"), seed)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def sketch(text):
+    """(bound, hashes) by the definition."""
+    words = [hashed([w]) for w in re.sub(r"[\x20\x09-\x0D]+", " ", text).lower().split(" ") if w]
+    found = {hashed(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {hashed(words)} if words else set()
+    low = sorted(h for h in found if h < fp.THRESHOLD)
+    if len(low) >= fp.LEAST:
+        return fp.THRESHOLD - 1, low
+    every = sorted(found)
+    return (fp.HIGHEST if len(every) <= fp.LEAST else max(fp.THRESHOLD - 1, every[fp.LEAST - 1])), every[: fp.LEAST]
+
+
+def like(a, b):
+    bound = min(a[0], b[0])
+    x, y = ({h for h in s[1] if h <= bound} for s in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
 
 
 def test_op4_against_brute_force(spark, sf_dir):
     got = {r["doc_id"]: r for r in fp.op4_fingerprints(spark, sf_dir).collect()}
     docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
     assert len(got) == len(docs)
+    told = lambda s: f"{s[0] % 2**64:016X}:" + "".join(f"{h % 2**64:016X}" for h in s[1])
     for k, (i, text) in enumerate(docs):
         after = docs[(k + 1) % len(docs)][1]
         cut = len(text) // 4
         edited = text[: len(text) - cut] + after[:cut]
         assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        own, other, following = sketch(text), sketch(edited), sketch(after)
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (told(own), told(other))
+        assert (got[i]["near_edited"], got[i]["near_next"]) == pytest.approx((like(own, other), like(own, following)))
         a, b = sets(text), sets(edited)
         assert abs(got[i]["near_edited"] - (len(a & b) / len(a | b) if a | b else 1)) < 0.25
+
+
+def test_held_out_rows(spark):
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), tox.held_out().alias("h")).collect()
+    assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
