@@ -230,8 +230,15 @@ def line_components(docs: DataFrame, id_col: str, text_col: str, scratch: Scratc
     # Only these lines are read again, once for all. Merged at every size: they grow with the documents, so a broadcast would not hold.
     ends = shared.select("id").union(shared.select("hub")).distinct()
     met = scratch.save(known.select("id", "line", *SKETCH).join(ends.hint("merge"), "id", "left_semi"))
-    links = _stars(shared.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), met, scratch)
-    parts = connected_components(links, scratch)
+    found = [_stars(shared.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), met, scratch)]
+    parts = connected_components(found[0], scratch)
+
+    def joined(links: DataFrame) -> DataFrame:
+        """The components with further links."""
+        found.append(links)
+        scratch.drop(parts)
+        return connected_components(reduce(DataFrame.union, found), scratch)
+
     # Two rays of a star may be similar though the hub is like neither: where a band's rays are still in several components, they are compared.
     opened = scratch.save(_open_bands(shared, parts))
     rays = scratch.save(_with_partners(opened, met))
@@ -240,15 +247,12 @@ def line_components(docs: DataFrame, id_col: str, text_col: str, scratch: Scratc
     for k in range(ROUNDS):  # joins most of what is apart
         if groups.isEmpty():
             break
-        links = links.union(_centred(groups, met, k, scratch))
-        scratch.drop(parts, groups)
-        parts = connected_components(links, scratch)
+        parts = joined(_centred(groups, met, k, scratch))
+        scratch.drop(groups)
         groups = scratch.save(open_groups(rays, parts))
     if not groups.isEmpty():
-        links = links.union(_rest(groups, met, scratch))
-        scratch.drop(parts)
-        parts = connected_components(links, scratch)
-    scratch.drop(rays, groups, met)
+        parts = joined(_rest(groups, met, scratch))
+    scratch.drop(rays, groups, met, *found)
     here = lines.select("doc", "at", "k1", "k2").join(known.select("k1", "k2", "id"), ["k1", "k2"])
     placed = scratch.save(with_parts(here, parts).select("doc", "at", "component"))
     scratch.drop(known, parts)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -104,8 +104,9 @@ class _Linker:
         texts = self.texts
         right = edges.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         pairs = right.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-        return self.scratch.save(pairs.mapInArrow(partial(_linked, width=self.width, share=self.share), "a long, b long"), batch=BATCH)
-
+        links = self.scratch.save(pairs.mapInArrow(partial(_linked, width=self.width, share=self.share), "a long, b long"), batch=BATCH)
+        self.scratch.drop(edges)
+        return links
 
     def rest(self, groups: DataFrame) -> DataFrame:
         """Links between members of one hub's group(hub, id, own, out) in different components, of which one at least is out.
@@ -188,25 +189,27 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linker = _Linker(docs, classes, scratch, width, share)
     linker.gather(shared.select("id"))
     possible = scratch.save(linker.possible(shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))))
-    links = linker.links(possible.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    parts = connected_components(links, scratch)
-    links = links.union(linker.links(_crossing(possible, parts)))
-    scratch.drop(parts, possible)
-    parts = connected_components(links, scratch)
+    found = [linker.links(possible.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))]
+    parts = connected_components(found[0], scratch)
+
+    def joined(links: DataFrame) -> DataFrame:
+        """The components with further links."""
+        found.append(links)
+        scratch.drop(parts)
+        return connected_components(reduce(DataFrame.union, found), scratch)
 
+    parts = joined(linker.links(_crossing(possible, parts)))
+    scratch.drop(possible)
     opened = scratch.save(open_groups(shared, parts))
     for k in range(STARS):  # a few more stars join most of what is apart
         if opened.isEmpty():
             break
-        links = links.union(linker.links(linker.possible(second_stars(opened, k))))
-        scratch.drop(parts, opened)
-        parts = connected_components(links, scratch)
+        parts = joined(linker.links(linker.possible(second_stars(opened, k))))
+        scratch.drop(opened)
         opened = scratch.save(open_groups(shared, parts))
     if not opened.isEmpty():
-        links = links.union(linker.rest(opened))
-        scratch.drop(parts)
-        parts = connected_components(links, scratch)
-    scratch.drop(linker.texts, shared, opened)
+        parts = joined(linker.rest(opened))
+    scratch.drop(linker.texts, shared, opened, *found)
     rep = signed.join(classes.select("d1", "d2", F.col("id").alias("rep")), ["d1", "d2"], "left")
     told = rep.select("id", "n", F.coalesce("rep", "id").alias("rep")).join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     out = told.select("id", "n", F.coalesce("component", "rep").alias("component_id"))
