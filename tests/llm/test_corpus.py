@@ -80,7 +80,7 @@ def test_posteriors_equal_brute_force_and_shrink_sparse_sites(spark):
         assert abs(got["host_posterior"][[x[0] == h for x in at]].mean() - mu) < abs(sum(hosts[h]) / len(hosts[h]) - mu)
 
 
-def test_document_evidence_equals_brute_force():
+def test_document_evidence_equals_brute_force(monkeypatch):
     weights = np.arange(quality.GRAMS) / 1000 - 2
     text = "Was it it it a cat?  Ä\tcat? was " * 3
     data, words = text.encode(), text.split()
@@ -89,8 +89,8 @@ def test_document_evidence_equals_brute_force():
     want = (sum(weights[r] for r in runs) / len(runs), sum(x == y for x, y in itertools.pairwise(low)) / len(low), len(set(low)) / len(low) ** 0.75, math.log1p(len(low)))
     assert quality.features(text, weights) == pytest.approx(want)
     assert quality.features(None, weights) == quality.features("", weights) == (0.0, 0.0, 1.0, 0.0)
-    long = text * 50_000
-    assert quality.features(long, weights)[0] == pytest.approx(want[0], abs=0.02)
+    monkeypatch.setattr(quality, "BLOCK", 7)  # a long text is hashed in blocks
+    assert quality.features(text, weights) == pytest.approx(want)
 
 
 def test_quality_without_labels_or_rows(spark, docs, empty):
