@@ -62,23 +62,26 @@ class Scratch:
         self.root = f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
         self.count = 0
 
-    def save(self, df: DataFrame, batch: int | None = None) -> DataFrame:
-        """Writes df and returns it as read back; its shuffle files go at once. batch: rows in an Arrow batch meanwhile, for memory where rows
-        hold whole texts."""
-        self.count += 1
-        path = f"{self.root}/{self.count}"
+    def write(self, df: DataFrame, path: str, mode: str = "errorifexists", batch: int | None = None) -> None:
+        """Writes df as Parquet; its shuffle files go at once. batch: rows in an Arrow batch meanwhile, for memory where rows hold whole texts."""
         conf = {CLEAN_UP: "true"} | ({ARROW_ROWS: str(batch)} if batch else {})
         was = {k: self.spark.conf.get(k, None) for k in conf}
         try:
             for k, v in conf.items():
                 self.spark.conf.set(k, v)
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.mode(mode).option("compression", "zstd").parquet(path)
         finally:
             for k, v in was.items():
                 if v is None:
                     self.spark.conf.unset(k)
                 else:
                     self.spark.conf.set(k, v)
+
+    def save(self, df: DataFrame, batch: int | None = None) -> DataFrame:
+        """Writes df below the folder and returns it as read back; see write()."""
+        self.count += 1
+        path = f"{self.root}/{self.count}"
+        self.write(df, path, batch=batch)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

@@ -169,9 +169,9 @@ def _maps(ids: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _compared(left: DataFrame, right: DataFrame, by: tuple[str, ...], ids: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a line of the left, a component of the right) between rows (*by, id, own, out) that meet in a block, in different components; ids: all
-    their ids, known: (id, line, *SKETCH). Two rows
-    that are out meet twice, and are compared once. Only links leave the join, and of a task at most one for a line and a component.
+    """Links (a line of the left, a component of the right) between rows (*by, id, own, out) that meet in a block, in different components.
+    ids: all their ids; known: (id, line, *SKETCH). Two rows that are out meet twice, and are compared once. Only links leave the join, and of a
+    task at most one for a line and a component.
 
     Sketches rule pairs out first, then what their maps can have in common at most, and the sets themselves decide.
     """

@@ -173,8 +173,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        tried, and then each ray outside the hub's component is compared with the hub and its rays in other components, in blocks. So of two
        documents that share a bucket no link is lost.
 
-    Rows with a null id have their n_shingles and the component of their text's class; they name no component but their own null one. Null and empty texts, and texts without words, have an empty set: n_shingles 0, linked with nothing. Rows that share an id are one
-    document (the least text counts for links). Other columns are ignored; an empty table gives an empty result.
+    Null and empty texts, and texts without words, have an empty set: n_shingles 0, linked with nothing. Rows that share an id are one
+    document (the least text counts for links). Rows with a null id join the class of their text, but name no component. Texts of any length are
+    read whole. Other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))

@@ -144,7 +144,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     bin slack finds; whole sequences of one piece need no search. The histogram of lengths, at most `most` numbers, is all that the
     driver sees; the pieces of each length get ranks, in parts of about PART_ROWS, and a rank decides the place.
 
-    Null texts count as empty (one token); very long texts and long runs of white space are encoded whole. Repeated rows are packed each, equal ones too. Other columns are ignored; an empty table gives an empty result.
+    Null texts count as empty (one token); very long texts and long runs of white space are encoded whole. Repeated rows are packed each, equal
+    ones too. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)

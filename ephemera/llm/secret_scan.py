@@ -97,7 +97,10 @@ class Ledger:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self._scans, self._history = spark, f"{root}/scans", f"{root}/history"
         for path, schema in ((self._scans, LEDGER), (self._history, HISTORY)):  # a folder can be read once it holds a file
-            spark.createDataFrame([], schema).write.mode("append").parquet(path)
+            self._append(spark.createDataFrame([], schema), path)
+
+    def _append(self, rows: DataFrame, path: str) -> None:
+        Scratch(self.spark).write(rows, path, "append")
 
     def scans(self) -> DataFrame:
         return self.spark.read.schema(LEDGER).parquet(self._scans)
@@ -108,11 +111,11 @@ class Ledger:
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> None:
         """Scans what is new in docs, whose ids are the paths. A write that was cut short may be repeated: only what lacks is added."""
-        scan_new(docs, self.scans(), text_col, rules).write.mode("append").parquet(self._scans)
+        self._append(scan_new(docs, self.scans(), text_col, rules), self._scans)
         here = docs.select(F.col(id_col).cast("string").alias("path"), F.sha2(text_of(text_col), 256).alias("blob")).distinct()
         known = self.history()
         same = here["path"].eqNullSafe(known["path"]) & (here["blob"] == known["blob"])
-        here.join(known, same, "left_anti").write.mode("append").parquet(self._history)
+        self._append(here.join(known, same, "left_anti"), self._history)
 
 
 def findings(docs: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
