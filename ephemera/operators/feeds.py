@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain, groupby
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from ..functions import labels
 from .celestial import ORDER
 
 CRLF = "\r\n"
+#: Octets of a strict feed's line, without its line break. A continuation begins with a space, which counts.
+OCTETS = 75
 
 
 def _block(*lines: Column | str) -> Column:
@@ -21,16 +29,71 @@ def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(name), value)
 
 
-def event_text(summary: Column, ms: Column, uid: Column) -> Column:
+def escaped(text: Column) -> Column:
+    """Text with the calendar format's escapes: backslash, semicolon, comma and line breaks."""
+    for plain, code in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), (CRLF, "\\n"), ("\n", "\\n"), ("\r", "\\n")):
+        text = F.replace(text, F.lit(plain), F.lit(code))
+    return text
+
+
+def folded(line: Column) -> Column:
+    """The line cut into lines of at most OCTETS octets of UTF-8, none of them within a character; continuations begin with a space."""
+
+    def put(at: Column, c: Column) -> Column:
+        n = F.octet_length(c)
+        full = at["used"] + n > OCTETS
+        done = F.when(full, F.concat(at["done"], at["line"], F.lit(CRLF + " "))).otherwise(at["done"])
+        return F.struct(done.alias("done"), F.when(full, c).otherwise(F.concat(at["line"], c)).alias("line"), F.when(full, n + 1).otherwise(at["used"] + n).alias("used"))
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("line"), F.lit(0).alias("used"))
+    return F.when(F.octet_length(line) <= OCTETS, line).otherwise(F.aggregate(F.split(line, ""), start, put, lambda at: F.concat(at["done"], at["line"])))
+
+
+@dataclass(frozen=True)
+class Style:
+    """How feeds are written. Plain ones have no DTSTAMP, escapes, folding or last line break; strict ones have them all.
+
+    stamp_ms: makes feeds strict; the instant of DTSTAMP, one for all events, so that feeds made again from the same events are equal.
+    """
+
+    product: str
+    stamp_ms: int | None = None
+
+    @property
+    def strict(self) -> bool:
+        return self.stamp_ms is not None
+
+    @property
+    def tail(self) -> str:
+        return f"END:VCALENDAR{CRLF if self.strict else ''}"
+
+    def line(self, name: str, value: Column) -> Column:
+        return folded(_line(name, value)) if self.strict else _line(name, value)
+
+    def text(self, name: str, value: Column) -> Column:
+        """A line whose value is free text."""
+        return self.line(name, escaped(value) if self.strict else value)
+
+    def begin(self) -> list[Column | str]:
+        return ["BEGIN:VEVENT", *([_line("DTSTAMP:", labels.utc_stamp(F.lit(self.stamp_ms).cast("long")))] if self.strict else [])]
+
+    def head(self, title: Column) -> list[Column | str]:
+        return ["BEGIN:VCALENDAR", "VERSION:2.0", self.line("PRODID:", F.lit(self.product)), "CALSCALE:GREGORIAN", "METHOD:PUBLISH", self.text("X-WR-CALNAME:", title)]
+
+
+SUN, SKY = Style("-//Ephemera//Sunrise Calendar//EN"), Style("-//Ephemera//Celestial Calendar//EN")
+
+
+def event_text(summary: Column, ms: Column, uid: Column, style: Style = SKY) -> Column:
     """An event in UTC, one minute long."""
     end = ms + labels.MINUTE_MS
-    return _block("BEGIN:VEVENT", _line("DTSTART:", labels.utc_stamp(ms)), _line("DTEND:", labels.utc_stamp(end)), _line("SUMMARY:", summary), _line("UID:", uid), "END:VEVENT")
+    return _block(*style.begin(), _line("DTSTART:", labels.utc_stamp(ms)), _line("DTEND:", labels.utc_stamp(end)), style.text("SUMMARY:", summary), style.text("UID:", uid), "END:VEVENT")
 
 
-def zoned_event_text(summary: Column, tz: Column, start: Column, end: Column, uid: Column) -> Column:
+def zoned_event_text(summary: Column, tz: Column, start: Column, end: Column, uid: Column, style: Style = SUN) -> Column:
     """An event in a named zone; null where start is."""
-    at = lambda name, value: F.concat(F.lit(f"{name};TZID="), tz, F.lit(":"), value)
-    return F.when(start.isNotNull(), _block("BEGIN:VEVENT", at("DTSTART", start), at("DTEND", end), _line("SUMMARY:", summary), _line("UID:", uid), "END:VEVENT"))
+    at = lambda name, value: style.line(f"{name};TZID=", F.concat(tz, F.lit(":"), value))
+    return F.when(start.isNotNull(), _block(*style.begin(), at("DTSTART", start), at("DTEND", end), style.text("SUMMARY:", summary), style.text("UID:", uid), "END:VEVENT"))
 
 
 def zone_text(tz: Column, offset: Column) -> Column:
@@ -39,33 +102,44 @@ def zone_text(tz: Column, offset: Column) -> Column:
     return _block("BEGIN:VTIMEZONE", _line("TZID:", tz), "BEGIN:STANDARD", "DTSTART:16010101T000000", _line("TZOFFSETFROM:", shift), _line("TZOFFSETTO:", shift), _line("TZNAME:", tz), "END:STANDARD", "END:VTIMEZONE")
 
 
-def _head(product: str, title: Column) -> list[Column | str]:
-    return ["BEGIN:VCALENDAR", "VERSION:2.0", f"PRODID:{product}", "CALSCALE:GREGORIAN", "METHOD:PUBLISH", _line("X-WR-CALNAME:", title)]
-
-
-def sun_feed_lines(labelled: DataFrame, product: str = "-//Ephemera//Sunrise Calendar//EN") -> DataFrame:
-    """(location_id, filename, head, day, kind_rank, body): every event's text, with its feed's head. head is the same in all rows of a feed."""
+def sun_feed_lines(labelled: DataFrame, style: Style = SUN, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(location_id, *keep, filename, head, day, kind_rank, body, tail): every event's text, with its feed's head and tail, the same in all its rows."""
     lat, lon = F.col("lat_text"), F.col("lon_text")
     title = F.concat(F.lit("Sunrise & Sunset ("), lat, F.lit(", "), lon, F.lit(")"))
-    head = _block(*_head(product, title), zone_text(F.col("tz_id"), F.col("offset_hours")))
+    head = _block(*style.head(title), zone_text(F.col("tz_id"), F.col("offset_hours")))
     summary = F.when(F.col("kind") == "sunrise", "Sunrise").otherwise("Sunset")
-    body = zoned_event_text(summary, F.col("tz_id"), F.col("local_start"), F.col("local_end"), F.col("uid"))
-    return labelled.select("location_id", F.concat(F.lit("sunrise-"), lat, F.lit("-"), lon, F.lit(".ics")).alias("filename"), head.alias("head"), "day", "kind_rank", body.alias("body"))
+    body = zoned_event_text(summary, F.col("tz_id"), F.col("local_start"), F.col("local_end"), F.col("uid"), style)
+    name = F.concat(F.lit("sunrise-"), lat, F.lit("-"), lon, F.lit(".ics"))
+    return labelled.select("location_id", *keep, name.alias("filename"), head.alias("head"), "day", "kind_rank", body.alias("body"), F.lit(style.tail).alias("tail"))
 
 
-def sun_feeds(lines: DataFrame) -> DataFrame:
-    """(feed_id, filename, ics), one row per location, events by day, sunrise first. A feed's size is bounded by its window."""
-    bodies = F.transform(F.array_sort(F.collect_list(F.struct("day", "kind_rank", "body"))), lambda x: x["body"])
-    feeds = lines.groupBy("location_id").agg(F.any_value("filename").alias("filename"), F.any_value("head").alias("head"), bodies.alias("bodies"))
-    return feeds.select(F.col("location_id").cast("string").alias("feed_id"), "filename", F.concat_ws(CRLF, "head", F.array_join("bodies", CRLF), F.lit("END:VCALENDAR")).alias("ics"))
+def _in_order(*order: str) -> Column:
+    """The last column's values in the order of all."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda x: x[order[-1]])
 
 
-def celestial_feed(events: DataFrame, product: str = "-//Ephemera//Celestial Calendar//EN") -> DataFrame:
-    """(feed_id, filename, ics), one row."""
-    rows = events.select(*ORDER, event_text(F.col("name"), F.col("event_ms"), F.col("uid")).alias("body"))
-    bodies = F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, "body"))), lambda x: x["body"])
-    whole = rows.agg(bodies.alias("bodies"))
-    return whole.select(F.lit("celestial").alias("feed_id"), F.lit("celestial.ics").alias("filename"), F.concat_ws(CRLF, *(x if isinstance(x, Column) else F.lit(x) for x in _head(product, F.lit("Celestial Events"))), F.when(F.size("bodies") > 0, F.array_join("bodies", CRLF)), F.lit("END:VCALENDAR")).alias("ics"))
+def sun_feeds(lines: DataFrame, place: str | None = None) -> DataFrame:
+    """(feed_id, filename, ics), one row per location, events by day, sunrise first.
+
+    Events are put together by year, and years by feed, so a list holds a year's events or a feed's years at most. Both happen where a feed's rows lie:
+    they are dealt by location once; with `place`, a column by which they lie already (the buckets of a store), not at all.
+    """
+    by = [place, "location_id"] if place else ["location_id"]
+    rows = (lines if place else lines.repartition("location_id")).withColumn("year", F.year("day"))
+    same = [F.any_value(c).alias(c) for c in ("filename", "head", "tail")]
+    years = rows.groupBy(*by, "year").agg(*same, F.array_join(_in_order("day", "kind_rank", "body"), CRLF).alias("text"))
+    feeds = years.groupBy(*by).agg(*same, _in_order("year", "text").alias("texts"))
+    return feeds.select(F.col("location_id").cast("string").alias("feed_id"), "filename", F.concat_ws(CRLF, "head", F.array_join("texts", CRLF), "tail").alias("ics"))
+
+
+def celestial_feed(events: DataFrame, style: Style = SKY) -> DataFrame:
+    """(feed_id, filename, ics), one row, put together by year and then whole as in sun_feeds()."""
+    year = F.when(F.col("block") == 1, F.year(labels.date_of(F.col("event_ms")))).otherwise(F.col("year"))
+    rows = events.select(*ORDER, year.alias("part"), event_text(F.col("name"), F.col("event_ms"), F.col("uid"), style).alias("body"))
+    parts = rows.groupBy("block", "part").agg(F.array_join(_in_order(*ORDER, "body"), CRLF).alias("text"))
+    whole = parts.agg(_in_order("block", "part", "text").alias("texts"))
+    head = _block(*style.head(F.lit("Celestial Events")))
+    return whole.select(F.lit("celestial").alias("feed_id"), F.lit("celestial.ics").alias("filename"), F.concat_ws(CRLF, head, F.when(F.size("texts") > 0, F.array_join("texts", CRLF)), F.lit(style.tail)).alias("ics"))
 
 
 # --- sinks --------------------------------------------------------------------------------------------------
@@ -78,38 +152,79 @@ def write_feed_table(feeds: DataFrame, path: str) -> None:
 def write_feed_files(lines: DataFrame, directory: str, tasks: int | None = None) -> None:
     """One file per feed from sun_feed_lines(), written by the tasks as rows stream by: no feed is ever held whole.
 
-    directory: any address that pyarrow's file systems open. Files are overwritten, so a task that runs again does no harm. Places with equal
+    directory: any address that pyarrow's file systems open. A feed's file is the old one or the new one, whole: see FeedFiles. Places with equal
     coordinates have one feed and one file, so a file's rows are all in one task and those of its first place are written.
     """
     dealt = lines.repartition(*([tasks] if tasks else []), "filename").sortWithinPartitions("filename", "location_id", "day", "kind_rank")
-    dealt.select("filename", "location_id", "head", "body").foreachPartition(_FileWriter(directory))
+    _save(dealt.select("filename", "location_id", "head", "body", "tail"), directory)
 
 
 def write_whole_feeds(feeds: DataFrame, directory: str) -> None:
     """One file per row of feeds(filename, ics), such as celestial_feed() or sun_feeds() make, with its text byte for byte."""
-    feeds.select("filename", F.lit(0).alias("location_id"), F.col("ics").alias("head"), F.lit(None).cast("string").alias("body")).foreachPartition(_FileWriter(directory))
+    nothing = F.lit(None).cast("string")
+    _save(feeds.select("filename", F.lit(0).cast("long").alias("location_id"), F.col("ics").alias("head"), nothing.alias("body"), nothing.alias("tail")), directory)
 
 
-class _FileWriter:
-    """Writes rows (filename, location_id, head, body) that stand together by file and place. A head without body is the whole text."""
+def _save(rows: DataFrame, directory: str) -> None:
+    rows.sparkSession.dataSource.register(FeedFiles)
+    rows.write.format(FeedFiles.name()).mode("append").save(directory)
 
-    def __init__(self, directory: str):
-        self.directory = directory
 
-    def __call__(self, rows: Iterator[Row]) -> None:
-        from itertools import chain, groupby
+class FeedFiles(DataSource):
+    """A sink of rows (filename, location_id, head, body, tail) that stand together by file and place. A head without body is the whole text.
+
+    Tasks write below a folder of the job, each attempt under a name of its own, and move files to their places when all of the task's are whole. A
+    task that dies leaves the feeds as they were and its files in that folder, which goes with the job. Two attempts of one task move equal bytes.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "feed_files"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return _FeedWriter(self.options["path"])
+
+
+@dataclass
+class _Moved(WriterCommitMessage):
+    files: int
 
+
+class _FeedWriter(DataSourceWriter):
+    def __init__(self, directory: str):
+        self.directory, self.job = directory, f".staged-{uuid.uuid4().hex}"
+
+    def _open(self):
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(self.directory)
-        system.create_dir(root, recursive=True)
+        return fs.FileSystem.from_uri(self.directory)
+
+    def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
+        system, root = self._open()
+        attempt = f"{root}/{self.job}/{uuid.uuid4().hex}"
+        system.create_dir(attempt, recursive=True)
+        written = []
         for name, events in groupby(rows, key=lambda r: r["filename"]):
-            with system.open_output_stream(f"{root}/{name}") as out:
+            with system.open_output_stream(f"{attempt}/{name}") as out:
                 first = next(events)
                 out.write(first["head"].encode())
-                if first["body"] is None:
-                    continue
-                for row in chain([first], events):
-                    if row["location_id"] == first["location_id"]:
-                        out.write((CRLF + row["body"]).encode())
-                out.write(f"{CRLF}END:VCALENDAR".encode())
+                if first["body"] is not None:
+                    for row in chain([first], events):
+                        if row["location_id"] == first["location_id"]:
+                            out.write((CRLF + row["body"]).encode())
+                    out.write((CRLF + first["tail"]).encode())
+            written.append(name)
+        for name in written:
+            system.move(f"{attempt}/{name}", f"{root}/{name}")
+        return _Moved(len(written))
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._clean()
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._clean()
+
+    def _clean(self) -> None:
+        system, root = self._open()
+        with contextlib.suppress(FileNotFoundError):  # a table without partitions
+            system.delete_dir(f"{root}/{self.job}")

@@ -40,9 +40,44 @@ def sun_events(locations: DataFrame, window: Window, tasks: int | None = None, k
     day is the UTC day that was sampled; an event's local date may be the day before or after. One narrow stage: no exchange follows the
     spreading of the locations.
     """
+    return _events(sun_times(locations, window, tasks, keep), keep)
+
+
+#: Days of one row at most where places have windows of their own.
+SPAN = 366
+
+
+def stretches(locations: DataFrame, first: str = "first", last: str = "last", span: int = SPAN) -> DataFrame:
+    """The rows with their windows [first, last] (dates, both included) cut to at most `span` days each, so that a place with a long window is many rows.
+
+    Rows without a day (an end before the start, or a null) go.
+    """
+    days = F.datediff(last, first)
+    part = lambda k: F.struct(F.date_add(first, k * span).alias("a"), F.least(F.col(last), F.date_add(first, (k + 1) * span - 1)).alias("b"))
+    cut = "_stretch"
+    while cut in locations.columns:
+        cut += "_"
+    rows = locations.where(days >= 0).withColumn(cut, F.explode(F.transform(F.sequence(F.lit(0), F.floor(days / span).cast("int")), part)))
+    return rows.withColumns({first: F.col(cut)["a"], last: F.col(cut)["b"]}).drop(cut)
+
+
+def own_sun_events(locations: DataFrame, first: str = "first", last: str = "last", keep: tuple[str, ...] = (), tasks: int | None = None, span: int = SPAN) -> DataFrame:
+    """sun_events() where each place has a window of its own: columns first and last, dates, both included.
+
+    Long windows become several rows before days multiply. tasks: deals those rows out evenly over so many tasks, so that one place with a window of
+    millennia among many short ones is not one task's work; without it they stay where they are.
+    """
+    rows = stretches(locations.select("location_id", "lat", "lon", *keep, first, last), first, last, span)
+    if tasks:
+        rows = rows.repartition(tasks)
+    daily = rows.withColumn("day", F.explode(F.sequence(F.col(first), F.col(last)))).drop(first, last)
+    inputs = {"lat": F.col("lat"), "lon": F.col("lon"), "day_ms": day_ms(F.col("day"))}
+    return _events(chain(daily, solar.STEPS, inputs, {"rise_ms": "rise_ms", "set_ms": "set_ms"}), keep)
+
+
+def _events(times: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     both = F.array(*(F.struct(F.lit(rank).alias("kind_rank"), F.lit(kind).alias("kind"), F.col(ms).alias("event_ms")) for rank, kind, ms in KINDS))
-    rows = sun_times(locations, window, tasks, keep).withColumn("e", F.explode(both))
-    return rows.select("location_id", "lat", "lon", *keep, "day", "e.*").where("event_ms is not null")
+    return times.withColumn("e", F.explode(both)).select("location_id", "lat", "lon", *keep, "day", "e.*").where("event_ms is not null")
 
 
 #: What is the same for all events of a place: the offset from UTC, its zone, and the coordinates as text.

@@ -7,6 +7,7 @@ import math
 from ..functions.labels import DOMAIN
 from ..functions.solar import HORIZON, OBLIQUITY, PERIHELION, RAD
 from ..sources.dimensions import CROSS_QUARTERS, PHASES, SEASONS
+from .queries import LONG_DOMAIN, STRICT
 
 DAY = "86400000"
 TAU = repr(2 * math.pi)
@@ -21,6 +22,12 @@ def _num(x: float) -> str:
 
 CUSTOMERS = "SELECT c_custkey AS location_id, ((c_custkey*7919) % 12001)/100E0 - 60E0 AS lat, ((c_custkey*104729) % 35999)/100E0 - 180E0 AS lon FROM customer"
 SUPPLIERS = "SELECT s_suppkey AS location_id, 55E0 + ((s_suppkey*37) % 3501)/100E0 AS lat, ((s_suppkey*104729) % 35999)/100E0 - 180E0 AS lon FROM supplier"
+#: The suppliers' places after some moved, left or came.
+MOVED = f"""SELECT location_id, CASE WHEN location_id % 10 = 0 THEN -lat ELSE lat END AS lat, lon FROM ({SUPPLIERS}) WHERE location_id % 10 <> 1
+UNION ALL SELECT location_id + 1000000, -lat, lon FROM ({SUPPLIERS}) WHERE location_id % 10 = 2"""
+#: Each customer's place with a window of its own.
+OWN = f"""SELECT location_id, lat, lon, CAST(unnest(generate_series(CAST(first AS TIMESTAMP), CAST(first + CAST(CASE WHEN location_id % 500 = 0 THEN 73000 ELSE (location_id * 7) % 60 END AS INTEGER) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day
+FROM (SELECT *, DATE '1900-01-01' + CAST(CASE WHEN location_id % 500 = 0 THEN 0 ELSE (location_id * 37) % 40000 END AS INTEGER) AS first FROM ({CUSTOMERS}))"""
 RAW = """SELECT c_custkey AS location_id, CAST(CAST(c_acctbal AS DECIMAL(12,2)) AS VARCHAR) AS lat_text,
   CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE CAST(CAST(c_acctbal/10 AS DECIMAL(12,3)) AS VARCHAR) || CASE WHEN c_custkey % 7 = 0 THEN 'd' ELSE '' END END AS lon_text
 FROM customer"""
@@ -86,8 +93,8 @@ labelled AS (
   FROM offsets)"""
 
 
-def _labelled(first: int = 2025, last: int = 2027) -> str:
-    return f"WITH {_sun_times(_daily(SUPPLIERS, first, last))},\n{EVENTS},\n{LABELS}\n"
+def _labelled(first: int = 2025, last: int = 2027, places: str = SUPPLIERS, domain: str = DOMAIN) -> str:
+    return f"WITH {_sun_times(_daily(places, first, last))},\n{EVENTS},\n{LABELS.replace(f'@{DOMAIN}', f'@{domain}')}\n"
 
 
 CR = "chr(13) || chr(10)"
@@ -101,6 +108,12 @@ def _head(product: str, title: str) -> str:
     return _lines("'BEGIN:VCALENDAR'", "'VERSION:2.0'", f"'PRODID:{product}'", "'CALSCALE:GREGORIAN'", "'METHOD:PUBLISH'", f"'X-WR-CALNAME:' || {title}")
 
 
+def _folded(line: str) -> str:
+    """A line of ASCII cut into lines of at most 75 characters."""
+    rest = f"list_transform(range(0, CAST(ceil((length({line}) - 75) / 74E0) AS BIGINT)), lambda i: {CR} || ' ' || substr({line}, 76 + 74 * i, 74))"
+    return f"CASE WHEN length({line}) <= 75 THEN {line} ELSE substr({line}, 1, 75) || list_aggregate({rest}, 'string_agg', '') END"
+
+
 # --- seasons ------------------------------------------------------------------------------------------------
 
 _SEASONS = ", ".join(f"({i}, '{name}', {', '.join(map(_num, c))})" for i, name, *c in SEASONS)
@@ -197,6 +210,34 @@ _ZONE = _lines("'BEGIN:VTIMEZONE'", "'TZID:' || tz_id", "'BEGIN:STANDARD'", "'DT
 _SUN_HEAD = _lines(_head("-//Ephemera//Sunrise Calendar//EN", f"'Sunrise & Sunset (' || {_text('lat')} || ', ' || {_text('lon')} || ')'"), _ZONE)
 _UTC_BODY = _lines("'BEGIN:VEVENT'", f"'DTSTART:' || {_stamp('event_ms')} || 'Z'", f"'DTEND:' || {_stamp('event_ms + 60000')} || 'Z'", "'SUMMARY:' || name", "'UID:' || uid", "'END:VEVENT'")
 _PER_UID = "SELECT uid, arg_min(event_ms, (day, event_ms)) AS event_ms FROM labelled GROUP BY uid"
+
+
+def _feeds(labelled: str, body: str = _BODY, head: str = _SUN_HEAD, tail: str = "'END:VCALENDAR'") -> str:
+    return f"""{labelled}, bodies AS (SELECT *, {body} AS body, {head} AS head FROM labelled),
+ics AS (SELECT CAST(location_id AS VARCHAR) AS feed_id, 'sunrise-' || min({_text("lat")}) || '-' || min({_text("lon")}) || '.ics' AS filename,
+  min(head) || {CR} || string_agg(body, {CR} ORDER BY day, kind_rank) || {CR} || {tail} AS ics FROM bodies GROUP BY location_id)
+SELECT feed_id, filename, length(ics) AS n_chars, md5(ics) AS ics_md5 FROM ics"""
+
+
+def _diff(old: str, new: str) -> str:
+    return f"""WITH a AS ({old} {_PER_UID}), b AS ({new} {_PER_UID}),
+diff AS (SELECT coalesce(a.uid, b.uid) AS uid, CASE WHEN a.uid IS NULL THEN 'insert' WHEN b.uid IS NULL THEN 'delete' ELSE 'update' END AS action, a.event_ms AS old_ms, b.event_ms AS new_ms
+  FROM a FULL OUTER JOIN b ON a.uid = b.uid WHERE a.event_ms IS DISTINCT FROM b.event_ms)"""
+
+
+_STAMP = f"'DTSTAMP:' || {_stamp(str(STRICT.stamp_ms))} || 'Z'"
+_STRICT_BODY = _BODY.replace("'BEGIN:VEVENT'", f"'BEGIN:VEVENT' || {CR} || {_STAMP}").replace("'UID:' || uid", f"({_folded(chr(40) + chr(39) + 'UID:' + chr(39) + ' || uid)')})")
+_STRICT_HEAD = _SUN_HEAD.replace("|| ', ' ||", "|| '\\, ' ||")
+
+#: The records of each written file: its line, whether it can be read, and its id.
+_RECORDS = f"""{_PARSED},
+lines AS (
+  SELECT *, 'csv' AS kind, CASE WHEN location_id % 19 = 0 THEN '' WHEN location_id % 23 = 0 THEN 'no number' ELSE CAST(location_id AS VARCHAR) END
+    || ',' || coalesce(lat_text, '') || ',' || coalesce(lon_text, '') || CASE WHEN location_id % 13 = 0 THEN ',surplus' ELSE '' END AS line,
+    location_id % 13 = 0 OR (location_id % 19 <> 0 AND location_id % 23 = 0) AS bad FROM reasons
+  UNION ALL
+  SELECT * EXCLUDE (whole), 'json', CASE WHEN location_id % 17 = 0 THEN substr(whole, 1, length(whole) - 1) WHEN location_id % 29 = 0 THEN '{{' || whole ELSE whole END, location_id % 17 = 0 OR location_id % 29 = 0
+  FROM (SELECT *, '{{' || concat_ws(',', CASE WHEN location_id % 19 <> 0 THEN '"location_id":' || location_id END, '"lat":"' || lat_text || '"', '"lon":"' || lon_text || '"') || '}}' AS whole FROM reasons))"""
 _USER = "SELECT event_id, epoch_us(ts) // 1000 AS ms, ((user_id*7919) % 12001)/100E0 - 60E0 AS lat, ((user_id*104729) % 35999)/100E0 - 180E0 AS lon, k FROM events, (VALUES (-1), (0), (1)) AS n(k)"
 
 ORACLE_SQL = {
@@ -214,17 +255,22 @@ FROM sun_times GROUP BY location_id, year(day)""",
     "moon_phase_daily": f"{_moon(_span('events', 'ts'))} SELECT ms, round(phase, 6) AS phase FROM daily",
     "moon_events": f"{_moon(_span('orders', 'o_orderdate'))} SELECT * FROM moon_rows",
     "celestial_events": f"{_celestial()} SELECT * FROM celestial",
-    "sun_feed": f"""{_labelled()}, bodies AS (SELECT *, {_BODY} AS body, {_SUN_HEAD} AS head FROM labelled),
-ics AS (SELECT CAST(location_id AS VARCHAR) AS feed_id, 'sunrise-' || min({_text("lat")}) || '-' || min({_text("lon")}) || '.ics' AS filename,
-  min(head) || {CR} || string_agg(body, {CR} ORDER BY day, kind_rank) || {CR} || 'END:VCALENDAR' AS ics FROM bodies GROUP BY location_id)
-SELECT feed_id, filename, length(ics) AS n_chars, md5(ics) AS ics_md5 FROM ics""",
+    "sun_feed": _feeds(_labelled()),
+    "strict_feed": _feeds(_labelled(domain=LONG_DOMAIN), _STRICT_BODY, _STRICT_HEAD, f"'END:VCALENDAR' || {CR}"),
+    "stored_feed": _feeds(_labelled(2026, 2028, MOVED)),
     "celestial_feed": f"""{_celestial()},
 ics AS (SELECT {_head("-//Ephemera//Celestial Calendar//EN", "'Celestial Events'")} || {CR} || string_agg({_UTC_BODY}, {CR} ORDER BY block, year, sub, idx, event_ms) || {CR} || 'END:VCALENDAR' AS ics FROM celestial)
 SELECT 'celestial' AS feed_id, 'celestial.ics' AS filename, length(ics) AS n_chars, md5(ics) AS ics_md5 FROM ics""",
-    "refresh_diff": f"""WITH a AS ({_labelled(2025, 2027)} {_PER_UID}), b AS ({_labelled(2026, 2028)} {_PER_UID}),
-diff AS (SELECT coalesce(a.uid, b.uid) AS uid, CASE WHEN a.uid IS NULL THEN 'insert' WHEN b.uid IS NULL THEN 'delete' ELSE 'update' END AS action
-  FROM a FULL OUTER JOIN b ON a.uid = b.uid WHERE a.event_ms IS DISTINCT FROM b.event_ms)
-SELECT action, count(*) AS events, min(uid) AS first_uid FROM diff GROUP BY action""",
+    "refresh_diff": f"{_diff(_labelled(2025, 2027), _labelled(2026, 2028))} SELECT action, count(*) AS events, min(uid) AS first_uid FROM diff GROUP BY action",
+    "refresh_apply": f"WITH {_sun_times(_daily(MOVED, 2026, 2028))},\n{EVENTS} {_SUN_SELECT}",
+    "refresh_cells": f"""SELECT CAST(CASE WHEN year < 2028 AND location_id < 1000000 AND location_id % 10 <> 0 THEN 1 ELSE 2 END AS INTEGER) AS made, year, count(*) AS cells
+FROM ({MOVED}), (SELECT CAST(unnest([2026, 2027, 2028]) AS INTEGER) AS year) GROUP BY 1, 2""",
+    "refresh_store_diff": f"{_diff(_labelled(2025, 2027), _labelled(2026, 2028, MOVED))} SELECT uid, action, coalesce(old_ms, 0) AS old_ms, coalesce(new_ms, 0) AS new_ms FROM diff",
+    "sun_events_own_windows": f"WITH {_sun_times(OWN)},\n{EVENTS} SELECT location_id, day, kind, event_ms FROM sun_events",
+    "file_records": f"""{_RECORDS}
+SELECT kind, CASE WHEN NOT bad AND location_id % 19 <> 0 THEN CAST(location_id AS VARCHAR) END AS location_id, CASE WHEN NOT bad THEN lat END AS lat, CASE WHEN NOT bad THEN lon END AS lon,
+  CASE WHEN NOT bad THEN lat_text END AS lat_text, CASE WHEN NOT bad THEN lon_text END AS lon_text, CASE WHEN bad THEN line END AS record,
+  CASE WHEN bad THEN 'record cannot be read' ELSE concat_ws('; ', CASE WHEN location_id % 19 = 0 THEN 'location_id missing' END, r1, r2) END AS reason FROM lines""",
     "uid_collisions": f"{_labelled()} SELECT location_id, uid, count(*) AS events FROM labelled GROUP BY location_id, uid HAVING count(*) > 1",
     "event_moon_phase": f"SELECT event_id, ms, round(phase, 6) AS moon_phase FROM {_phase_of('(SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events)')}",
     "event_daylight": f"""WITH {_sun_times(_USER, "CAST(floor(ms / 86400000E0) AS BIGINT) * 86400000 + k * 86400000")}

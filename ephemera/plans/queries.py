@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..operators import celestial, enrich, feeds, moon, refresh, seasons, sun
+from ..operators.store import Store
 from ..sources import locations as places
+from ..sources.folders import shared_folder
 from ..sources.spines import Window
 
 AS_OF = dt.date(2026, 6, 1)
@@ -119,6 +121,82 @@ def refresh_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refresh.refresh_diff(*made).groupBy("action").agg(F.count(F.lit(1)).alias("events"), F.min("uid").alias("first_uid"))
 
 
+#: A folder of feeds that a strict calendar reader takes; the domain is long enough for identifiers to be folded.
+STRICT = feeds.Style("-//Ephemera//Sunrise Calendar//EN", 1_767_225_600_000)
+LONG_DOMAIN = "sunrise-and-sunset-calendars.of-all-places.ephemera"
+
+
+def strict_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = feeds.sun_feeds(feeds.sun_feed_lines(sun.labelled_events(supplier_locations(spark, sf_dir), Window.around(AS_OF), LONG_DOMAIN), STRICT))
+    return found.select("feed_id", "filename", F.length("ics").cast("long").alias("n_chars"), F.md5("ics").alias("ics_md5"))
+
+
+def moved_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers' places later: every tenth moved to the other hemisphere, every tenth is gone, and there are as many new ones."""
+    key = F.col("location_id")
+    old = supplier_locations(spark, sf_dir).where(key % 10 != 1)
+    moved = old.withColumn("lat", F.when(key % 10 == 0, -F.col("lat")).otherwise(F.col("lat")))
+    return moved.unionByName(old.where(key % 10 == 2).select((key + 1_000_000).alias("location_id"), (-F.col("lat")).alias("lat"), "lon"))
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> Store:
+    """A store that was made for one year and refreshed for the next, when places had moved; its versions are 1 and 2."""
+    store = Store(spark, shared_folder(spark, "sun-store"), buckets=16)
+    store.refresh(supplier_locations(spark, sf_dir), Window.around(AS_OF))
+    store.refresh(moved_locations(spark, sf_dir), Window.around(AS_OF.replace(year=AS_OF.year + 1)))
+    return store
+
+
+def refresh_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a refreshed store holds: the events of the new places and the new window, and no others."""
+    return _refreshed(spark, sf_dir).read().select("location_id", "lat", "lon", "day", "kind", "event_ms")
+
+
+def refresh_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many places' years the refreshed store took over from its first version, and how many it computed."""
+    return _refreshed(spark, sf_dir).cells().groupBy("made", "year").agg(F.count(F.lit(1)).alias("cells"))
+
+
+def refresh_store_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every identifier whose event differs between the two versions; 0 stands for no event."""
+    found = _refreshed(spark, sf_dir).diff(1, 2)
+    return found.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("old_ms", "new_ms")})
+
+
+def stored_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds from a refreshed store, put together within its buckets."""
+    lines = feeds.sun_feed_lines(sun.with_labels(_refreshed(spark, sf_dir).read()), keep=("place",))
+    return feeds.sun_feeds(lines, "place").select("feed_id", "filename", F.length("ics").cast("long").alias("n_chars"), F.md5("ics").alias("ics_md5"))
+
+
+def sun_events_own_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sun events where every place has a window of its own: weeks for most, two centuries for every 500th."""
+    key, start = F.col("location_id"), F.lit("1900-01-01").cast("date")
+    long = key % 500 == 0
+    first = F.date_add(start, F.when(long, 0).otherwise((key * 37) % 40_000).cast("int"))
+    places_ = customer_locations(spark, sf_dir).withColumn("first", first)
+    last = F.date_add("first", F.when(long, 73_000).otherwise((key * 7) % 60).cast("int"))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return sun.own_sun_events(places_.withColumn("last", last), tasks=tasks).select("location_id", "day", "kind", "event_ms")
+
+
+def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places written as CSV and JSON, some of whose lines cannot be read, and what becomes of each line."""
+    key = F.col("location_id")
+    raw = raw_locations(spark, sf_dir)
+    fields = F.concat_ws(",", F.when(key % 19 == 0, "").when(key % 23 == 0, "no number").otherwise(key.cast("string")), F.coalesce("lat", F.lit("")), F.coalesce("lon", F.lit("")))
+    csv = F.concat(fields, F.when(key % 13 == 0, ",surplus").otherwise(""))
+    whole = F.to_json(F.struct(F.when(key % 19 != 0, key).alias("location_id"), "lat", "lon"))
+    json = F.when(key % 17 == 0, F.substring(whole, F.lit(1), F.length(whole) - 1)).when(key % 29 == 0, F.concat(F.lit("{"), whole)).otherwise(whole)
+    out = None
+    for kind, line, options in (("csv", csv, {"header": "false"}), ("json", json, {})):
+        path = shared_folder(spark, kind)
+        raw.select(line.alias("value")).write.text(path)
+        rows = places.read_records(spark, path, kind, **options).select(F.lit(kind).alias("kind"), "*").withColumn("location_id", F.col("location_id").cast("string"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def uid_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sun.uid_collisions(sun.labelled_events(supplier_locations(spark, sf_dir), Window.around(AS_OF)))
 
@@ -146,5 +224,5 @@ def orders_by_season(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (season_events, cross_quarter_days, sun_events, sun_events_polar, sun_event_labels, sun_daily_totals, valid_locations, rejected_locations, moon_phase_daily, moon_events, celestial_events, sun_feed, celestial_feed, refresh_diff, uid_collisions, event_moon_phase, event_daylight, orders_by_season)
+    for f in (season_events, cross_quarter_days, sun_events, sun_events_polar, sun_event_labels, sun_daily_totals, valid_locations, rejected_locations, moon_phase_daily, moon_events, celestial_events, sun_feed, celestial_feed, strict_feed, refresh_diff, refresh_apply, refresh_cells, refresh_store_diff, stored_feed, sun_events_own_windows, file_records, uid_collisions, event_moon_phase, event_daylight, orders_by_season)
 }

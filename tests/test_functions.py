@@ -61,3 +61,34 @@ def test_validation(spark, tmp_path):
         assert [tuple(r) for r in places.read_locations(spark, str(tmp_path / name), kind).collect()] == [(4, 45.0, 9.0)]
     reasons = {r["location_id"]: r["reason"] for r in places.rejected_locations(typed).collect()}
     assert reasons == {1: "lat out of range; lon out of range", 2: "lat not a number", 3: "lon missing"}
+
+
+CSV = ["1,90,-180", "2,90.01,0", "3,,5", "4,12d,181", "5,1,2,surplus", "6,1", "x,1,2", ",3,4", '"7","8","9"', '7,"1,2",3']
+JSON = ['{"location_id": 1, "lat": "10", "lon": 20}', '{"location_id": 2, "lat": "10"', "no json", '{"location_id": 3, "lat": null, "lon": "5"}', '{"lat": "1", "lon": "2"}', '{"location_id": "x", "lat": "1", "lon": "2"}', '{"location_id": 4, "lat": "1", "lon": "2", "more": [1]}']
+
+
+def test_every_record_of_a_file_is_told(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    (tmp_path / "a.csv").write_text("\n".join(["location_id,lat,lon", *CSV]))
+    (tmp_path / "a.json").write_text("\n".join(JSON))
+    want = {
+        "csv": {"1": "", "2": "lat out of range", "3": "lat missing", "4": "lat not a number; lon out of range", "5,1,2,surplus": "record cannot be read", "6,1": "record cannot be read", "x,1,2": "record cannot be read", None: "location_id missing", "7": ""},
+        "json": {"1": "", '{"location_id": 2, "lat": "10"': "record cannot be read", "no json": "record cannot be read", "3": "lat missing", None: "location_id missing", JSON[5]: "record cannot be read", "4": ""},
+    }
+    for kind, lines in (("csv", CSV), ("json", JSON)):
+        seen = Observation(f"records-{kind}")
+        records = places.read_records(spark, str(tmp_path / f"a.{kind}"), kind, seen)
+        good, bad = places.split_records(records, str(tmp_path / f"split-{kind}"))
+        assert good.count() + bad.count() == len(lines) == seen.get["rows"]
+        assert (good.count(), bad.count()) == (seen.get["accepted"], seen.get["rejected"])
+        told = {r["record"] or (None if r["location_id"] is None else str(r["location_id"])): r["reason"] for r in records.where("coalesce(lat_text, '') <> '1,2'").collect()}
+        assert told == want[kind]
+        assert sorted(map(tuple, good.collect())) == sorted(map(tuple, places.read_locations(spark, str(tmp_path / f"a.{kind}"), kind).collect()))
+        assert all(r["record"] is None or (r["location_id"], r["lat_text"], r["lon_text"]) == (None,) * 3 for r in bad.collect())
+
+
+def test_repeated_ids(spark):
+    rows = spark.createDataFrame([(1, 5.0, 6.0), (1, 5.0, 2.0), (2, 1.0, 1.0), (2, 1.0, 1.0), (3, 0.0, 0.0)], places.LOCATIONS)
+    assert sorted(map(tuple, places.repeated_ids(rows).collect())) == [(1, 2, 5.0, 2.0), (2, 2, 1.0, 1.0)]
+    assert sorted(map(tuple, places.one_per_id(rows).collect())) == [(1, 5.0, 2.0), (2, 1.0, 1.0), (3, 0.0, 0.0)]
