@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, text_of
+from .common import let, sums_before, table, text_of
 
 TURNS = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
 OPEN, MIDDLE, CLOSE = "<turn ", ">\n", "</turn>\n"
@@ -80,15 +80,18 @@ MAPPINGS = (
 
 
 def mapping_for(schema: T.StructType, id_col: str | None = None, mappings: tuple[Mapping, ...] = MAPPINGS) -> Mapping:
-    """The mapping whose fingerprint the schema has. Fields that no layout names are left out first, so that extra columns do no harm."""
-    known = {p for m in mappings for p in m.paths}
-    paths = [p for p in field_paths(schema) if p in known]
+    """The mapping whose fingerprint the schema has, or else those of its fields that a mapping names, so that extra columns do no harm.
+
+    Where the fields hold several layouts, one with a row per turn comes first, then the one with most fields, then the first in mappings.
+    """
+    paths = field_paths(schema)
     by_key = {m.key: m for m in mappings}
-    if found := by_key.get(fingerprint(paths)):
-        return found
-    rest = [p for p in paths if p != id_col]
-    if found := by_key.get(fingerprint(rest)):
-        return found
+    for exact in (paths, [p for p in paths if p != id_col]):
+        if found := by_key.get(fingerprint(exact)):
+            return found
+    parts = [m for m in mappings if by_key.get(fingerprint([p for p in paths if p in m.paths])) is m]
+    if parts:
+        return max(parts, key=lambda m: (m.by_row is not None, len(m.paths)))
     raise ValueError(f"no mapping for a layout with the fields {', '.join(paths) or '(none)'}")
 
 
@@ -151,12 +154,17 @@ def _shape(kind: T.DataType) -> str:
 
 
 def escape(text: Column) -> Column:
-    r"""Reversible: \ becomes \s and < becomes \l, so no escaped text can hold a mark of the template."""
+    r"""Reversible: \ becomes \s and < becomes \l, so no escaped text can begin a mark of the template."""
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\s")), F.lit("<"), F.lit("\\l"))
 
 
+def escape_role(role: Column) -> Column:
+    r"""Like escape(), and > becomes \g, so no role can hold the mark that ends it."""
+    return F.replace(escape(role), F.lit(">"), F.lit("\\g"))
+
+
 def unescape(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\\l"), F.lit("<")), F.lit("\\s"), F.lit("\\"))
+    return F.replace(F.replace(F.replace(text, F.lit("\\g"), F.lit(">")), F.lit("\\l"), F.lit("<")), F.lit("\\s"), F.lit("\\"))
 
 
 def format_chats(chats: DataFrame, id_col: str = "conv_id", loss_role: str = "assistant") -> DataFrame:
@@ -165,28 +173,29 @@ def format_chats(chats: DataFrame, id_col: str = "conv_id", loss_role: str = "as
     A turn is `<turn ROLE>`, a line feed, the escaped text, `</turn>` and a line feed. loss_spans are the code points of
     formatted, end exclusive, that hold texts of loss_role; a span may be empty, as its text. No turns give "".
     """
-    heads = F.transform("turns", lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(MIDDLE)))
-    bodies = F.transform("turns", lambda t: escape(t["text"]))
-    parts = chats.select(id_col, F.transform("turns", lambda t: t["role"]).alias("roles"), heads.alias("heads"), bodies.alias("bodies"))
-    whole = F.array_join(F.transform("heads", lambda h, i: F.concat(h, F.get("bodies", i), F.lit(CLOSE))), "")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    part = lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit(MIDDLE)).alias("head"), escape(t["text"]).alias("body"))
+    size = lambda p: F.length(p["head"]) + F.length(p["body"]) + len(CLOSE)
 
-    def step(acc: Column, i: Column) -> Column:
-        begin = acc["at"] + F.length(F.get("heads", i))
-        end = begin + F.length(F.get("bodies", i))
-        span = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        spans = F.when(F.get("roles", i) == loss_role, F.concat(acc["spans"], span)).otherwise(acc["spans"])
-        return F.struct((end + len(CLOSE)).alias("at"), spans.alias("spans"))
+    def span(p: Column, at: Column) -> Column:
+        begin = (at + F.length(p["head"])).cast("int")
+        return F.when(p["role"] == loss_role, F.struct(begin.alias("start"), (begin + F.length(p["body"])).alias("end")))
 
-    index = F.transform("heads", lambda _, i: i)
-    return parts.select(id_col, whole.alias("formatted"), F.aggregate(index, start, step, lambda a: a["spans"]).alias("loss_spans"))
+    def made(parts: Column) -> Column:
+        whole = F.array_join(F.transform(parts, lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "")
+        spans = F.zip_with(parts, sums_before(F.transform(parts, size)), span)
+        return F.struct(whole.alias("formatted"), F.filter(spans, lambda x: x.isNotNull()).alias("loss_spans"))
+
+    return chats.select(id_col, let(F.transform("turns", part), made).alias("made")).select(id_col, "made.*")
+
+
+def _pieces(formatted: Column) -> Column:
+    return F.filter(F.split(formatted, CLOSE), lambda p: p != "")
 
 
 def read_back(formatted: Column) -> Column:
     """array<struct<role, text>> from formatted text: what format_chats() was given."""
-    pieces = F.filter(F.split(formatted, CLOSE), lambda p: p != "")
     return F.transform(
-        pieces,
+        _pieces(formatted),
         lambda p: F.struct(
             unescape(F.substr(p, F.lit(len(OPEN) + 1), F.instr(p, MIDDLE) - len(OPEN) - 1)).alias("role"),
             unescape(F.substr(p, F.instr(p, MIDDLE) + len(MIDDLE))).alias("text"),
@@ -195,8 +204,31 @@ def read_back(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    """All text under the loss mask, unescaped, nothing between.
+
+    Places of turns' texts are told from the formatted text itself and sorted among the spans: a text behind a span of its own place is under
+    the mask. So a long conversation is not searched from its beginning for each span. Spans of other places, if there are any, are cut out singly.
+    """
+
+    def placed(pieces: Column) -> Column:
+        starts = sums_before(F.transform(pieces, lambda p: F.length(p) + len(CLOSE)))
+
+        def place(p: Column, at: Column) -> Column:
+            head = F.instr(p, MIDDLE) + len(MIDDLE) - 1
+            return F.struct((at + head).cast("int").alias("start"), (at + F.length(p)).cast("int").alias("end"), F.substr(p, head + 1).alias("body"))
+
+        return F.zip_with(pieces, starts, place)
+
+    marks = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast("string").alias("body")))  # null sorts first
+
+    def under(row: Column) -> Column:
+        before = F.slice(F.concat(F.array(F.element_at(row, 1)), row), 1, F.size(row))
+        pairs = F.zip_with(before, row, lambda a, b: F.when(a["body"].isNull() & b["body"].isNotNull() & (a["start"] == b["start"]) & (a["end"] == b["end"]), unescape(b["body"])))
+        return F.filter(pairs, lambda x: x.isNotNull())
+
+    found = F.when(F.size(spans) == 0, F.array().cast("array<string>")).otherwise(let(F.array_sort(F.concat(marks, let(_pieces(formatted), placed))), under))
+    singly = F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["end"] - s["start"])))
+    return let(found, lambda texts: F.array_join(F.when(F.size(texts) == F.size(spans), texts).otherwise(singly), ""))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +258,7 @@ SELECT conv_id, count(*) AS n_turns,
        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(length('<turn ' || '>' || chr(10) || '</turn>' || chr(10))
-           + length(replace(replace(role, '\', '\s'), '<', '\l'))
+           + length(replace(replace(replace(role, '\', '\s'), '<', '\l'), '>', '\g'))
            + length(replace(replace(text, '\', '\s'), '<', '\l')))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,31 @@ def without_white(text: Column) -> Column:
     return text
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Binds a value within an expression, so that a lambda does not compute it again for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Elements that one pass adds to an array, which is copied for each.
+RUN = 256
+
+
+def sums_before(sizes: Column) -> Column:
+    """array<bigint>: for each element the sum of those before it. Runs of RUN are summed by themselves, so long arrays do not cost their square. Null gives no sums."""
+
+    def run(values: Column, start: Column) -> Column:
+        none = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(values, none, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def by_runs(array: Column) -> Column:
+        at = F.when(F.size(array) > 0, F.sequence(F.lit(0), F.floor((F.size(array) - 1) / RUN).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda k: F.slice(array, k * RUN + 1, RUN))
+
+    zero = F.lit(0).cast("bigint")
+    total = lambda part: F.aggregate(part, zero, lambda a, x: a + x)
+    return let(F.transform(sizes, lambda x: x.cast("bigint")), lambda array: let(by_runs(array), lambda parts: F.flatten(F.zip_with(parts, run(F.transform(parts, total), zero), run))))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened where df has columns called so (in any case), for columns that an operator adds for a while."""
     taken = {c.lower() for c in df.columns}

@@ -12,8 +12,9 @@ from pyspark.sql import Window
 
 from .common import WHITE, Scratch, fresh, table, text_of
 
-#: Documents of a block, roughly, and the most blocks of a source, a power of two; a budget is met to within a block.
-BLOCK_DOCS, BLOCKS = 64, 4096
+#: The most blocks of a source, a power of two. Smaller sources have SPARE blocks a document and more, so that nearly all of these hold one document at
+#: most: a budget is met to within half a block, which is half a document there and a part in 8,192 of a source with many.
+BLOCKS, SPARE = 4096, 4
 #: A plan of at most so many sources (some megabytes) is broadcast, so that texts are not shuffled; a longer one is joined by shuffling.
 BROADCAST_SOURCES = 100_000
 #: Halvings of the exponent's interval.
@@ -97,8 +98,7 @@ def plan_sources(cells: DataFrame, target: Target, seed: int = 0) -> DataFrame:
     sums = scratch.save(cells.groupBy("s").agg(F.sum("t").alias("t"), F.sum("n").alias("n")))
     exponent, many = bisect_exponent(sums, target), sums.agg(F.max("t")).first()[0] or 1
     epochs = F.pow(float(many) / F.col("t"), F.lit(1 - exponent))
-    wished = F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.floor(F.col("n") / BLOCK_DOCS)))
-    blocks = F.pow(F.lit(2), F.floor(F.log2(wished) + 1e-9)).cast("long")
+    blocks = F.pow(F.lit(2), F.ceil(F.log2(F.least(F.lit(BLOCKS), SPARE * F.col("n"))) - 1e-9)).cast("long")
     whole = F.floor(F.col("epochs") + 1e-9).cast("long")
     told = sums.select("s", epochs.alias("epochs"), blocks.alias("blocks"), F.col("t").alias("all")).withColumn("whole", whole)
     met = cells.join(told, "s").withColumn("block", F.col("cell") % F.col("blocks"))
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str =
 
     A token is a word between white space, and every document counts for one at least. The budget is the least with which every source is read
     once, so nothing is dropped; a source with more is read again, in whole epochs and then as many blocks of the next one as its budget has room
-    for. Documents fall into blocks by a hash of their id; every epoch of a source has its own permutation of blocks, and of documents in them.
+    for, half a block more or less (see BLOCKS). Documents fall into blocks by a hash of their id; every epoch of a source has its own permutation of blocks, and of documents in them.
     mix_at, from 0 to 1, is a row's place in the mix: in any stretch of it sources have their weights. Sort by it and the id for the sequence itself.
 
     Null sources are the source "". Null and empty texts are one token, texts of any length are counted whole. Repeated rows are mixed each, at the
@@ -177,7 +177,7 @@ halved AS (
   FROM halved, ends WHERE step < {STEPS}),
 told AS (
   SELECT s, total, pow(many::DOUBLE / total, 1 - CASE WHEN ratio <= {REPEATS} THEN 0 ELSE high END) AS epochs,
-    pow(2, floor(log2(greatest(1, least({BLOCKS}, n // {BLOCK_DOCS}))) + 1e-9))::BIGINT AS blocks
+    pow(2, ceil(log2(least({BLOCKS}, {SPARE} * n)) - 1e-9))::BIGINT AS blocks
   FROM sums, ends, (SELECT high FROM halved WHERE step = {STEPS})),
 met AS (SELECT d.*, total, epochs, blocks, floor(epochs + 1e-9)::BIGINT AS whole, cell % blocks AS block FROM d JOIN told USING (s)),
 sized AS (SELECT s, epochs, blocks, whole, total, {_turn_sql("whole")} AS place, sum(t) AS t FROM met GROUP BY s, epochs, blocks, whole, total, block),

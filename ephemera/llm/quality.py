@@ -92,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The document classifier, fitted on at most `rows` labelled rows that are not held out (label 1 is good).
 
     Rows whose crc32(id) mod 5 is 0 are held out, for measuring. Byte runs are counted in Spark, and GRAMS sums and the features of at
-    most `rows` rows reach the driver. A label that stands twice counts twice; null ids and labels count nothing. Without labels of both kinds
+    most `rows` rows reach the driver. A label that stands twice, or for two documents, counts twice; null ids and labels count nothing. Without labels of both kinds
     everything is good. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
@@ -100,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = usable.orderBy(F.xxhash64("id"), "id").limit(rows)
     known = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     # At most `rows` ids and labels are broadcast.
-    train = scratch.save(known.join(F.broadcast(sample), "id").select("text", "good").repartition(12))
+    train = scratch.save(known.join(F.broadcast(sample), "id").orderBy(F.xxhash64("id"), "id", "text").limit(rows).select("text", "good").repartition(12))
     size = {r["good"]: r["count"] for r in train.groupBy("good").count().collect()}
     if len(size) < 2:
         return DocumentModel()

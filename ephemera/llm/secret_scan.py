@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, text_of
+from .common import Scratch, let, sums_before, table, text_of
 
 #: Marks put around matches while a text is scanned. Where a text holds them itself, SUB stands for them meanwhile; no rule matches any of these.
 BEGIN, GROUP, END, SUB = "\u0001", "\u0002", "\u0003", "\u001a"
@@ -56,15 +56,15 @@ def spans_of(text: Column, rule: Rule) -> Column:
     pattern = f"({rule.head})({rule.tail})" if rule.head else f"()({rule.tail})"
     if not rule.head:  # short runs are dropped anyway, and a run is always matched whole
         pattern = f"()({rule.tail[:-1]}{{{rule.least},}})"
-    pieces = F.split(F.regexp_replace(plain, pattern, f"{BEGIN}$1{GROUP}$2{END}"), BEGIN)
 
-    def step(acc: Column, piece: Column) -> Column:
-        mid, end = F.instr(piece, GROUP), F.instr(piece, END)
-        span = F.array(F.struct(acc["at"].alias("start"), (acc["at"] + end - 2).alias("end")))
-        return F.struct((acc["at"] + F.length(piece) - 2).alias("at"), F.when(end - mid - 1 >= rule.least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def found(pieces: Column) -> Column:
+        """Of the first piece, before any match, and the others, each a match with its marks and what follows."""
+        size = lambda p, i: F.length(p) - F.when(i == 0, 0).otherwise(2)  # noqa: E731  without marks
+        span = lambda p, at: F.struct(at.cast("int").alias("start"), (at + F.instr(p, END) - 2).cast("int").alias("end"))
+        spans = F.zip_with(pieces, sums_before(F.transform(pieces, size)), lambda p, at: F.when(F.instr(p, END) - F.instr(p, GROUP) - 1 >= rule.least, span(p, at)))
+        return F.filter(spans, lambda x: x.isNotNull())
 
-    start = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast(SPANS).alias("spans"))
-    found = F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, step, lambda acc: acc["spans"])
+    found = let(F.split(F.regexp_replace(plain, pattern, f"{BEGIN}$1{GROUP}$2{END}"), BEGIN), found)
     return F.when(text.rlike(rule.guard), found).otherwise(F.array().cast(SPANS))
 
 

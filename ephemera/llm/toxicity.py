@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +60,9 @@ class Lexicon:
         import ahocorasick
 
         found = ahocorasick.Automaton()
-        for term in {*self.weights, *self.exceptions}:
-            found.add_word(term, (len(term), self.weights.get(term, 0.0), term in self.exceptions))
+        spares = set(self.exceptions)
+        for term in {*self.weights, *spares}:
+            found.add_word(term, (len(term), self.weights.get(term, 0.0), term in spares))
         found.make_automaton()
         return found
 
@@ -75,7 +78,15 @@ def matches(folded: str, automaton) -> list[tuple[int, int, float]]:
                 spared.append((at, at + n))
             elif n > best.get(at, (0, 0.0))[0]:
                 best[at] = (n, weight)
-    return [(at, at + n, w) for at, (n, w) in best.items() if not any(a <= at and at + n <= b for a, b in spared)]
+    # A match is spared if, of the phrases that begin at it or before, the one that reaches furthest ends at it or behind.
+    spared.sort()
+    begins, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+
+    def kept(at: int, end: int) -> bool:
+        k = bisect_right(begins, at)
+        return not k or reach[k - 1] < end
+
+    return [(at, at + n, w) for at, (n, w) in best.items() if kept(at, at + n)]
 
 
 def features(folded: str, automaton) -> tuple[float, float]:
@@ -118,13 +129,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Learns terms, weights, exception phrases and the score's coefficients from labelled rows that are not held out.
 
     Terms, and the phrases around them, are counted in Spark; only those frequent enough, and the features of at most `rows` rows, reach the driver.
-    A label that stands twice counts twice; null ids and labels count nothing, other columns are ignored. Without toxic rows the lexicon is empty.
+    A label that stands twice, or for two documents, counts twice; null ids and labels count nothing, other columns are ignored. Without toxic rows the lexicon is empty.
     """
     scratch = Scratch(docs.sparkSession)
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col, F.col(label_col).alias("label"))
     sample = usable.orderBy(F.xxhash64(id_col), id_col).limit(rows)
     # At most `rows` ids and labels are broadcast.
-    train = scratch.save(docs.select(id_col, text_of(text_col).alias("text")).join(F.broadcast(sample), id_col).select("text", (F.col("label") == 1).alias("label")).repartition(12))
+    train = scratch.save(docs.select(id_col, text_of(text_col).alias("text")).join(F.broadcast(sample), id_col).orderBy(F.xxhash64(id_col), id_col, "text").limit(rows).select("text", (F.col("label") == 1).alias("label")).repartition(12))
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     if not n_toxic:

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from ephemera.llm import common, exact_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, quality, secret_scan, toxicity
+from ephemera.llm import bpe, chat_format, common, exact_dedup, fingerprints, line_dedup, mixing, near_dedup, packing, quality, secret_scan, toxicity
 
 #: Every name that the subpackage's code gives to a column for a while.
 NAMES = sorted({name for path in Path(common.__file__).parent.glob("*.py") for name in re.findall(r"[\"'](_?[a-z][a-z0-9_]{0,15})[\"']", path.read_text())} - {"doc_id", "text", "source", "lang"})
@@ -24,6 +24,8 @@ IGNORING = {
     "toxicity": lambda df: toxicity.toxicity(df, toxicity.Lexicon({" so": 1.0})),
     "near": lambda df: near_dedup.near_components(df),
     "packing": lambda df: packing.pack(df),
+    "chats": lambda df: chat_format.format_chats(chat_format.canonical_turns(df.drop("conv_id").withColumnRenamed("doc_id", "conv_id").withColumns({"role": F.lit("user"), "turn": F.lit(1)}))),
+    "bpe": lambda df: bpe.encode(df, chunk=4, overlap=2),
 }
 
 
