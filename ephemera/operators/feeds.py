@@ -46,7 +46,11 @@ def folded(line: Column) -> Column:
         return F.struct(done.alias("done"), F.when(full, c).otherwise(F.concat(at["line"], c)).alias("line"), F.when(full, n + 1).otherwise(at["used"] + n).alias("used"))
 
     start = F.struct(F.lit("").alias("done"), F.lit("").alias("line"), F.lit(0).alias("used"))
-    return F.when(F.octet_length(line) <= OCTETS, line).otherwise(F.aggregate(F.split(line, ""), start, put, lambda at: F.concat(at["done"], at["line"])))
+    any_text = F.aggregate(F.split(line, ""), start, put, lambda at: F.concat(at["done"], at["line"]))
+    # Characters of one octet each are cut by their number.
+    plain = F.concat(F.substring(line, 1, OCTETS), F.regexp_replace(F.substring(line, OCTETS + 1, 1 << 30), f"(?s)(.{{1,{OCTETS - 1}}})", CRLF + " $1"))
+    octets = F.octet_length(line)
+    return F.when(octets <= OCTETS, line).when(octets == F.length(line), plain).otherwise(any_text)
 
 
 @dataclass(frozen=True)

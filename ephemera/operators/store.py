@@ -13,6 +13,7 @@ from ..functions.numeric import number_text
 from ..sources.folders import Folder
 from ..sources.spines import Window
 from . import sun
+from .refresh import differing
 
 #: Number of the formulas that made an event; raise it when they change, and the next refresh computes all cells anew.
 FORMULA = 1
@@ -160,7 +161,7 @@ class Store:
             for k, v in enumerate(versions):
                 live = self.cells(v).where(_in(partial)).select(*key, F.lit(True).alias(f"in{k}"))
                 some = some.join(live, key, "left").withColumn(f"in{k}", F.coalesce(f"in{k}", F.lit(False)))
-            rows = rows.unionByName(some)
+            rows = rows.unionByName(some).repartition("place")  # while rows are narrow; no other exchange follows
         return rows
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -176,9 +177,7 @@ class Store:
         first = lambda k: F.min(F.when(F.col(f"in{k}"), F.struct("day", "event_ms", "location_id")))["event_ms"]
         told = rows.groupBy("place", "kind", "local_date").agg(first(0).alias("old_ms"), first(1).alias("new_ms"))
         lat, lon = F.substring_index("place", ",", 1), F.substring_index("place", ",", -1)
-        action = F.when(F.col("old_ms").isNull(), "insert").when(F.col("new_ms").isNull(), "delete").otherwise("update")
-        changed = told.where(~F.col("old_ms").eqNullSafe(F.col("new_ms")))
-        return changed.select(labels.sun_uid(F.col("kind"), F.col("local_date"), lat, lon, domain).alias("uid"), action.alias("action"), "old_ms", "new_ms")
+        return differing(told).select(labels.sun_uid(F.col("kind"), F.col("local_date"), lat, lon, domain).alias("uid"), "action", "old_ms", "new_ms")
 
 
 def _in(pairs: list[tuple[int, int]]) -> Column:

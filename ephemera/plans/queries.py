@@ -117,8 +117,8 @@ def celestial_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def refresh_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of what changes in the stored sun events when the calendar moves on by a year."""
-    made = [refresh.one_per_uid(sun.labelled_events(supplier_locations(spark, sf_dir), Window.around(AS_OF.replace(year=AS_OF.year + k)))) for k in (0, 1)]
-    return refresh.refresh_diff(*made).groupBy("action").agg(F.count(F.lit(1)).alias("events"), F.min("uid").alias("first_uid"))
+    made = [sun.labelled_events(supplier_locations(spark, sf_dir), Window.around(AS_OF.replace(year=AS_OF.year + k))) for k in (0, 1)]
+    return refresh.events_diff(*made).groupBy("action").agg(F.count(F.lit(1)).alias("events"), F.min("uid").alias("first_uid"))
 
 
 #: A folder of feeds that a strict calendar reader takes; the domain is long enough for identifiers to be folded.

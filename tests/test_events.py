@@ -191,6 +191,9 @@ def test_refresh(spark, labelled, locations, tmp_path):
     got = {r["action"]: r["count"] for r in refresh.refresh_diff(old, new).groupBy("action").count().collect()}
     assert got == {"insert": 2 * 366, "delete": 2 * 365}
     assert refresh.refresh_diff(old, old).count() == 0
+    whole = refresh.refresh_diff(refresh.one_per_uid(labelled), refresh.one_per_uid(later))
+    met = refresh.events_diff(labelled, later)
+    assert met.exceptAll(whole).isEmpty() and whole.exceptAll(met).isEmpty() and refresh.events_diff(labelled, labelled).isEmpty()
     moved = old.withColumn("event_ms", F.col("event_ms") + F.when(F.col("kind") == "sunset", 1).otherwise(0))
     assert {r["action"] for r in refresh.refresh_diff(old, moved).collect()} == {"update"}
     path = str(tmp_path / "events")
