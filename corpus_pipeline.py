@@ -56,8 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's table is deleted when the next one is written."""
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, scratch.save(stage(spark, docs, sf_dir))
+        if k:
+            scratch.drop(before)
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # its pieces are written
+    scratch.drop(docs)
+    return packed
