@@ -37,13 +37,15 @@ def with_season(spark: SparkSession, facts: DataFrame, ms: str, first: int, last
     """Adds season and season_year: the latest season instant at or before each instant; years first..last are those of the instants.
 
     Intervals between seasons are keyed by calendar day, so this is an equi-join on the day that the seasons' few thousand days a decade serve, and
-    a comparison on the days of an instant itself; there is no range join.
+    a comparison on the days of an instant itself; there is no range join. Facts with a null instant, or one outside these years, keep their rows, with a
+    null season. Columns of facts may have any names; season and season_year replace theirs.
     """
     seasons = season_events(spark, first - 1, last).select("year", "name", "event_ms")
     nxt = F.lead("event_ms").over(W.orderBy("event_ms"))  # four rows a year
     spans = seasons.withColumn("until", F.coalesce(nxt, F.col("event_ms") + 366 * solar.DAY_MS))
     days = F.explode(F.sequence(date_of(F.col("event_ms")), date_of(F.col("until"))))
-    keyed = spans.select(days.alias("_day"), F.col("name").alias("season"), F.col("year").alias("season_year"), F.col("event_ms").alias("_from"), F.col("until").alias("_until"))
-    rows = facts.withColumn("_day", date_of(F.col(ms)))
-    met = rows.join(keyed, "_day").where((F.col(ms) >= F.col("_from")) & (F.col(ms) < F.col("_until")))
-    return met.select(*facts.columns, "season", "season_year")
+    keyed = spans.select(days.alias("day"), F.struct(F.col("name").alias("season"), F.col("year").alias("season_year"), F.col("event_ms").alias("since"), "until").alias("span"))
+    fact, at = facts.select(F.struct("*").alias("fact")), F.col("fact")[ms]
+    met = fact.join(keyed, (date_of(at) == F.col("day")) & (at >= F.col("span.since")) & (at < F.col("span.until")), "left")
+    kept = (F.col("fact")[c].alias(c) for c in facts.columns if c not in ("season", "season_year"))
+    return met.select(*kept, "span.season", "span.season_year")

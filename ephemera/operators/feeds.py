@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -201,7 +202,7 @@ class _FeedWriter(DataSourceWriter):
     def _open(self):
         from pyarrow import fs
 
-        return fs.FileSystem.from_uri(self.directory)
+        return fs.FileSystem.from_uri(re.sub("^file:/+", "/", self.directory))  # Hadoop writes file:/, which pyarrow does not take
 
     def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
         system, root = self._open()

@@ -229,6 +229,10 @@ _STAMP = f"'DTSTAMP:' || {_stamp(str(STRICT.stamp_ms))} || 'Z'"
 _STRICT_BODY = _BODY.replace("'BEGIN:VEVENT'", f"'BEGIN:VEVENT' || {CR} || {_STAMP}").replace("'UID:' || uid", f"({_folded(chr(40) + chr(39) + 'UID:' + chr(39) + ' || uid)')})")
 _STRICT_HEAD = _SUN_HEAD.replace("|| ', ' ||", "|| '\\, ' ||")
 
+_CELESTIAL_FEED = f"""{_celestial()},
+ics AS (SELECT {_head("-//Ephemera//Celestial Calendar//EN", "'Celestial Events'")} || {CR} || string_agg({_UTC_BODY}, {CR} ORDER BY block, year, sub, idx, event_ms) || {CR} || 'END:VCALENDAR' AS ics FROM celestial)
+SELECT 'celestial' AS feed_id, 'celestial.ics' AS filename, length(ics) AS n_chars, md5(ics) AS ics_md5 FROM ics"""
+
 #: The records of each written file: its line, whether it can be read, and its id.
 _RECORDS = f"""{_PARSED},
 lines AS (
@@ -257,10 +261,10 @@ FROM sun_times GROUP BY location_id, year(day)""",
     "celestial_events": f"{_celestial()} SELECT * FROM celestial",
     "sun_feed": _feeds(_labelled()),
     "strict_feed": _feeds(_labelled(domain=LONG_DOMAIN), _STRICT_BODY, _STRICT_HEAD, f"'END:VCALENDAR' || {CR}"),
+    "feed_files": f"""SELECT filename, n_chars AS n_bytes, ics_md5 AS file_md5 FROM ({_feeds(_labelled())})
+UNION ALL SELECT filename, n_chars, ics_md5 FROM ({_CELESTIAL_FEED})""",
     "stored_feed": _feeds(_labelled(2026, 2028, MOVED)),
-    "celestial_feed": f"""{_celestial()},
-ics AS (SELECT {_head("-//Ephemera//Celestial Calendar//EN", "'Celestial Events'")} || {CR} || string_agg({_UTC_BODY}, {CR} ORDER BY block, year, sub, idx, event_ms) || {CR} || 'END:VCALENDAR' AS ics FROM celestial)
-SELECT 'celestial' AS feed_id, 'celestial.ics' AS filename, length(ics) AS n_chars, md5(ics) AS ics_md5 FROM ics""",
+    "celestial_feed": _CELESTIAL_FEED,
     "refresh_diff": f"{_diff(_labelled(2025, 2027), _labelled(2026, 2028))} SELECT action, count(*) AS events, min(uid) AS first_uid FROM diff GROUP BY action",
     "refresh_apply": f"WITH {_sun_times(_daily(MOVED, 2026, 2028))},\n{EVENTS} {_SUN_SELECT}",
     "refresh_cells": f"""SELECT CAST(CASE WHEN year < 2028 AND location_id < 1000000 AND location_id % 10 <> 0 THEN 1 ELSE 2 END AS INTEGER) AS made, year, count(*) AS cells

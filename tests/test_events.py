@@ -214,3 +214,9 @@ def test_daylight_and_seasons_of_instants(spark):
     assert [r["daylight"] for r in enrich.with_daylight(rows).orderBy("id").collect()] == [True, False, True, None]
     found = enrich.with_season(spark, rows, "ms", 2025, 2025).orderBy("id").collect()
     assert [(r["season"], r["season_year"]) for r in found] == [("June Solstice", 2025), ("June Solstice", 2025), ("December Solstice", 2024), ("September Equinox", 2025)]
+
+
+def test_facts_without_a_season_keep_their_rows(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (2, ms("1990-01-01 00:00:00"), "y"), (3, ms("2025-07-01 00:00:00"), "z")], "day int, until bigint, season string").withColumn("span", F.lit(7))
+    found = {r["day"]: (r["season"], r["season_year"], r["span"]) for r in enrich.with_season(spark, rows, "until", 2025, 2025).collect()}
+    assert found == {1: (None, None, 7), 2: (None, None, 7), 3: ("June Solstice", 2025, 7)}
