@@ -24,8 +24,9 @@ DEVIATION = (0.25 / KEPT) ** 0.5
 
 #: Rows that a Python worker is sent at a time: whole texts, or pairs of them.
 BATCH = 500
-#: Members of a block when the rest of a hub's rays is compared, on either side.
-BLOCK_ROWS = 256
+#: Members of a block when the rest of a hub's rays is compared, on either side, and shingles of all of them: about so many at most, so that a group of
+#: very long documents falls into blocks of fewer.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 21
 #: Pairs of stars that are tried before rays are compared in blocks.
 STARS = 2
 
@@ -111,12 +112,14 @@ class _Linker:
     def rest(self, groups: DataFrame) -> DataFrame:
         """Links between members of one hub's group(hub, id, own, out) in different components, of which one at least is out.
 
-        Groups are dealt out as blocks of at most about BLOCK_ROWS members on either side, so that no task holds a whole one;
+        Groups are dealt out as blocks of at most about BLOCK_ROWS members and BLOCK_SHINGLES shingles on either side, so that no task holds a whole one;
         the pairs of a block are compared where they stand, and at most one link for a member and a component, which stands for its least
         node, leaves it.
         """
         # Sizes are counted map-side first and joined by a merge, so a hot hub's rows are split while it runs.
-        sizes = groups.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("all"), F.ceil(F.sum(F.col("out").cast("int")) / BLOCK_ROWS).alias("outs"))
+        known = groups.join(self.classes.select("id", "n"), "id")
+        blocks = lambda some: F.greatest(F.ceil(F.count(F.when(some, 1)) / BLOCK_ROWS), F.ceil(F.sum(F.when(some, F.col("n"))) / BLOCK_SHINGLES))
+        sizes = known.groupBy("hub").agg(blocks(F.lit(True)).alias("all"), blocks(F.col("out")).alias("outs"))
         rows = groups.join(sizes, "hub")
         place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
         span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)

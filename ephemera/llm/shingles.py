@@ -10,6 +10,8 @@ import pyarrow as pa
 
 #: Bytes of text that are hashed at a time; a longer text is a block of its own.
 BLOCK = 1 << 18
+#: Bytes of a block that are hashed at a time; a word that goes on is carried over, so memory does not grow by the byte.
+SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -43,20 +45,34 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     """Hash of each word of the texts that lie one after another in data, and how many words each text has."""
     if not len(data):
         return np.empty(0, np.uint64), np.zeros(len(starts), np.int64)
-    value = _byte_values()[data]
-    inside = value != 0
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
+    up, down = _powers(SLICE)
     begins = starts[starts < len(data)]
-    first[begins] = inside[begins]
-    at = np.flatnonzero(first)
+    sums: list[np.ndarray] = []
+    places: list[np.ndarray] = []
+    going = 0  # bytes so far of a word that touches the slice's begin
+    for base in range(0, len(data), SLICE):
+        value = _byte_values()[data[base : base + SLICE]]
+        inside = value != 0
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        here = begins[np.searchsorted(begins, base) : np.searchsorted(begins, base + len(value))] - base
+        if going and not (len(here) and here[0] == 0):
+            first[0] = False
+        first[here] = inside[here]
+        at = np.flatnonzero(first)
+        value *= up[: len(value)]
+        if going and not first[0]:
+            # Of what stands before the slice's first new word, only bytes of the word that goes on count.
+            sums[-1][-1:] += value[: at[0] if len(at) else None].sum(dtype=np.uint64, keepdims=True) * np.uint64(pow(_BASE, going, 1 << 64))
+        if len(at):
+            sums.append(np.add.reduceat(value, at) * down[at])
+            places.append(at + base)
+            going = len(value) - int(at[-1]) if inside[-1] else 0
+        else:
+            going = going + len(value) if inside[-1] else 0
+    at = np.concatenate(places) if places else np.empty(0, np.int64)
     count = np.diff(np.append(np.searchsorted(at, starts), len(at)))
-    if not len(at):
-        return np.empty(0, np.uint64), count
-    size = 1 << max(18, (len(data) - 1).bit_length())
-    up, down = _powers(size)
-    value *= up[: len(data)]
-    return mix(np.add.reduceat(value, at) * down[at]), count
+    return (mix(np.concatenate(sums)) if sums else np.empty(0, np.uint64)), count
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:

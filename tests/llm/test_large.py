@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ephemera.llm import chat_format, common, mixing, quality, secret_scan, toxicity
+from ephemera.llm import chat_format, common, mixing, quality, secret_scan, shingles, toxicity
 
 
 def test_sums_before(spark):
@@ -135,3 +135,18 @@ def test_a_labelled_id_that_stands_many_times(spark):
     lexicon = toxicity.learn(docs, labels, rows=200)
     assert model.weights if hasattr(model, 'weights') else model
     assert isinstance(lexicon, toxicity.Lexicon)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 64])
+def test_words_are_hashed_alike_in_slices(monkeypatch, size):
+    rng = random.Random(size)
+    for _ in range(100):
+        texts = ["".join(rng.choice("ab  \ncdE") for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 9))]
+        data, starts = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts[:-1])])
+        monkeypatch.setattr(shingles, "SLICE", 1 << 18)
+        whole, count = shingles.word_hashes(data, starts)
+        monkeypatch.setattr(shingles, "SLICE", size)
+        got, same = shingles.word_hashes(data, starts)
+        words = [w for t in texts for w in t.lower().split()]
+        assert got.tolist() == whole.tolist() and same.tolist() == count.tolist() == [len(t.split()) for t in texts]
+        assert len(set(zip(words, got.tolist(), strict=True))) == len(set(words)) == len(set(got.tolist()))
