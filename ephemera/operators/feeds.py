@@ -154,12 +154,15 @@ def write_feed_table(feeds: DataFrame, path: str) -> None:
     feeds.write.mode("overwrite").parquet(path)
 
 
-def write_feed_files(lines: DataFrame, directory: str, tasks: int | None = None) -> None:
+def write_feed_files(lines: DataFrame, directory: str, tasks: int | None = None, gone: DataFrame | None = None) -> None:
     """One file per feed from sun_feed_lines(), written by the tasks as rows stream by: no feed is ever held whole.
 
     directory: any address that pyarrow's file systems open. A feed's file is the old one or the new one, whole: see FeedFiles. Places with equal
-    coordinates have one feed and one file, so a file's rows are all in one task and those of its first place are written.
+    coordinates have one feed and one file, so a file's rows are all in one task and those of its first place are written. gone: a table of (filename)
+    of further feeds, whose files are deleted.
     """
+    if gone is not None:
+        lines = lines.unionByName(gone.select("filename"), allowMissingColumns=True)
     dealt = lines.repartition(*([tasks] if tasks else []), "filename").sortWithinPartitions("filename", "location_id", "day", "kind_rank")
     _save(dealt.select("filename", "location_id", "head", "body", "tail"), directory)
 
@@ -176,7 +179,8 @@ def _save(rows: DataFrame, directory: str) -> None:
 
 
 class FeedFiles(DataSource):
-    """A sink of rows (filename, location_id, head, body, tail) that stand together by file and place. A head without body is the whole text.
+    """A sink of rows (filename, location_id, head, body, tail) that stand together by file and place. A head without body is the whole text, a null
+    head a file that is to go.
 
     Tasks write below a folder of the job, each attempt under a name of its own, and move files to their places when all of the task's are whole. A
     task that dies leaves the feeds as they were and its files in that folder, which goes with the job. Two attempts of one task move equal bytes.
@@ -208,10 +212,13 @@ class _FeedWriter(DataSourceWriter):
         system, root = self._open()
         attempt = f"{root}/{self.job}/{uuid.uuid4().hex}"
         system.create_dir(attempt, recursive=True)
-        written = []
+        written, gone = [], []
         for name, events in groupby(rows, key=lambda r: r["filename"]):
+            first = next(events)
+            if first["head"] is None:
+                gone.append(name)
+                continue
             with system.open_output_stream(f"{attempt}/{name}") as out:
-                first = next(events)
                 out.write(first["head"].encode())
                 if first["body"] is not None:
                     for row in chain([first], events):
@@ -221,6 +228,9 @@ class _FeedWriter(DataSourceWriter):
             written.append(name)
         for name in written:
             system.move(f"{attempt}/{name}", f"{root}/{name}")
+        for name in gone:
+            with contextlib.suppress(FileNotFoundError):  # another attempt was first
+                system.delete_file(f"{root}/{name}")
         return _Moved(len(written))
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:

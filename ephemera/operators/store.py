@@ -12,7 +12,7 @@ from ..functions import labels
 from ..functions.numeric import number_text
 from ..sources.folders import Folder
 from ..sources.spines import Window
-from . import sun
+from . import feeds, sun
 from .refresh import differing
 
 #: Number of the formulas that made an event; raise it when they change, and the next refresh computes all cells anew.
@@ -168,6 +168,25 @@ class Store:
         """(place, location_id, lat, lon, day, kind_rank, kind, event_ms) of a version, the present one if not given; it stays what it is meanwhile."""
         return self._rows([self.version() if version is None else version]).where("in0").drop("in0", "made", "year")
 
+    def changed(self, old: int, new: int) -> DataFrame:
+        """(place, action): insert, update or delete for every place whose cells differ; only cells are read, without an exchange."""
+        self.spark.catalog.recoverPartitions(self.cell_table)
+        rows = self.spark.table(self.cell_table).where(F.col("version").isin(old, new))
+        of = lambda v: F.sort_array(F.collect_set(F.when(F.col("version") == v, F.struct("location_id", "year", "made"))))  # noqa: E731  a place's years
+        told = rows.groupBy("place").agg(of(old).alias("a"), of(new).alias("b"))
+        action = F.when(F.size("a") == 0, "insert").when(F.size("b") == 0, "delete").otherwise("update")
+        return told.where(F.col("a") != F.col("b")).select("place", action.alias("action"))
+
+    def write_changed_feeds(self, old: int, new: int, directory: str, style: feeds.Style = feeds.SUN) -> None:
+        """Brings a folder of feed files from one version to another: files of places that changed are written, those of places that are gone deleted.
+
+        Other files are not touched, and other places' events not read beyond the partitions that the changed ones lie in.
+        """
+        changed = self.changed(old, new)
+        rows = self.read(new).join(changed.where("action <> 'delete'").select("place"), "place", "left_semi")
+        gone = changed.where("action = 'delete'").select(F.concat(F.lit("sunrise-"), F.replace("place", F.lit(","), F.lit("-")), F.lit(".ics")).alias("filename"))
+        feeds.write_feed_files(feeds.sun_feed_lines(sun.with_labels(rows), style), directory, gone=gone)
+
     def diff(self, old: int, new: int, domain: str = labels.DOMAIN) -> DataFrame:
         """(uid, action, old_ms, new_ms): insert, update or delete for every identifier whose event differs; of several events of one the first, as one_per_uid().
 

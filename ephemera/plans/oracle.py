@@ -263,6 +263,7 @@ FROM sun_times GROUP BY location_id, year(day)""",
     "strict_feed": _feeds(_labelled(domain=LONG_DOMAIN), _STRICT_BODY, _STRICT_HEAD, f"'END:VCALENDAR' || {CR}"),
     "feed_files": f"""SELECT filename, n_chars AS n_bytes, ics_md5 AS file_md5 FROM ({_feeds(_labelled())})
 UNION ALL SELECT filename, n_chars, ics_md5 FROM ({_CELESTIAL_FEED})""",
+    "refreshed_files": f"SELECT filename, n_chars AS n_bytes, ics_md5 AS file_md5 FROM ({_feeds(_labelled(2025, 2027, MOVED))})",
     "stored_feed": _feeds(_labelled(2026, 2028, MOVED)),
     "celestial_feed": _CELESTIAL_FEED,
     "refresh_diff": f"{_diff(_labelled(2025, 2027), _labelled(2026, 2028))} SELECT action, count(*) AS events, min(uid) AS first_uid FROM diff GROUP BY action",

@@ -140,6 +140,15 @@ def feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.substring_index("path", "/", -1).alias("filename"), F.col("length").alias("n_bytes"), F.md5("content").alias("file_md5"))
 
 
+def refreshed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers' feed files after places moved, left and came: those of places that stayed are the first version's."""
+    store, directory = Store(spark, shared_folder(spark, "sun-store"), buckets=16), shared_folder(spark, "feeds")
+    for old, places_ in enumerate((supplier_locations(spark, sf_dir), moved_locations(spark, sf_dir))):
+        store.write_changed_feeds(old, store.refresh(places_, Window.around(AS_OF)), directory)
+    found = spark.read.format("binaryFile").load(f"{directory}/*.ics")
+    return found.select(F.substring_index("path", "/", -1).alias("filename"), F.col("length").alias("n_bytes"), F.md5("content").alias("file_md5"))
+
+
 def moved_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The suppliers' places later: every tenth moved to the other hemisphere, every tenth is gone, and there are as many new ones."""
     key = F.col("location_id")
@@ -233,5 +242,5 @@ def orders_by_season(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (season_events, cross_quarter_days, sun_events, sun_events_polar, sun_event_labels, sun_daily_totals, valid_locations, rejected_locations, moon_phase_daily, moon_events, celestial_events, sun_feed, celestial_feed, strict_feed, feed_files, refresh_diff, refresh_apply, refresh_cells, refresh_store_diff, stored_feed, sun_events_own_windows, file_records, uid_collisions, event_moon_phase, event_daylight, orders_by_season)
+    for f in (season_events, cross_quarter_days, sun_events, sun_events_polar, sun_event_labels, sun_daily_totals, valid_locations, rejected_locations, moon_phase_daily, moon_events, celestial_events, sun_feed, celestial_feed, strict_feed, feed_files, refreshed_files, refresh_diff, refresh_apply, refresh_cells, refresh_store_diff, stored_feed, sun_events_own_windows, file_records, uid_collisions, event_moon_phase, event_daylight, orders_by_season)
 }

@@ -172,3 +172,24 @@ def test_own_windows(spark):
     shares = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert len(shares) == 8 and max(shares) < 1.1 * sum(shares) / 8
     assert same(got.where("location_id = 100 and year(day) = 2026"), sun.sun_events(table(spark, [(100, 50.0, 5.0)]), Window.years(2026, 2026)))
+
+
+def test_only_files_of_changed_places_are_written(spark, made, tmp_path):
+    folder = tmp_path / "feeds"
+    twins = [*PLACES, (20, 65.9, 25.0)]
+    made.write_changed_feeds(0, made.refresh(table(spark, twins), W26), folder.as_uri())
+    written = lambda: {p.name: (p.stat().st_mtime_ns, p.read_bytes()) for p in folder.iterdir() if p.suffix == ".ics"}
+    feed = lambda rows, window: {r["filename"]: r["ics"].encode() for r in feeds.sun_feeds(feeds.sun_feed_lines(sun.labelled_events(table(spark, rows), window))).orderBy(F.desc(F.col("feed_id").cast("long"))).collect()}
+    first = written()
+    assert {k: v for k, (_, v) in first.items()} == feed(twins, W26) and "sunrise-0-10.ics" in first
+    # One place moved, one left, one of two that share a file left, one came.
+    rows = [(1, -41.27, 173.5), *[p for p in PLACES if p[0] not in (1, 2)], (11, 10.0, 20.0)]
+    made.write_changed_feeds(1, made.refresh(table(spark, rows), W26), folder.as_uri())
+    second = written()
+    assert {k: v for k, (_, v) in second.items()} == feed(rows, W26)
+    same = {k for k in first.keys() & second.keys() if first[k] == second[k]}
+    assert same == {k for k in second if k not in ("sunrise--41.27-173.5.ics", "sunrise-10-20.ics", "sunrise-65.9-25.ics")} and len(first.keys() - second.keys()) == 2
+    assert {tuple(r) for r in made.changed(1, 2).collect()} == {("-41.27,173.28", "delete"), ("78.22,15.65", "delete"), ("-41.27,173.5", "insert"), ("10,20", "insert"), ("65.9,25", "update")}
+    assert made.changed(2, 2).isEmpty() and exchanges(made.changed(1, 2)) == 0
+    made.write_changed_feeds(2, 2, folder.as_uri())
+    assert written() == second
