@@ -11,7 +11,7 @@ from hashlib import blake2b
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, table, text_of
+from .common import Scratch, fresh, let, table, text_of
 from .components import connected_components
 from .near_dedup import open_groups, with_parts
 
@@ -288,7 +288,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Merged at every size: what is dropped grows with the documents, so a broadcast on small tables would not hold on large ones.
     rows = docs.join(drops.hint("merge"), docs[id_col].eqNullSafe(drops[doc]), "left")
     lines = F.split(text_of(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(ats, i)), "\n")
+    left = lambda all_: F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col(ats))  # noqa: E731  by a hash set, in order
+    kept = let(lines, lambda all_: F.array_join(F.transform(left(all_), lambda i: F.get(all_, i)), "\n"))
     counts = {
         "n_lines": F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(" \t\r")) != "")).cast("long"),
         "n_dropped": F.coalesce(F.size(ats), F.lit(0)).cast("long"),

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ephemera.llm import chat_format, common, mixing, quality, secret_scan, shingles, toxicity
+from ephemera.llm import chat_format, common, line_dedup, mixing, quality, secret_scan, shingles, toxicity
 
 
 def test_sums_before(spark):
@@ -150,3 +150,15 @@ def test_words_are_hashed_alike_in_slices(monkeypatch, size):
         words = [w for t in texts for w in t.lower().split()]
         assert got.tolist() == whole.tolist() and same.tolist() == count.tolist() == [len(t.split()) for t in texts]
         assert len(set(zip(words, got.tolist(), strict=True))) == len(set(words)) == len(set(got.tolist()))
+
+
+def test_a_text_of_very_many_equal_lines(spark):
+    lines = [f"line number {k % 3} of the text" if k % 2 else "" for k in range(400_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "other\n\nline number 1 of the text")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert time.time() - began < 120
+    first = {}
+    want = [x for k, x in enumerate(lines) if not x or first.setdefault(x, k) == k]
+    assert len({x for x in lines if x}) == 3 and got[1]["n_dropped"] == len(lines) - len(want)
+    assert got[1]["text"] == "\n".join(want) and got[2]["text"] == "other\n"
