@@ -62,9 +62,9 @@ class Store:
         self.buckets = int(self.folder.names("layout")[0])
         name = hashlib.md5(self.folder.path.encode()).hexdigest()
         self.events, self.cell_table = f"sun_events_{name}", f"sun_cells_{name}"
-        for table, name, columns, parts in ((self.events, "events", _EVENTS, "made, year"), (self.cell_table, "cells", _CELLS, "version")):
+        for table, name, columns, parts, order in ((self.events, "events", _EVENTS, "made, year", "place, location_id, day, kind_rank"), (self.cell_table, "cells", _CELLS, "version", "place, location_id, year")):
             self.folder.make(name)
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY ({parts}) CLUSTERED BY (place) INTO {self.buckets} BUCKETS LOCATION '{self.folder.path}/{name}'")
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY ({parts}) CLUSTERED BY (place) SORTED BY ({order}) INTO {self.buckets} BUCKETS LOCATION '{self.folder.path}/{name}'")
             spark.catalog.recoverPartitions(table)
 
     # --- versions -------------------------------------------------------------------------------------------
@@ -108,7 +108,7 @@ class Store:
             dealt = fresh.repartition(self.buckets, "place")
             found = sun.own_sun_events(dealt, "first", "last", ("place", "year"))
             rows = found.withColumn("made", F.lit(number)).select(*(c.split()[0] for c in _EVENTS.split(", ")))
-            rows.sortWithinPartitions("year", "place", "location_id", "day", "kind_rank").write.insertInto(self.events)
+            rows.write.insertInto(self.events)
         self.folder.create(f"live/{number}")
         return number
 
