@@ -109,30 +109,61 @@ class _Linker:
         self.scratch.drop(edges)
         return links
 
-    def rest(self, groups: DataFrame) -> DataFrame:
-        """Links between members of one hub's group(hub, id, own, out) in different components, of which one at least is out.
-
-        Groups are dealt out as blocks of at most about BLOCK_ROWS members and BLOCK_SHINGLES shingles on either side, so that no task holds a whole one;
-        the pairs of a block are compared where they stand, and at most one link for a member and a component, which stands for its least
-        node, leaves it.
-        """
+    def _dealt(self, groups: DataFrame, *columns: str) -> DataFrame:
+        """Rows of groups(hub, id, own, out) as blocks (hub, i, j), with columns of their classes: those that are out (out stays true), and all (false), of at
+        most about BLOCK_ROWS members and BLOCK_SHINGLES shingles on either side, so that no task holds a whole group."""
         # Sizes are counted map-side first and joined by a merge, so a hot hub's rows are split while it runs.
-        known = groups.join(self.classes.select("id", "n"), "id")
+        known = groups.join(self.classes.select("id", *{"n", *columns}), "id")
         blocks = lambda some: F.greatest(F.ceil(F.count(F.when(some, 1)) / BLOCK_ROWS), F.ceil(F.sum(F.when(some, F.col("n"))) / BLOCK_SHINGLES))
         sizes = known.groupBy("hub").agg(blocks(F.lit(True)).alias("all"), blocks(F.col("out")).alias("outs"))
-        rows = groups.join(sizes, "hub")
+        rows = known.join(sizes, "hub")
         place = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
         span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-        left = rows.where("out").select("hub", "id", "own", F.lit(True).alias("out"), place("outs").alias("i"), F.explode(span("all")).alias("j"))
-        right = rows.select("hub", "id", "own", F.lit(False).alias("out"), F.explode(span("outs")).alias("i"), place("all").alias("j"))
-        dealt = left.unionByName(right).join(self.texts, "id")
+        left = rows.where("out").select("hub", "id", "own", F.lit(True).alias("out"), place("outs").alias("i"), F.explode(span("all")).alias("j"), *columns)
+        right = rows.select("hub", "id", "own", F.lit(False).alias("out"), F.explode(span("outs")).alias("i"), place("all").alias("j"), *columns)
+        return left.unionByName(right)
+
+    def with_partners(self, groups: DataFrame) -> DataFrame:
+        """The rows of groups to which sizes and signatures leave a partner in another component. At most the rows leave a block, never their pairs, and
+        signatures are a tenth of usual texts, so few texts are copied into blocks afterwards."""
+        share = self.share
+
+        def meet(block: pa.Table) -> pa.Table:
+            return _partners_in_block(block, share)
+
+        found = self._dealt(groups, "n", "bins").groupBy("hub", "i", "j").applyInArrow(meet, "hub long, id long")
+        return self.scratch.save(groups.join(found.distinct(), ["hub", "id"], "left_semi"))
+
+    def rest(self, groups: DataFrame) -> DataFrame:
+        """Links between members of one hub's group(hub, id, own, out) in different components, of which one at least is out.
+
+        The pairs of a block are compared where they stand, and at most one link for a member and a component, which stands for its least node, leaves
+        it.
+        """
+        some = self.with_partners(groups)
         width, share = self.width, self.share
 
         def compare(block: pa.Table) -> pa.Table:
             return _linked_in_block(block, width, share)
 
-        found = dealt.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long")
-        return self.scratch.save(found.distinct())
+        dealt = self._dealt(some).join(self.texts, "id")
+        links = self.scratch.save(dealt.groupBy("hub", "i", "j").applyInArrow(compare, "a long, b long").distinct())
+        self.scratch.drop(some)
+        return links
+
+
+def _partners_in_block(block: pa.Table, share: int) -> pa.Table:
+    ids, own, out, n, hub = (block[c].to_numpy() for c in ("id", "own", "out", "n", "hub"))
+    bins = np.asarray(block["bins"].combine_chunks().flatten().to_numpy(), np.int16).reshape(len(ids), -1)
+    left, right = np.flatnonzero(out), np.flatnonzero(~out)
+    some = np.zeros(len(ids), bool)
+    for k in left:
+        could = (own[right] != own[k]) & (100 * np.minimum(n[right], n[k]) >= share * np.maximum(n[right], n[k]))
+        rest = right[could]
+        met = rest[(bins[rest] == bins[k]).mean(1) >= share / 100 - 6 * DEVIATION] if len(rest) else rest
+        some[k] |= bool(len(met))
+        some[met] = True
+    return pa.table({"hub": pa.array(hub[some], pa.int64()), "id": pa.array(ids[some], pa.int64())})
 
 
 def _linked_in_block(block: pa.Table, width: int, share: int) -> pa.Table:
