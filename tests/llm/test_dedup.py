@@ -86,6 +86,32 @@ def test_near_components_lose_no_link_between_the_rays_of_a_star(spark, words):
     assert got == near(rows, 4)
 
 
+@pytest.mark.parametrize(("rows", "shingles"), [(8, 1 << 21), (256, 1500), (256, 1 << 21)])
+def test_rays_are_compared_in_blocks(spark, words, monkeypatch, rows, shingles):
+    """A group in which each document is a component of its own: all links with one end out are found, whatever bounds the blocks."""
+    from functools import partial
+
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
+    text, docs = [words[k % 400] for k in range(150)], []
+    for i in range(60):
+        docs.append((i, " ".join(text)))
+        text[(7 * i) % 150] = f"new{i}"
+    docs += [(100 + i, " ".join(f"{words[k]}{i}" for k in range(90))) for i in range(20)]  # like nothing
+    frame = spark.createDataFrame(docs, "id long, text string")
+    scratch = near_dedup.Scratch(spark)
+    classes = scratch.save(frame.mapInArrow(partial(near_dedup._sign, width=4), near_dedup.SIGNED).select("id", "n", "bins"))
+    linker = near_dedup._Linker(frame, classes, scratch, 4, near_dedup.SHARE)
+    linker.gather(frame.select("id"))
+    groups = scratch.save(frame.selectExpr("0L AS hub", "id", "id AS own", "id % 3 = 0 AS out"))
+    some = {r["id"] for r in linker.with_partners(groups).collect()}
+    sets = {i: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for i, t in docs}
+    linked = lambda x, y: 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])
+    want = {(x, y) for x in sets for y in sets if x % 3 == 0 and x != y and linked(x, y)}
+    assert {tuple(r) for r in linker.rest(groups).collect()} == want and len(want) > 100
+    assert {i for pair in want for i in pair} <= some and not any(i >= 100 for i in some)
+
+
 def test_near_components_of_nothing(empty):
     assert near_dedup.near_components(empty).count() == 0
 
