@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import contextlib
-import re
-import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, groupby
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
-from pyspark.sql.types import StructType
 
 from ..functions import labels
 from .celestial import ORDER
+from .files import CRLF, FeedFiles
 
-CRLF = "\r\n"
 #: Octets of a strict feed's line, without its line break. A continuation begins with a space, which counts.
 OCTETS = 75
 
@@ -176,70 +169,3 @@ def write_whole_feeds(feeds: DataFrame, directory: str) -> None:
 def _save(rows: DataFrame, directory: str) -> None:
     rows.sparkSession.dataSource.register(FeedFiles)
     rows.write.format(FeedFiles.name()).mode("append").save(directory)
-
-
-class FeedFiles(DataSource):
-    """A sink of rows (filename, location_id, head, body, tail) that stand together by file and place. A head without body is the whole text, a null
-    head a file that is to go.
-
-    Tasks write below a folder of the job, each attempt under a name of its own, and move files to their places when all of the task's are whole. A
-    task that dies leaves the feeds as they were and its files in that folder, which goes with the job. Two attempts of one task move equal bytes.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "feed_files"
-
-    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _FeedWriter(self.options["path"])
-
-
-@dataclass
-class _Moved(WriterCommitMessage):
-    files: int
-
-
-class _FeedWriter(DataSourceWriter):
-    def __init__(self, directory: str):
-        self.directory, self.job = directory, f".staged-{uuid.uuid4().hex}"
-
-    def _open(self):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(re.sub("^file:/+", "/", self.directory))  # Hadoop writes file:/, which pyarrow does not take
-
-    def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
-        system, root = self._open()
-        attempt = f"{root}/{self.job}/{uuid.uuid4().hex}"
-        system.create_dir(attempt, recursive=True)
-        written, gone = [], []
-        for name, events in groupby(rows, key=lambda r: r["filename"]):
-            first = next(events)
-            if first["head"] is None:
-                gone.append(name)
-                continue
-            with system.open_output_stream(f"{attempt}/{name}") as out:
-                out.write(first["head"].encode())
-                if first["body"] is not None:
-                    for row in chain([first], events):
-                        if row["location_id"] == first["location_id"]:
-                            out.write((CRLF + row["body"]).encode())
-                    out.write((CRLF + first["tail"]).encode())
-            written.append(name)
-        for name in written:
-            system.move(f"{attempt}/{name}", f"{root}/{name}")
-        for name in gone:
-            with contextlib.suppress(FileNotFoundError):  # another attempt was first
-                system.delete_file(f"{root}/{name}")
-        return _Moved(len(written))
-
-    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        self._clean()
-
-    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        self._clean()
-
-    def _clean(self) -> None:
-        system, root = self._open()
-        with contextlib.suppress(FileNotFoundError):  # a table without partitions
-            system.delete_dir(f"{root}/{self.job}")

@@ -267,6 +267,10 @@ UNION ALL SELECT filename, n_chars, ics_md5 FROM ({_CELESTIAL_FEED})""",
     "stored_feed": _feeds(_labelled(2026, 2028, MOVED)),
     "celestial_feed": _CELESTIAL_FEED,
     "refresh_diff": f"{_diff(_labelled(2025, 2027), _labelled(2026, 2028))} SELECT action, count(*) AS events, min(uid) AS first_uid FROM diff GROUP BY action",
+    "changed_places": f"""WITH a AS (SELECT {_text("lat")} || ',' || {_text("lon")} AS place FROM ({SUPPLIERS})), b AS (SELECT {_text("lat")} || ',' || {_text("lon")} AS place FROM ({MOVED}))
+SELECT DISTINCT coalesce(a.place, b.place) AS place, CASE WHEN a.place IS NULL THEN 'insert' WHEN b.place IS NULL THEN 'delete' ELSE 'update' END AS action FROM a FULL OUTER JOIN b ON a.place = b.place""",
+    "repeated_ids": f"""SELECT CAST(n AS BIGINT) AS location_id, count(*) AS places, arg_min(lat, (lat, lon)) AS first_lat, arg_min(lon, (lat, lon)) AS first_lon
+FROM (SELECT c.c_nationkey AS n, p.lat, p.lon FROM customer c JOIN ({CUSTOMERS}) p ON p.location_id = c.c_custkey) GROUP BY n HAVING count(*) > 1""",
     "refresh_apply": f"WITH {_sun_times(_daily(MOVED, 2026, 2028))},\n{EVENTS} {_SUN_SELECT}",
     "refresh_cells": f"""SELECT CAST(CASE WHEN year < 2028 AND location_id < 1000000 AND location_id % 10 <> 0 THEN 1 ELSE 2 END AS INTEGER) AS made, year, count(*) AS cells
 FROM ({MOVED}), (SELECT CAST(unnest([2026, 2027, 2028]) AS INTEGER) AS year) GROUP BY 1, 2""",

@@ -181,6 +181,11 @@ def refresh_store_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("old_ms", "new_ms")})
 
 
+def changed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a folder of feed files must bring up to date between the two versions: all places that stayed, as the window moved, and those that came or went."""
+    return _refreshed(spark, sf_dir).changed(1, 2)
+
+
 def stored_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feeds from a refreshed store, put together within its buckets."""
     lines = feeds.sun_feed_lines(sun.with_labels(_refreshed(spark, sf_dir).read()), keep=("place",))
@@ -198,6 +203,13 @@ def sun_events_own_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sun.own_sun_events(places_.withColumn("last", last), tasks=tasks).select("location_id", "day", "kind", "event_ms")
 
 
+def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that several places have, where customers' places go by their nation's number, and the coordinates that would be kept."""
+    key = F.col("c_custkey")
+    told = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("location_id"), ((key * 7919) % 12001 / 100.0 - 60.0).alias("lat"), ((key * 104729) % 35999 / 100.0 - 180.0).alias("lon"))
+    return places.repeated_ids(told)
+
+
 def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places written as CSV and JSON, some of whose lines cannot be read, and what becomes of each line."""
     key = F.col("location_id")
@@ -242,5 +254,5 @@ def orders_by_season(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (season_events, cross_quarter_days, sun_events, sun_events_polar, sun_event_labels, sun_daily_totals, valid_locations, rejected_locations, moon_phase_daily, moon_events, celestial_events, sun_feed, celestial_feed, strict_feed, feed_files, refreshed_files, refresh_diff, refresh_apply, refresh_cells, refresh_store_diff, stored_feed, sun_events_own_windows, file_records, uid_collisions, event_moon_phase, event_daylight, orders_by_season)
+    for f in (season_events, cross_quarter_days, sun_events, sun_events_polar, sun_event_labels, sun_daily_totals, valid_locations, rejected_locations, moon_phase_daily, moon_events, celestial_events, sun_feed, celestial_feed, strict_feed, feed_files, refreshed_files, refresh_diff, refresh_apply, refresh_cells, refresh_store_diff, changed_places, stored_feed, sun_events_own_windows, file_records, repeated_ids, uid_collisions, event_moon_phase, event_daylight, orders_by_season)
 }

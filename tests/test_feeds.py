@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from ephemera.operators import celestial, feeds, sun
+from ephemera.operators import celestial, feeds, files, sun
 from ephemera.sources import locations as places
 from ephemera.sources.spines import Window
 
@@ -61,7 +61,7 @@ def test_long_windows_are_put_together_by_year(spark):
     assert "\r\n".join(r["body"] for r in rows) in feeds.celestial_feed(sky).first()["ics"]
 
 
-def files(path):
+def written(path):
     return {p.name: p.read_bytes() for p in path.iterdir() if p.suffix == ".ics"}
 
 
@@ -69,26 +69,26 @@ def test_a_task_that_dies_leaves_whole_feeds(spark, tmp_path):
     many = spark.createDataFrame([(k, 10.0 + k, 20.0) for k in range(6)], places.LOCATIONS)
     lines = feeds.sun_feed_lines(sun.labelled_events(many, W2026))
     feeds.write_feed_files(lines, tmp_path.as_uri(), tasks=2)
-    old = files(tmp_path)
+    old = written(tmp_path)
     changed = lines.withColumn("body", F.concat("body", F.lit("X")))
     bad = F.when((F.col("location_id") == 3) & (F.col("day") == dt.date(2026, 7, 1)), F.raise_error(F.lit("died"))).otherwise(F.col("body"))
     dealt = changed.repartition(2, "filename").sortWithinPartitions("filename", "location_id", "day", "kind_rank").withColumn("body", bad)
     with pytest.raises(Exception, match="died"):
         feeds._save(dealt.select("filename", "location_id", "head", "body", "tail"), tmp_path.as_uri())
-    now = files(tmp_path)
+    now = written(tmp_path)
     assert now.keys() == old.keys() and now["sunrise-13-20.ics"] == old["sunrise-13-20.ics"]
     assert all(text.endswith(b"END:VCALENDAR") and text.count(b"BEGIN:VEVENT") == text.count(b"END:VEVENT") == 2190 for text in now.values())
     assert [p.name for p in tmp_path.iterdir() if p.name.startswith(".staged")] == []
     feeds.write_feed_files(changed, tmp_path.as_uri(), tasks=2)
     want = {r["filename"]: r["ics"].encode() for r in feeds.sun_feeds(changed).collect()}
-    assert files(tmp_path) == want != old and sorted(p.name for p in tmp_path.iterdir()) == sorted(want)
+    assert written(tmp_path) == want != old and sorted(p.name for p in tmp_path.iterdir()) == sorted(want)
 
 
 def test_two_attempts_of_one_task(tmp_path):
     from pyspark.sql import Row
 
     rows = [Row(filename="a.ics", location_id=1, head="H", body=f"b{k}", tail="T") for k in range(3)]
-    writer = feeds._FeedWriter(tmp_path.as_uri())
+    writer = files._FeedWriter(tmp_path.as_uri())
     slow = iter(rows)
 
     def interrupted():
@@ -99,10 +99,10 @@ def test_two_attempts_of_one_task(tmp_path):
 
     writer.write(interrupted())
     writer.commit([])
-    assert files(tmp_path) == {"a.ics": b"H\r\nb0\r\nb1\r\nb2\r\nT"} and len(list(tmp_path.iterdir())) == 1
+    assert written(tmp_path) == {"a.ics": b"H\r\nb0\r\nb1\r\nb2\r\nT"} and len(list(tmp_path.iterdir())) == 1
 
 
 def test_no_feeds_at_all(spark, tmp_path):
     none = spark.createDataFrame([], places.LOCATIONS)
     feeds.write_feed_files(feeds.sun_feed_lines(sun.labelled_events(none, W2026)), (tmp_path / "none").as_uri(), tasks=2)
-    assert not (tmp_path / "none").exists() or files(tmp_path / "none") == {}
+    assert not (tmp_path / "none").exists() or written(tmp_path / "none") == {}
