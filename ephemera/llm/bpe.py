@@ -174,7 +174,9 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str, chunk: int) -> I
     """Ids of each run of chunks. Rows (row, id, k, head, chunks, sync, until, text, starts) stand in the order of row, head, k.
 
     A run begins at its first chunk's sync and ends `until` code points after its last chunk's own start (null: at its text's end). One chunk is cut where
-    its boundaries are; a run of several, which did not meet again, is put together and cut anew.
+    its boundaries are; a run of several, which did not meet again, is put together and cut anew, together with what its last chunk has behind it: so it is
+    seen that the run ends at a boundary. It does with every pattern whose boundaries are where kinds of characters change, wherever a cut begins; with another
+    that fails, it is an error, and a longer overlap helps.
     """
     own = tokenizer(vocabulary)
     parts: list[str] = []
@@ -190,9 +192,14 @@ def _encode(batches: Iterator[pa.RecordBatch], vocabulary: str, chunk: int) -> I
             last = k == head + chunks - 1
             parts.append(text[sync if k == head else 0 : until if last else chunk])
             if last:
-                whole = "".join(parts)
+                size = sum(map(len, parts))
+                pieces = own.split("".join([*parts, text[until:] if until is not None else ""]))
+                ends = np.cumsum([len(p) for p in pieces])
+                found = int(np.searchsorted(ends, size))
+                if ends[found] != size:
+                    raise ValueError(f"the chunks of text {i} do not meet again behind chunk {k}; enlarge the overlap")
                 parts = []
-                out.append((row, i, head, own.encode(own.split(whole))))
+                out.append((row, i, head, own.encode(pieces[: found + 1])))
         yield _batch(ENCODED, out)
 
 
