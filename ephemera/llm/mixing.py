@@ -137,7 +137,9 @@ def mix(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str =
     once_more = _turn(F.col(block), F.col(whole), F.col(blocks), seed) < F.col(cutoff)
     read = rows.withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("long"), F.col(whole) - F.when(once_more, 0).otherwise(1))))
     within = _digits(f"within {seed}", F.col(epoch), name) / float(1 << 32)
-    at = (F.col(epoch) + (_turn(F.col(block), F.col(epoch), F.col(blocks), seed) + within) / F.col(blocks)) / F.col(epochs)
+    # The blocks that are read of a partial epoch share its part of the mix.
+    part, of = F.when(F.col(epoch) == F.col(whole), F.col(epochs) - F.col(whole)).otherwise(1.0), F.when(F.col(epoch) == F.col(whole), F.col(cutoff)).otherwise(F.col(blocks))
+    at = (F.col(epoch) + part * (_turn(F.col(block), F.col(epoch), F.col(blocks), seed) + within) / of) / F.col(epochs)
     told = [F.col(epoch).cast("int").alias(added[0]), F.col(block).cast("int").alias(added[1]), F.least(F.lit(1.0), at).alias(added[2]), F.col(tokens).alias(added[3])]
     return read.select(*(c for c in docs.columns if c not in added), *told)
 
@@ -184,10 +186,11 @@ sized AS (SELECT s, epochs, blocks, whole, total, {_turn_sql("whole")} AS place,
 spent AS (SELECT *, sum(t) OVER (PARTITION BY s ORDER BY place) - t / 2 >= (epochs - whole) * total AS over FROM sized),
 plan AS (SELECT s, coalesce(min(place) FILTER (WHERE over), max(blocks)) AS cutoff FROM spent GROUP BY s),
 read AS (
-  SELECT met.*, unnest(range(0, whole + CASE WHEN {_turn_sql("whole")} < cutoff THEN 1 ELSE 0 END)) AS epoch
+  SELECT met.*, cutoff, unnest(range(0, whole + CASE WHEN {_turn_sql("whole")} < cutoff THEN 1 ELSE 0 END)) AS epoch
   FROM met JOIN plan USING (s))
 SELECT doc_id, source, epoch::INTEGER AS mix_epoch, block::INTEGER AS mix_block,
-  round(least(1.0, (epoch + ({_turn_sql("epoch")} + {_digits_sql("'within 0'", "epoch", "doc_id")} / 4294967296.0::DOUBLE) / blocks) / epochs), 9) AS mix_at,
+  round(least(1.0, (epoch + CASE WHEN epoch = whole THEN epochs - whole ELSE 1.0::DOUBLE END * ({_turn_sql("epoch")} + {_digits_sql("'within 0'", "epoch", "doc_id")} / 4294967296.0::DOUBLE)
+    / CASE WHEN epoch = whole THEN cutoff ELSE blocks END) / epochs), 9) AS mix_at,
   t::BIGINT AS mix_tokens
 FROM read
 """

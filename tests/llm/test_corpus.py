@@ -280,7 +280,7 @@ def test_packing_of_nothing(empty):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     got, want = catalog.QUERIES[name](spark, sf_dir).toPandas(), con.execute(catalog.ORACLE_SQL[name]).df()
     rows = lambda df: sorted(map(repr, df[sorted(want.columns)].values.tolist()))
@@ -298,10 +298,15 @@ def test_every_query_runs_by_its_own_columns(spark, name):
         "op7_line_dedup": ["doc_id", "n_lines", "n_dropped", "n_chars_left", "left_sha256"],
         "op9_near_dedup": ["doc_id", "n_shingles", "component_id", "kept"],
         "op10_best_fit_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+        "op11_hard_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
+        "op12_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+        "op13_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
     }
     assert got.columns == known.get(name, got.columns)
-    first = got.columns[0]
-    docs = spark.read.parquet(f"{sf}/{'conversations' if name == 'op8_chat_format' else 'documents'}.parquet")
+    first, source = got.columns[0], {"op8_chat_format": "conversations", "op11_hard_negatives": "embeddings", "op13_whitening": "embeddings"}.get(name, "documents")
+    docs = spark.read.parquet(f"{sf}/{source}.parquet")
+    if name == "op11_hard_negatives":
+        docs = docs.where("vec_id % 100 = 0").withColumnRenamed("vec_id", first)
     assert got.select(first).distinct().count() == docs.select(first).distinct().count() + (name == "op8_chat_format")
 
 
