@@ -59,42 +59,43 @@ def _blocks(rows: pa.Table, anchors: pa.Table) -> Iterator[tuple[dict, np.ndarra
             yield anchor, score, label == anchor["own"], rows
 
 
-def _table(found: list[tuple[int, int, pa.Table, np.ndarray, np.ndarray]]) -> pa.Table:
+def _table(rows: pa.Table | None, found: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.Table:
+    """FOUND from (anchor, slot, places in rows, their scores)."""
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in FOUND.split(", ")]
     if not found:
         return pa.table([pa.array([], k) for k in kinds], names)
-    sizes = [len(at) for *_, at in found]
-    columns = [np.repeat([f[0] for f in found], sizes), np.repeat([f[1] for f in found], sizes), None, None, np.concatenate([score[at] for _, _, _, score, at in found])]
-    rows, at = found[0][2], np.concatenate([f[4] for f in found])
-    picked = rows.select(["row", "id"]).take(pa.array(at, pa.int64())).combine_chunks()
-    columns[2], columns[3] = picked.column("row"), picked.column("id")
-    return pa.table([c.cast(k) if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+    anchors, slots, places, values = zip(*found, strict=True)
+    sizes = [len(at) for at in places]
+    picked = rows.select(["row", "id"]).take(pa.array(np.concatenate(places), pa.int64()))
+    columns = [pa.array(np.repeat(anchors, sizes), kinds[0]), pa.array(np.repeat(slots, sizes), kinds[1]), picked.column("row"), picked.column("id"), pa.array(np.concatenate(values), kinds[4])]
+    return pa.table(columns, names)
 
 
 def _positives(rows: pa.Table, anchors: pa.Table, k: int) -> pa.Table:
     """The k best other rows of its label in the block, for each anchor."""
     if not len(rows) or not len(anchors):
-        return _table([])
-    found = []
+        return _table(None, [])
+    found, by_tie = [], None
     for anchor, score, same, by_tie in _blocks(rows, anchors):
-        at = np.flatnonzero(same & (by_tie.column("row").to_numpy() != anchor["anchor"]))
-        found.append((anchor["anchor"], 0, by_tie, score, best(score, at, k)))
-    return _table(found)
+        at = best(score, np.flatnonzero(same & (by_tie.column("row").to_numpy() != anchor["anchor"])), k)
+        found.append((anchor["anchor"], 0, at, score[at]))  # copies, so that no block's scores are kept
+    return _table(by_tie, found)
 
 
 def _slots(rows: pa.Table, anchors: pa.Table, k: int) -> pa.Table:
     """The k best rows of other labels in each of an anchor's slots: slot i holds the scores up to limits[i] and above limits[i + 1]."""
     if not len(rows) or not len(anchors):
-        return _table([])
-    found = []
+        return _table(None, [])
+    found, by_tie = [], None
     for anchor, score, same, by_tie in _blocks(rows, anchors):
         limits = np.array(anchor["limits"], np.int64)
         at = np.flatnonzero(~same & (score <= limits[0]) & (score >= anchor["least"]))
         slot = len(limits) - 1 - np.searchsorted(limits[::-1], score[at], "left")
         for i in np.unique(slot):
-            found.append((anchor["anchor"], int(i), by_tie, score, best(score, at[slot == i], k)))
-    return _table(found)
+            top = best(score, at[slot == i], k)
+            found.append((anchor["anchor"], int(i), top, score[top]))
+    return _table(by_tie, found)
 
 
 def mine(
