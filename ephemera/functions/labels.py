@@ -34,14 +34,17 @@ def date_of(ms: Column) -> Column:
 
 
 def date_digits(day: Column) -> Column:
-    return F.replace(day.cast("string"), F.lit("-"), F.lit(""))
+    """yyyyMMdd. Years of four digits are told by arithmetic, which takes a fraction of a date's own text."""
+    number = F.year(day) * 10_000 + F.month(day) * 100 + F.dayofmonth(day)
+    return F.when(number.between(10_000_000, 99_999_999), number.cast("string")).otherwise(F.replace(day.cast("string"), F.lit("-"), F.lit("")))
 
 
 def stamp(ms: Column) -> Column:
     """yyyyMMddTHHmmss; milliseconds are dropped."""
-    s = F.pmod(F.floor(ms / 1000), F.lit(86400))
-    two = lambda x: F.lpad(x.cast("int").cast("string"), 2, "0")
-    return F.concat(date_digits(date_of(ms)), F.lit("T"), two(F.floor(s / 3600)), two(F.floor(s / 60) % 60), two(s % 60))
+    s = F.pmod(F.floor(ms / 1000), F.lit(86400)).cast("int")
+    minutes = F.floor(s / 60).cast("int")
+    clock = F.floor(s / 3600).cast("int") * 10_000 + minutes % 60 * 100 + s % 60
+    return F.concat(date_digits(date_of(ms)), F.lit("T"), F.substring((clock + 1_000_000).cast("string"), 2, 6))
 
 
 def local_stamp(ms: Column, offset: Column) -> Column:

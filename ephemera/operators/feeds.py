@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from .celestial import ORDER
 from .files import CRLF, FeedFiles
+from .sun import with_place
 
 #: Octets of a strict feed's line, without its line break. A continuation begins with a space, which counts.
 OCTETS = 75
@@ -100,15 +101,76 @@ def zone_text(tz: Column, offset: Column) -> Column:
     return _block("BEGIN:VTIMEZONE", _line("TZID:", tz), "BEGIN:STANDARD", "DTSTART:16010101T000000", _line("TZOFFSETFROM:", shift), _line("TZOFFSETTO:", shift), _line("TZNAME:", tz), "END:STANDARD", "END:VTIMEZONE")
 
 
-def sun_feed_lines(labelled: DataFrame, style: Style = SUN, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(location_id, *keep, filename, head, day, kind_rank, body, tail): every event's text, with its feed's head and tail, the same in all its rows."""
+def _sun_head(style: Style) -> Column:
     lat, lon = F.col("lat_text"), F.col("lon_text")
     title = F.concat(F.lit("Sunrise & Sunset ("), lat, F.lit(", "), lon, F.lit(")"))
-    head = _block(*style.head(title), zone_text(F.col("tz_id"), F.col("offset_hours")))
+    return _block(*style.head(title), zone_text(F.col("tz_id"), F.col("offset_hours")))
+
+
+def _sun_file() -> Column:
+    return F.concat(F.lit("sunrise-"), F.col("lat_text"), F.lit("-"), F.col("lon_text"), F.lit(".ics"))
+
+
+def sun_feed_lines(labelled: DataFrame, style: Style = SUN, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(location_id, *keep, filename, head, day, kind_rank, body, tail): every event's text, with its feed's head and tail, the same in all its rows."""
     summary = F.when(F.col("kind") == "sunrise", "Sunrise").otherwise("Sunset")
     body = zoned_event_text(summary, F.col("tz_id"), F.col("local_start"), F.col("local_end"), F.col("uid"), style)
-    name = F.concat(F.lit("sunrise-"), lat, F.lit("-"), lon, F.lit(".ics"))
-    return labelled.select("location_id", *keep, name.alias("filename"), head.alias("head"), "day", "kind_rank", body.alias("body"), F.lit(style.tail).alias("tail"))
+    return labelled.select("location_id", *keep, _sun_file().alias("filename"), _sun_head(style).alias("head"), "day", "kind_rank", body.alias("body"), F.lit(style.tail).alias("tail"))
+
+
+def _put_together(events: DataFrame, style: Style, domain: str, *by: str) -> DataFrame:
+    """(location_id, lat, lon, *by, filename, head, fixed, events): sun events (location_id, lat, lon, day, kind_rank, event_ms, *by) by place and by.
+
+    events are their stamps, in order; fixed is the text around them, the same for all events of a place, for _bodies(). Lines of stamps are never
+    long enough to be folded, and a date has eight digits that come before the first fold.
+    """
+    ms, offset = F.col("event_ms"), labels.offset_hours(F.col("lon"))
+    # Stamps are columns before they are collected, since a collection evaluates its own expressions without generated code.
+    stamps = {"start": labels.local_stamp(ms, offset), "end": labels.local_stamp(ms + labels.MINUTE_MS, offset)}
+    told = events.select("location_id", "lat", "lon", *by, F.struct("day", "kind_rank", *(v.alias(c) for c, v in stamps.items())).alias("event"))
+    places = with_place(told.groupBy("location_id", "lat", "lon", *by).agg(F.array_sort(F.collect_list("event")).alias("events")))
+    at = lambda name: F.concat(F.lit(f"{name};TZID="), F.col("tz_id"), F.lit(":"))
+
+    def named(kind: str, summary: str) -> list[Column]:
+        """The text between an event's end and its date, and that after the date."""
+        uid = F.concat(F.concat_ws("-", F.lit(kind), F.lit("0" * 8), "lat_text", "lon_text"), F.lit(f"@{domain}"))
+        line, date = style.text("UID:", uid), len(f"UID:{kind}-")
+        before = _block("", style.text("SUMMARY:", F.lit(summary)), f"UID:{kind}-")
+        return [before.alias(f"{kind}_before"), _block(F.substring(line, date + 9, 1 << 30), "END:VEVENT").alias(f"{kind}_after")]
+
+    fixed = F.struct(_block(*style.begin(), at("DTSTART")).alias("start"), _block("", at("DTEND")).alias("end"), *named("sunrise", "Sunrise"), *named("sunset", "Sunset"))
+    return places.select("location_id", "lat", "lon", *by, _sun_file().alias("filename"), _sun_head(style).alias("head"), fixed.alias("fixed"), "events")
+
+
+def _bodies() -> Column:
+    """The texts of a place's events, one after the other."""
+    fixed = F.col("fixed")
+
+    def text(e: Column) -> Column:
+        of = lambda part: F.when(e["kind_rank"] == 0, fixed[f"sunrise_{part}"]).otherwise(fixed[f"sunset_{part}"])
+        return F.concat(fixed["start"], e["start"], fixed["end"], e["end"], of("before"), F.substring_index(e["start"], "T", 1), of("after"))
+
+    return F.array_join(F.transform("events", text), CRLF)
+
+
+def sun_feed_years(events: DataFrame, place: str, style: Style = SUN, domain: str = labels.DOMAIN) -> DataFrame:
+    """(location_id, filename, head, year, body, tail) of sun events without labels: a row is a year of a feed, and its body all the year's events.
+
+    place: a column by which events lie (dealt by it before days multiplied, or a store's buckets), the same for places that share a file. A file's rows
+    then stand together and in order, as write_feed_files() takes them for `ordered`, and there is no exchange; text is neither dealt nor sorted.
+    """
+    years = _put_together(events.withColumn("year", F.year("day")), style, domain, "year", place)
+    ordered = years.sortWithinPartitions("filename", "location_id", "year")
+    return ordered.select("location_id", "filename", "head", "year", _bodies().alias("body"), F.lit(style.tail).alias("tail"))
+
+
+def whole_sun_feeds(events: DataFrame, style: Style = SUN, domain: str = labels.DOMAIN, place: str | None = None) -> DataFrame:
+    """sun_feeds() of sun events without labels. A feed's events meet as stamps, less than its text, and text is made once.
+
+    No exchange where events lie by location_id, or by `place`, another column.
+    """
+    told = _put_together(events, style, domain, *([place] if place else []))
+    return told.select(F.col("location_id").cast("string").alias("feed_id"), "filename", F.concat_ws(CRLF, "head", _bodies(), F.lit(style.tail)).alias("ics"))
 
 
 def _in_order(*order: str) -> Column:
@@ -147,17 +209,18 @@ def write_feed_table(feeds: DataFrame, path: str) -> None:
     feeds.write.mode("overwrite").parquet(path)
 
 
-def write_feed_files(lines: DataFrame, directory: str, tasks: int | None = None, gone: DataFrame | None = None) -> None:
-    """One file per feed from sun_feed_lines(), written by the tasks as rows stream by: no feed is ever held whole.
+def write_feed_files(lines: DataFrame, directory: str, tasks: int | None = None, gone: DataFrame | None = None, ordered: bool = False) -> None:
+    """One file per feed from sun_feed_lines() or sun_feed_years(), written by the tasks as rows stream by: no feed is ever held whole.
 
     directory: any address that pyarrow's file systems open. A feed's file is the old one or the new one, whole: see FeedFiles. Places with equal
     coordinates have one feed and one file, so a file's rows are all in one task and those of its first place are written. gone: a table of (filename)
-    of further feeds, whose files are deleted.
+    of further feeds, whose files are deleted. ordered: lines are sun_feed_years(), whose rows are written as they lie.
     """
+    rows = lines if ordered else lines.repartition(*([tasks] if tasks else []), "filename").sortWithinPartitions("filename", "location_id", "day", "kind_rank")
+    rows = rows.select("filename", "location_id", "head", "body", "tail")
     if gone is not None:
-        lines = lines.unionByName(gone.select("filename"), allowMissingColumns=True)
-    dealt = lines.repartition(*([tasks] if tasks else []), "filename").sortWithinPartitions("filename", "location_id", "day", "kind_rank")
-    _save(dealt.select("filename", "location_id", "head", "body", "tail"), directory)
+        rows = rows.unionByName(gone.select("filename"), allowMissingColumns=True)
+    _save(rows, directory)
 
 
 def write_whole_feeds(feeds: DataFrame, directory: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels, solar
@@ -14,33 +14,41 @@ from ..sources.spines import Window, day_array, day_ms
 KINDS = ((0, "sunrise", "rise_ms"), (1, "sunset", "set_ms"))
 
 
-def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Deals a small table out before its rows multiply; a file of a few hundred kilobytes would be one task. tasks: four a core if not given.
+#: Rows of a task at most where places multiply by days: of one that passes them on, and of one that groups their events.
+PASSED, GROUPED = 1 << 21, 1 << 19
 
-    A table that already comes in more partitions than that is left alone, so large inputs are not shuffled.
+
+def spread(df: DataFrame, tasks: int | None = None, days: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """Deals a small table out before its rows multiply by `days`; a file of a few hundred kilobytes would be one task.
+
+    tasks: if not given four a core, and as many more as keep each of them within PASSED rows, GROUPED with `by`; for that the rows are counted. A table
+    that already comes in more partitions is left alone, so large inputs are not shuffled. by: deals by these columns in any case, so that what is
+    grouped by them later needs no exchange.
     """
-    wanted = tasks or 4 * df.sparkSession.sparkContext.defaultParallelism
+    wanted = tasks or max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() * days // (GROUPED if by else PASSED)))
+    if by:
+        return df.repartition(wanted, *by)
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
-def sun_times(locations: DataFrame, window: Window, tasks: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def sun_times(locations: DataFrame, window: Window, tasks: int | None = None, keep: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """(location_id, lat, lon, *keep, day, rise_ms, set_ms): one row per location and UTC day; null instants where the sun neither rises nor sets.
 
-    keep: further columns of locations.
+    keep: further columns of locations. by: columns to deal them by, as in spread().
     """
-    rows = spread(locations.select("location_id", "lat", "lon", *keep), tasks)
+    rows = spread(locations.select("location_id", "lat", "lon", *keep), tasks, window.days, by)
     daily = rows.withColumn("day", F.explode(day_array(window)))
     inputs = {"lat": F.col("lat"), "lon": F.col("lon"), "day_ms": day_ms(F.col("day"))}
     return chain(daily, solar.STEPS, inputs, {"rise_ms": "rise_ms", "set_ms": "set_ms"})
 
 
-def sun_events(locations: DataFrame, window: Window, tasks: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def sun_events(locations: DataFrame, window: Window, tasks: int | None = None, keep: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """(location_id, lat, lon, *keep, day, kind_rank, kind, event_ms): the events that exist, two a day at most.
 
     day is the UTC day that was sampled; an event's local date may be the day before or after. One narrow stage: no exchange follows the
     spreading of the locations.
     """
-    return _events(sun_times(locations, window, tasks, keep), keep)
+    return _events(sun_times(locations, window, tasks, keep, by), keep)
 
 
 #: Days of one row at most where places have windows of their own.
@@ -90,9 +98,14 @@ def with_place(df: DataFrame) -> DataFrame:
     return rows.withColumn("tz_id", labels.zone_label(F.col("offset_hours")))
 
 
-def labelled_events(locations: DataFrame, window: Window, domain: str = labels.DOMAIN, tasks: int | None = None) -> DataFrame:
+def labelled_events(locations: DataFrame, window: Window, domain: str = labels.DOMAIN, tasks: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """The sun events with their labels: with_labels(sun_events(...)), with what belongs to a place told once for the place."""
-    return with_labels(sun_events(with_place(locations), window, tasks, PLACE), domain)
+    return with_labels(sun_events(with_place(locations), window, tasks, PLACE, by), domain)
+
+
+def place_text() -> Column:
+    """The coordinates as text, the same for places that share a feed's file."""
+    return F.concat_ws(",", number_text(F.col("lat")), number_text(F.col("lon")))
 
 
 def with_labels(events: DataFrame, domain: str = labels.DOMAIN) -> DataFrame:

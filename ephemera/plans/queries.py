@@ -106,7 +106,7 @@ def celestial_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sun_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = feeds.sun_feeds(feeds.sun_feed_lines(sun.labelled_events(supplier_locations(spark, sf_dir), Window.around(AS_OF))))
+    found = feeds.whole_sun_feeds(sun.sun_events(supplier_locations(spark, sf_dir), Window.around(AS_OF), by=("location_id",)))
     return found.select("feed_id", "filename", F.length("ics").cast("long").alias("n_chars"), F.md5("ics").alias("ics_md5"))
 
 
@@ -127,7 +127,7 @@ LONG_DOMAIN = "sunrise-and-sunset-calendars.of-all-places.ephemera"
 
 
 def strict_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = feeds.sun_feeds(feeds.sun_feed_lines(sun.labelled_events(supplier_locations(spark, sf_dir), Window.around(AS_OF), LONG_DOMAIN), STRICT))
+    found = feeds.whole_sun_feeds(sun.sun_events(supplier_locations(spark, sf_dir), Window.around(AS_OF), by=("location_id",)), STRICT, LONG_DOMAIN)
     return found.select("feed_id", "filename", F.length("ics").cast("long").alias("n_chars"), F.md5("ics").alias("ics_md5"))
 
 
