@@ -134,9 +134,16 @@ def strict_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of all feeds, the suppliers' and the celestial one, written and read again."""
     directory = shared_folder(spark, "feeds")
-    feeds.write_feed_files(feeds.sun_feed_lines(sun.labelled_events(supplier_locations(spark, sf_dir), Window.around(AS_OF))), directory)
+    located = supplier_locations(spark, sf_dir).withColumn("place", sun.place_text())
+    events = sun.sun_events(located, Window.around(AS_OF), keep=("place",), by=("place",))
+    feeds.write_feed_files(feeds.sun_feed_years(events, "place"), directory, ordered=True)
     feeds.write_whole_feeds(feeds.celestial_feed(celestial_events(spark, sf_dir)), directory)
-    found = spark.read.format("binaryFile").load(f"{directory}/*.ics")
+    return _files(spark, directory)
+
+
+def _files(spark: SparkSession, directory: str) -> DataFrame:
+    """Every feed file of a folder, which is listed as one; a pattern in the address would list each file by itself."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.ics").load(directory)
     return found.select(F.substring_index("path", "/", -1).alias("filename"), F.col("length").alias("n_bytes"), F.md5("content").alias("file_md5"))
 
 
