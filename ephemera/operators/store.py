@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..functions.numeric import number_text
 from ..sources.folders import Folder
 from ..sources.spines import Window
 from . import feeds, sun
@@ -17,7 +16,8 @@ from .refresh import differing
 
 #: Number of the formulas that made an event; raise it when they change, and the next refresh computes all cells anew.
 FORMULA = 1
-BUCKETS = 64
+#: A store has so many buckets, or more where its first version would have more than CELLS_A_BUCKET cells in each, of about 730 events a cell.
+BUCKETS, CELLS_A_BUCKET = 64, 1500
 CELL = ("place", "location_id", "year", "first", "last", "formula")
 _EVENTS = "place STRING, location_id BIGINT, lat DOUBLE, lon DOUBLE, day DATE, kind_rank INT, kind STRING, event_ms BIGINT, made INT, year INT"
 _CELLS = "place STRING, location_id BIGINT, lat DOUBLE, lon DOUBLE, year INT, first DATE, last DATE, formula INT, made INT, version INT"
@@ -28,7 +28,7 @@ def cells(places: DataFrame, window: Window, formula: int = FORMULA) -> DataFram
 
     place is the text of the coordinates. Places without id or coordinates are left out, repeated rows stand once.
     """
-    known = places.select("location_id", "lat", "lon").dropna().withColumn("place", F.concat_ws(",", number_text(F.col("lat")), number_text(F.col("lon"))))
+    known = places.select("location_id", "lat", "lon").dropna().withColumn("place", sun.place_text())
     once = known.groupBy("place", "location_id").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
     if window.days <= 0:
         once, years = once.limit(0), range(window.start.year, window.start.year + 1)
@@ -51,21 +51,36 @@ class Store:
     year each, and what made them. live/: an empty file per finished version, whose creation is the swap; claims/ likewise numbers the attempts, so a
     writer that dies leaves nothing that is read and two writers never share a number. The one with the higher number is read.
 
-    Buckets are by place, so whatever groups by place (feeds, collisions, identifiers, differences) needs no exchange. buckets: fixed when the
-    store is made; later values are ignored.
+    Buckets are by place, so whatever groups by place (feeds, collisions, identifiers, differences) needs no exchange, and a task has one bucket. The
+    first refresh fixes their number: `buckets`, or more as CELLS_A_BUCKET tells. Later values are ignored. A store's first refresh runs alone.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.folder = spark, Folder(spark, path)
-        if not self.folder.names("layout"):
-            self.folder.create(f"layout/{buckets}")
-        self.buckets = int(self.folder.names("layout")[0])
+        self.buckets, self.tables = buckets, False
         name = hashlib.md5(self.folder.path.encode()).hexdigest()
         self.events, self.cell_table = f"sun_events_{name}", f"sun_cells_{name}"
+        self._laid_out()
+
+    def _laid_out(self) -> bool:
+        """Whether the store has its tables, as it has from its first refresh on."""
+        layout = [] if self.tables else self.folder.names("layout")
+        if layout:
+            self.buckets, self.tables = min(map(int, layout)), True
+            self._make_tables()
+        return self.tables
+
+    def _lay_out(self, first: DataFrame) -> None:
+        """Makes the tables, sized for the cells of the first version."""
+        if not self._laid_out():
+            self.folder.create(f"layout/{max(self.buckets, -(-first.count() // CELLS_A_BUCKET))}")
+            self._laid_out()
+
+    def _make_tables(self) -> None:
         for table, name, columns, parts, order in ((self.events, "events", _EVENTS, "made, year", "place, location_id, day, kind_rank"), (self.cell_table, "cells", _CELLS, "version", "place, location_id, year")):
             self.folder.make(name)
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY ({parts}) CLUSTERED BY (place) SORTED BY ({order}) INTO {self.buckets} BUCKETS LOCATION '{self.folder.path}/{name}'")
-            spark.catalog.recoverPartitions(table)
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet PARTITIONED BY ({parts}) CLUSTERED BY (place) SORTED BY ({order}) INTO {self.buckets} BUCKETS LOCATION '{self.folder.path}/{name}'")
+            self.spark.catalog.recoverPartitions(table)
 
     # --- versions -------------------------------------------------------------------------------------------
 
@@ -81,8 +96,13 @@ class Store:
 
     def cells(self, version: int | None = None) -> DataFrame:
         """(place, location_id, lat, lon, year, first, last, formula, made) of a version, the present one if not given."""
+        return self._cells_of([self.version() if version is None else version]).drop("version")
+
+    def _cells_of(self, versions: list[int]) -> DataFrame:
+        if not self._laid_out():
+            return self.spark.createDataFrame([], _CELLS)
         self.spark.catalog.recoverPartitions(self.cell_table)
-        return self.spark.table(self.cell_table).where(F.col("version") == (self.version() if version is None else version)).drop("version")
+        return self.spark.table(self.cell_table).where(F.col("version").isin(versions))
 
     def refresh(self, places: DataFrame, window: Window, formula: int = FORMULA, rebuild: bool = False) -> int:
         """Makes the version that has these places and this window, and nothing else; returns its number, the present one if that is it already.
@@ -92,7 +112,9 @@ class Store:
         all cells, so that one number has them all.
         """
         base, number = self.version(), self._claim()
-        wanted, known = cells(places, window, formula), self.cells(base)
+        wanted = cells(places, window, formula)
+        self._lay_out(wanted)
+        known = self.cells(base)
         if rebuild:
             known = known.limit(0)
         joined = wanted.join(known.select(*CELL, F.col("made").alias("_made")), list(CELL), "left")
@@ -142,9 +164,12 @@ class Store:
     def _rows(self, versions: Iterable[int]) -> DataFrame:
         """Events of any of the versions, read once, with a boolean in<k> for each of them.
 
-        Partitions whose cells a version has all, or none, need no look at cells. The others, where a place moved or left, are joined with them.
+        Partitions whose cells a version has all, or none, need no look at cells. Where there are others, since a place moved or left, events meet the
+        cells of their place within their bucket: no exchange.
         """
         versions = list(versions)
+        if not self._laid_out():
+            return self.spark.createDataFrame([], _EVENTS).withColumns({f"in{k}": F.lit(False) for k in range(len(versions))})
         self.spark.catalog.recoverPartitions(self.events)
         counts = lambda df: {(r["made"], r["year"]): r["count"] for r in df.groupBy("made", "year").count().collect()}  # noqa: E731  versions x years
         has = [counts(self.cells(v)) for v in versions]
@@ -153,16 +178,15 @@ class Store:
         written = counts(self.spark.table(self.cell_table).where(F.col("version").isin(made) & (F.col("version") == F.col("made")))) if made else {}
         partial = [p for p in every if any(p in h and h[p] != written[p] for h in has)]
         whole = [p for p in every if p not in partial]
-        events = self.spark.table(self.events)
-        rows = events.where(_in(whole)).withColumns({f"in{k}": _in([p for p in whole if p in h]) for k, h in enumerate(has)})
+        rows = self.spark.table(self.events).where(_in(every))
+        within = [_in([p for p in whole if p in h]) for h in has]
         if partial:
-            key = ["place", "location_id", "year", "made"]
-            some = events.where(_in(partial))
-            for k, v in enumerate(versions):
-                live = self.cells(v).where(_in(partial)).select(*key, F.lit(True).alias(f"in{k}"))
-                some = some.join(live, key, "left").withColumn(f"in{k}", F.coalesce(f"in{k}", F.lit(False)))
-            rows = rows.unionByName(some).repartition("place")  # while rows are narrow; no other exchange follows
-        return rows
+            cell = F.struct("location_id", "year", "made")
+            of = lambda k, v: F.collect_set(F.when(F.col("version") == v, cell)).alias(f"cells{k}")
+            live = self._cells_of(versions).where(_in(partial)).groupBy("place").agg(*(of(k, v) for k, v in enumerate(versions)))
+            rows = rows.join(live.hint("shuffle_hash"), "place", "left")
+            within = [F.when(_in(partial), F.coalesce(F.array_contains(f"cells{k}", cell), F.lit(False))).otherwise(at) for k, at in enumerate(within)]
+        return rows.withColumns({f"in{k}": at for k, at in enumerate(within)}).drop(*(f"cells{k}" for k in range(len(versions))))
 
     def read(self, version: int | None = None) -> DataFrame:
         """(place, location_id, lat, lon, day, kind_rank, kind, event_ms) of a version, the present one if not given; it stays what it is meanwhile."""
@@ -170,8 +194,7 @@ class Store:
 
     def changed(self, old: int, new: int) -> DataFrame:
         """(place, action): insert, update or delete for every place whose cells differ; only cells are read, without an exchange."""
-        self.spark.catalog.recoverPartitions(self.cell_table)
-        rows = self.spark.table(self.cell_table).where(F.col("version").isin(old, new))
+        rows = self._cells_of([old, new])
         of = lambda v: F.sort_array(F.collect_set(F.when(F.col("version") == v, F.struct("location_id", "year", "made"))))  # noqa: E731  a place's years
         told = rows.groupBy("place").agg(of(old).alias("a"), of(new).alias("b"))
         action = F.when(F.size("a") == 0, "insert").when(F.size("b") == 0, "delete").otherwise("update")

@@ -195,8 +195,7 @@ def changed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feeds from a refreshed store, put together within its buckets."""
-    lines = feeds.sun_feed_lines(sun.with_labels(_refreshed(spark, sf_dir).read()), keep=("place",))
-    return feeds.sun_feeds(lines, "place").select("feed_id", "filename", F.length("ics").cast("long").alias("n_chars"), F.md5("ics").alias("ics_md5"))
+    return feeds.whole_sun_feeds(_refreshed(spark, sf_dir).read(), place="place").select("feed_id", "filename", F.length("ics").cast("long").alias("n_chars"), F.md5("ics").alias("ics_md5"))
 
 
 def sun_events_own_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,19 @@ def same(a, b):
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def test_buckets_grow_with_the_first_version(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "CELLS_A_BUCKET", 5)
+    made = store.Store(spark, tmp_path.as_uri(), buckets=2)
+    other = store.Store(spark, tmp_path.as_uri(), buckets=3)  # opened before the store is made
+    made.refresh(table(spark, PLACES), W26)
+    assert made.buckets == 5 and other.read().count() == made.read().count() and other.buckets == 5
+    moved = table(spark, [(1, -41.27, 173.5), *PLACES[2:], (11, 10.0, 20.0)])
+    made.refresh(moved, W27)
+    cut = ["location_id", "lat", "lon", "day", "kind_rank", "kind", "event_ms"]
+    assert same(made.read().select(cut), sun.sun_events(moved, W27).select(cut))
+    assert exchanges(made.read()) == 0 and exchanges(made.diff(1, 2)) == 0  # places moved and left
+
+
 @pytest.mark.parametrize("style", [feeds.SUN, feeds.Style("-//" + "日本, é; " * 12 + "//EN", 1_767_225_600_000)])
 @pytest.mark.parametrize("domain", ["d", "d" * 60, "é" * 50])
 def test_feeds_from_parts(spark, tmp_path, style, domain):
