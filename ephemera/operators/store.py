@@ -206,9 +206,9 @@ class Store:
         Other files are not touched, and other places' events not read beyond the partitions that the changed ones lie in.
         """
         changed = self.changed(old, new)
-        rows = self.read(new).join(changed.where("action <> 'delete'").select("place"), "place", "left_semi")
+        rows = self.read(new).join(changed.where("action <> 'delete'").select("place").hint("shuffle_hash"), "place", "left_semi")
         gone = changed.where("action = 'delete'").select(F.concat(F.lit("sunrise-"), F.replace("place", F.lit(","), F.lit("-")), F.lit(".ics")).alias("filename"))
-        feeds.write_feed_files(feeds.sun_feed_lines(sun.with_labels(rows), style), directory, gone=gone)
+        feeds.write_feed_files(feeds.sun_feed_years(rows, "place", style), directory, gone=gone, ordered=True)
 
     def diff(self, old: int, new: int, domain: str = labels.DOMAIN) -> DataFrame:
         """(uid, action, old_ms, new_ms): insert, update or delete for every identifier whose event differs; of several events of one the first, as one_per_uid().
