@@ -233,7 +233,7 @@ def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uid_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sun.uid_collisions(sun.labelled_events(supplier_locations(spark, sf_dir), Window.around(AS_OF)))
+    return sun.uid_collisions(sun.labelled_events(supplier_locations(spark, sf_dir), Window.around(AS_OF), by=("location_id",)))
 
 
 # --- applied to fact tables ---------------------------------------------------------------------------------

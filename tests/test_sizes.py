@@ -40,6 +40,17 @@ def test_buckets_grow_with_the_first_version(spark, tmp_path, monkeypatch):
     assert exchanges(made.read()) == 0 and exchanges(made.diff(1, 2)) == 0  # places moved and left
 
 
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(sun, "GROUPED", 400)
+    monkeypatch.setattr(sun, "PASSED", 300)
+    one = table(spark, PLACES)
+    assert sun.sun_events(one, W26).rdd.getNumPartitions() == -(-8 * 1095 // 300)
+    events = sun.labelled_events(one, W26, by=("location_id",))
+    assert events.rdd.getNumPartitions() == -(-8 * 1095 // 400)
+    met = sun.uid_collisions(events)
+    assert exchanges(met) == 1 and same(met, sun.uid_collisions(sun.labelled_events(one, W26)))  # narrow places are dealt, no events
+
+
 @pytest.mark.parametrize("style", [feeds.SUN, feeds.Style("-//" + "日本, é; " * 12 + "//EN", 1_767_225_600_000)])
 @pytest.mark.parametrize("domain", ["d", "d" * 60, "é" * 50])
 def test_feeds_from_parts(spark, tmp_path, style, domain):
@@ -54,6 +65,11 @@ def test_feeds_from_parts(spark, tmp_path, style, domain):
     assert {p.name: p.read_bytes() for p in tmp_path.iterdir()} == {r["filename"]: r["ics"].encode() for r in want.where("feed_id <> '20'").collect()}
 
 
+def test_no_event_is_dealt_for_a_query_of_feeds(spark, sf_dir):
+    for name in ("sun_feed", "strict_feed", "uid_collisions"):
+        assert exchanges(queries.QUERIES[name](spark, sf_dir)) == 1, name  # before: events or their text were another
+
+
 def test_digits_of_dates(spark):
     days = spark.sql("select explode(array(date'0001-02-03', date'0999-12-31', date'1000-01-01', date'2026-06-01', date'9999-12-31', date'+10000-01-01', date'-0001-01-01', null)) as d")
     got = days.select(labels.date_digits(F.col("d")).alias("a"), F.replace(F.col("d").cast("string"), F.lit("-"), F.lit("")).alias("b"))
