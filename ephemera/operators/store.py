@@ -127,7 +127,8 @@ class Store:
             self._forget(self.cell_table, f"version={number}")
             return base
         if sizes["fresh"]:
-            dealt = fresh.repartition(self.buckets, "place")
+            # Half a bucket a task. Dealt by the buckets' own number there would be no exchange, and then cells' small files are packed by cores.
+            dealt = fresh.repartition(2 * self.buckets, "place")
             found = sun.own_sun_events(dealt, "first", "last", ("place", "year"))
             rows = found.withColumn("made", F.lit(number)).select(*(c.split()[0] for c in _EVENTS.split(", ")))
             rows.write.insertInto(self.events)

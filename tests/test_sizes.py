@@ -33,6 +33,9 @@ def test_buckets_grow_with_the_first_version(spark, tmp_path, monkeypatch):
     other = store.Store(spark, tmp_path.as_uri(), buckets=3)  # opened before the store is made
     made.refresh(table(spark, PLACES), W26)
     assert made.buckets == 5 and other.read().count() == made.read().count() and other.buckets == 5
+    tasks = {int(p.name.split("-")[1]) for p in tmp_path.glob("events/made=1/year=2026/*.parquet")}
+    halves = spark.table(made.events).where("year = 2026").select(F.expr("pmod(hash(place), 10)")).distinct().collect()
+    assert tasks == {r[0] for r in halves}  # a task has half a bucket; before: tasks were as many as the cores
     moved = table(spark, [(1, -41.27, 173.5), *PLACES[2:], (11, 10.0, 20.0)])
     made.refresh(moved, W27)
     cut = ["location_id", "lat", "lon", "day", "kind_rank", "kind", "event_ms"]
