@@ -18,6 +18,11 @@ KINDS = ((0, "sunrise", "rise_ms"), (1, "sunset", "set_ms"))
 PASSED, GROUPED = 1 << 21, 1 << 19
 
 
+def _tasks(df: DataFrame, rows: int, most: int) -> int:
+    """Four a core, and as many more as keep each within `most` of the rows."""
+    return max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // most))
+
+
 def spread(df: DataFrame, tasks: int | None = None, days: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """Deals a small table out before its rows multiply by `days`; a file of a few hundred kilobytes would be one task.
 
@@ -25,7 +30,7 @@ def spread(df: DataFrame, tasks: int | None = None, days: int = 1, by: tuple[str
     that already comes in more partitions is left alone, so large inputs are not shuffled. by: deals by these columns in any case, so that what is
     grouped by them later needs no exchange.
     """
-    wanted = tasks or max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() * days // (GROUPED if by else PASSED)))
+    wanted = tasks or _tasks(df, df.count() * days, GROUPED if by else PASSED)
     if by:
         return df.repartition(wanted, *by)
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
@@ -37,7 +42,11 @@ def sun_times(locations: DataFrame, window: Window, tasks: int | None = None, ke
     keep: further columns of locations. by: columns to deal them by, as in spread().
     """
     rows = spread(locations.select("location_id", "lat", "lon", *keep), tasks, window.days, by)
-    daily = rows.withColumn("day", F.explode(day_array(window)))
+    return _times(rows.withColumn("day", F.explode(day_array(window))))
+
+
+def _times(daily: DataFrame) -> DataFrame:
+    """Adds rise_ms and set_ms to rows (lat, lon, day, ...)."""
     inputs = {"lat": F.col("lat"), "lon": F.col("lon"), "day_ms": day_ms(F.col("day"))}
     return chain(daily, solar.STEPS, inputs, {"rise_ms": "rise_ms", "set_ms": "set_ms"})
 
@@ -51,6 +60,47 @@ def sun_events(locations: DataFrame, window: Window, tasks: int | None = None, k
     return _events(sun_times(locations, window, tasks, keep, by), keep)
 
 
+#: Places at most that take turns, day by day, in clustered_sun_events().
+NEAR = 256
+#: Squares of a side of the map that cells tell apart, as a power of two.
+CELL_BITS = 16
+
+
+def _cell() -> Column:
+    """A place's number on a curve through squares of squares (Z-order), whose neighbours are mostly near each other; null without finite coordinates."""
+
+    def apart(x: Column) -> Column:  # the 16 bits with a zero before each
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
+        return x
+
+    side = 1 << CELL_BITS
+    x, y = (((F.col(c) + 180) * (side / 360)).try_cast("bigint").bitwiseAND(F.lit(side - 1).cast("bigint")) for c in ("lon", "lat"))
+    return apart(x) + 2 * apart(y)
+
+
+def clustered_sun_events(locations: DataFrame, window: Window, tasks: int | None = None, keep: tuple[str, ...] = (), near: int = NEAR) -> DataFrame:
+    """The rows of sun_events(), in an order that makes files of them small: up to `near` places that lie near each other take turns, day by day.
+
+    Neighbouring rows then have nearly the same instant, and what tells places apart repeats from day to day; a place's own days have neither. Only
+    places are shuffled, twice: along the curve, and by their number on it, so that no run is longer than `near` however dense places lie. All columns
+    of locations must be orderable.
+    """
+    rows = locations.select("lon", "lat", "location_id", *keep)
+    n = rows.count()
+    tasks = tasks or _tasks(rows, n * window.days, PASSED)
+    order = ["_cell", *rows.columns]  # whole, so that a task that runs again numbers alike
+    along = rows.withColumn("_cell", _cell()).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    # An id has a row's number in its partition in its lower 33 bits, and the partition's above.
+    numbered = along.withColumn("_id", F.monotonically_increasing_id())
+    number = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    runs = numbered.withColumn("_run", F.col("_id") - number % max(1, min(near, -(-n // tasks)))).repartitionByRange(tasks, "_run")
+    # Dealt by run, runs are grouped where they are.
+    places = runs.groupBy("_run").agg(F.sort_array(F.collect_list(F.struct(*rows.columns))).alias("_places"))
+    daily = places.withColumn("day", F.explode(day_array(window))).withColumn("_place", F.explode("_places")).select("_place.*", "day")
+    return _events(_times(daily), keep)
+
+
 #: Days of one row at most where places have windows of their own.
 SPAN = 366
 
@@ -79,8 +129,7 @@ def own_sun_events(locations: DataFrame, first: str = "first", last: str = "last
     if tasks:
         rows = rows.repartition(tasks)
     daily = rows.withColumn("day", F.explode(F.sequence(F.col(first), F.col(last)))).drop(first, last)
-    inputs = {"lat": F.col("lat"), "lon": F.col("lon"), "day_ms": day_ms(F.col("day"))}
-    return _events(chain(daily, solar.STEPS, inputs, {"rise_ms": "rise_ms", "set_ms": "set_ms"}), keep)
+    return _events(_times(daily), keep)
 
 
 def _events(times: DataFrame, keep: tuple[str, ...]) -> DataFrame:

@@ -62,11 +62,11 @@ def cross_quarter_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sun_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sun.sun_events(customer_locations(spark, sf_dir), Window.around(AS_OF)).select("location_id", "lat", "lon", "day", "kind", "event_ms")
+    return sun.clustered_sun_events(customer_locations(spark, sf_dir), Window.around(AS_OF)).select("location_id", "lat", "lon", "day", "kind", "event_ms")
 
 
 def sun_events_polar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sun.sun_events(supplier_locations(spark, sf_dir), Window.around(AS_OF)).select("location_id", "lat", "lon", "day", "kind", "event_ms")
+    return sun.clustered_sun_events(supplier_locations(spark, sf_dir), Window.around(AS_OF)).select("location_id", "lat", "lon", "day", "kind", "event_ms")
 
 
 def sun_event_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

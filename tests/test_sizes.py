@@ -77,3 +77,24 @@ def test_digits_of_dates(spark):
     days = spark.sql("select explode(array(date'0001-02-03', date'0999-12-31', date'1000-01-01', date'2026-06-01', date'9999-12-31', date'+10000-01-01', date'-0001-01-01', null)) as d")
     got = days.select(labels.date_digits(F.col("d")).alias("a"), F.replace(F.col("d").cast("string"), F.lit("-"), F.lit("")).alias("b"))
     assert got.where("not a <=> b").isEmpty()
+
+
+def test_files_of_sun_events_are_small(spark, tmp_path):
+    queries.QUERIES["sun_events"](spark, "/root/testdata/sf0.01").write.parquet(tmp_path.as_uri() + "/out")
+    size = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    assert size < 6.9 * 3_285_000  # before: 8.3 bytes a row
+
+
+def test_clustered_events_are_the_events(spark, monkeypatch):
+    monkeypatch.setattr(sun, "PASSED", 300)
+    odd = [(20, None, 3.0), (21, 4.0, None), (None, 5.0, 6.0), (22, float("nan"), 7.0), (23, 8.0, float("inf")), (24, -90.0, -180.0), (25, 90.0, 180.0), *PLACES[:2]]
+    one = table(spark, PLACES + odd).withColumn("name", F.concat(F.lit("n"), "location_id"))
+    for near in (1, 3, 256):
+        got = sun.clustered_sun_events(one, W26, keep=("name",), near=near)
+        assert same(got, sun.sun_events(one, W26, keep=("name",))), near
+    assert exchanges(got) == 2  # of places
+    assert sun.clustered_sun_events(one.limit(0), W26).count() == 0
+    same_place = table(spark, [(k, 10.0, 20.0) for k in range(40)])
+    runs = sun.clustered_sun_events(same_place, Window(dt.date(2026, 1, 1), dt.date(2026, 1, 3)), tasks=2, near=8)
+    parts = runs.select(F.spark_partition_id().alias("p"), "location_id", "day").distinct().groupBy("p").agg(F.countDistinct("location_id").alias("n")).collect()
+    assert sum(r["n"] for r in parts) == 40 and len(parts) == 2  # places at one point are dealt too
