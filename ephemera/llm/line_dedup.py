@@ -21,8 +21,8 @@ WIDTH, TENTHS = 12, 8
 #: family; a mask turns the order around, and the masks of a family differ in their highest bits. Two lines agree in a minimum with the
 #: probability of their similarity, however few or many shingles they have.
 FAMILIES, MASKS, TURN = 6, 4, 10
-#: Rows are made of STEP shingles each, so that a line is looked up once for STEP of them.
-STEP = 8
+#: Rows are made of STEP shingles each, so that a line is looked up once for STEP of them; short lines repeat fewer with a small STEP.
+STEP = 2
 #: 16 bands of three minima of three families, each minimum in two bands and no two bands with a common pair. In simulations pairs at a
 #: similarity of 0.8 share no band with probability 3e-4 or less, at 0.85 with 5e-5, with 5 to 350 shingles in their unions.
 BANDS = [tuple((3 * s + r) * MASKS + (p ^ turn) for r, turn in enumerate(turns)) for s in (0, 1) for turns in ((0, 0, 0), (0, 1, 2)) for p in range(MASKS)]
@@ -92,14 +92,15 @@ def _low_bits(n: int) -> int:
 
 
 def _hashes(line: str) -> Column:
-    """The distinct hashes of all shingles of a line; a line shorter than a shingle is its only one."""
-    runs = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{WIDTH}}}))."), 1)
-    return F.array_distinct(F.transform(F.when(F.length(line) < WIDTH, F.array(line)).otherwise(runs), lambda s: F.xxhash64(s)))
+    """The hashes of all shingles of a line, repeated ones too; a line shorter than a shingle is its only one."""
+    at = lambda codes: F.sequence(F.lit(1), 4 * _last(codes) + 1, F.lit(4))
+    return let(F.encode(line, "UTF-32"), lambda codes: F.transform(at(codes), lambda i: F.xxhash64(F.substring(codes, i, F.lit(4 * WIDTH)))))
 
 
-def _similar(x: str, y: str) -> Column:
-    """Whether two sets of hashes are similar enough: both >= similarity * (x + y - both)."""
-    return (10 + TENTHS) * F.size(F.array_intersect(x, y)) >= TENTHS * (F.size(x) + F.size(y))
+def _similar(x: str, y: str, n: Column | None = None) -> Column:
+    """Whether two lines' hashes are similar enough as sets: both >= similarity * (x + y - both); n: the sum of both sets' sizes, where known."""
+    both = F.size(F.array_intersect(x, y))
+    return 10 * both >= TENTHS * F.size(F.array_union(x, y)) if n is None else (10 + TENTHS) * both >= TENTHS * n
 
 
 def _told(x: str) -> list[Column]:
@@ -159,19 +160,20 @@ def _with_partners(opened: DataFrame, known: DataFrame) -> DataFrame:
 def _maps(ids: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, n, lost, m0, m1, ...): of each line the number of its hashes, a map of 64 * MAP_WORDS bits that has a bit for each, and how many of
     them share a bit with another. Two lines have at most the bits that both maps have, and the lesser lost, in common."""
-    lines = known.select("id", "line").join(ids.distinct(), "id", "left_semi")
-    bit = lines.select("id", F.explode(_hashes("line")).alias("h")).select("id", F.pmod("h", F.lit(64 * MAP_WORDS)).cast("int").alias("bit"))
+    lines = known.select("id", "line").join(ids.distinct(), "id", "left_semi").repartition("id")
+    bit = lines.select("id", F.explode(F.array_distinct(_hashes("line"))).alias("h")).select("id", F.pmod("h", F.lit(64 * MAP_WORDS)).cast("int").alias("bit"))
     bit = bit.select("id", F.shiftrightunsigned("bit", 6).alias("word"), F.expr("shiftleft(1L, bit & 63)").alias("one"))
-    words = [F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("one"))), F.lit(0).cast("long")).alias(f"m{w}") for w in range(MAP_WORDS)]
-    maps = bit.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n"), *words)
+    # Bits are put together by word first, so that only words, not hashes, are asked for their place among MAP_WORDS.
+    bits = bit.groupBy("id", "word").agg(F.bit_or("one").alias("bits"), F.count(F.lit(1)).alias("n"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bits"))), F.lit(0).cast("long")).alias(f"m{w}") for w in range(MAP_WORDS)]
+    maps = bits.groupBy("id").agg(F.sum("n").cast("int").alias("n"), *words)
     set_ = reduce(Column.__add__, (F.bit_count(f"m{w}") for w in range(MAP_WORDS)))
     return scratch.save(maps.withColumn("lost", F.col("n") - set_))
 
 
 def _compared(left: DataFrame, right: DataFrame, by: tuple[str, ...], ids: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a line of the left, a component of the right) between rows (*by, id, own, out) that meet in a block, in different components.
-    ids: all their ids; known: (id, line, *SKETCH). Two rows that are out meet twice, and are compared once. Only links leave the join, and of a
-    task at most one for a line and a component.
+    """Links between components, of rows (*by, id, own, out) that meet in a block, in different components. ids: all their ids; known: (id, line,
+    *SKETCH). Two rows that are out meet twice, and are compared once. Only links leave the join, and of a task at most one for two components.
 
     Sketches rule pairs out first, then what their maps can have in common at most, and the sets themselves decide.
     """
@@ -188,8 +190,8 @@ def _compared(left: DataFrame, right: DataFrame, by: tuple[str, ...], ids: DataF
     once = ~(F.col("out_a") & F.col("out_b")) | (F.col("id_a") < F.col("id_b"))
     most = reduce(Column.__add__, (F.bit_count(F.col(f"m{w}_a").bitwiseAND(F.col(f"m{w}_b"))) for w in range(MAP_WORDS))) + F.least("lost_a", "lost_b")
     enough = (10 + TENTHS) * most >= TENTHS * (F.col("n_a") + F.col("n_b"))
-    meets = [one[c] == other[c] for c in by] + [F.col("own_a") != F.col("own_b"), once, _possible(), enough, _similar("hashes_a", "hashes_b")]
-    links = scratch.save(one.join(other, meets).select(F.col("id_a").alias("a"), F.col("own_b").alias("b")).distinct())
+    meets = [one[c] == other[c] for c in by] + [F.col("own_a") != F.col("own_b"), once, _possible(), enough, _similar("hashes_a", "hashes_b", F.col("n_a") + F.col("n_b"))]
+    links = scratch.save(one.join(other, meets).select(F.least("own_a", "own_b").alias("a"), F.greatest("own_a", "own_b").alias("b")).distinct())
     scratch.drop(maps)
     return links
 
@@ -230,14 +232,17 @@ def line_components(docs: DataFrame, id_col: str, text_col: str, scratch: Scratc
     # Only these lines are read again, once for all. Merged at every size: they grow with the documents, so a broadcast would not hold.
     ends = shared.select("id").union(shared.select("hub")).distinct()
     met = scratch.save(known.select("id", "line", *SKETCH).join(ends.hint("merge"), "id", "left_semi"))
-    found = [_stars(shared.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), met, scratch)]
-    parts = connected_components(found[0], scratch)
+    stars = _stars(shared.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), met, scratch)
+    parts = connected_components(stars, scratch)
 
     def joined(links: DataFrame) -> DataFrame:
-        """The components with further links."""
-        found.append(links)
-        scratch.drop(parts)
-        return connected_components(reduce(DataFrame.union, found), scratch)
+        """The components with further links between them, of which few are left: only those components are put together, not all lines again."""
+        tops = connected_components(links, scratch)
+        up = tops.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        moved = parts.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        out = scratch.save(moved.unionByName(tops.join(parts.select("node"), "node", "left_anti")))  # with lines that had no link before
+        scratch.drop(links, parts, tops)
+        return out
 
     # Two rays of a star may be similar though the hub is like neither: where a band's rays are still in several components, they are compared.
     opened = scratch.save(_open_bands(shared, parts))
@@ -252,9 +257,10 @@ def line_components(docs: DataFrame, id_col: str, text_col: str, scratch: Scratc
         groups = scratch.save(open_groups(rays, parts))
     if not groups.isEmpty():
         parts = joined(_rest(groups, met, scratch))
-    scratch.drop(rays, groups, met, *found)
-    here = lines.select("doc", "at", "k1", "k2").join(known.select("k1", "k2", "id"), ["k1", "k2"])
-    placed = scratch.save(with_parts(here, parts).select("doc", "at", "component"))
+    scratch.drop(rays, groups, met, stars)
+    # Distinct lines get their components before lines of documents meet them, so that only the former are shuffled by id.
+    told = with_parts(known.select("k1", "k2", "id"), parts).select("k1", "k2", "component")
+    placed = scratch.save(lines.select("doc", "at", "k1", "k2").join(told, ["k1", "k2"]).select("doc", "at", "component"))
     scratch.drop(known, parts)
     return placed
 

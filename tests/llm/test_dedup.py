@@ -8,7 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from ephemera.llm import components, exact_dedup, line_dedup, near_dedup
+from ephemera.llm import common, components, exact_dedup, line_dedup, near_dedup
 
 
 class Union:
@@ -193,6 +193,20 @@ def test_line_dedup_of_repetitive_lines(spark):
     assert kept_lines(spark, [x.strip() for pair in pairs for x in pair]) == [True, False] * 3
 
 
+def test_hashes_and_maps_of_lines(spark):
+    lines = ["", "short", "exactly12chr", "a" * 30, "日本😀" * 9, "the same words and the same words again, " * 40]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    sets = {i: [line[k : k + 12] for k in range(max(1, len(line) - 11))] for i, line in enumerate(lines)}
+    got = {r["id"]: r["h"] for r in df.select("id", line_dedup._hashes("line").alias("h")).collect()}
+    assert {i: (len(h), len(set(h))) for i, h in got.items()} == {i: (len(s), len(set(s))) for i, s in sets.items()}  # before: distinct ones only, by a regex
+    maps = line_dedup._maps(df.select("id").union(df.select("id")), df, common.Scratch(spark)).collect()
+    for r in maps:
+        bits = {h % (64 * line_dedup.MAP_WORDS) for h in got[r["id"]]}
+        assert (r["n"], r["lost"]) == (len(set(got[r["id"]])), len(set(got[r["id"]])) - len(bits))
+        assert bits == {64 * w + b for w in range(line_dedup.MAP_WORDS) for b in range(64) if r[f"m{w}"] >> b & 1}
+    assert len(maps) == len(lines)
+
+
 def test_line_dedup_compares_rays_in_bounded_blocks(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK_ROWS", 8)
     groups = spark.createDataFrame([(1, k, k % 3 > 0) for k in range(90)], "band long, id long, out boolean")
