@@ -22,7 +22,7 @@ WIDTH, TENTHS = 12, 8
 #: probability of their similarity, however few or many shingles they have.
 FAMILIES, MASKS, TURN = 6, 4, 10
 #: Rows are made of STEP shingles each, so that a line is looked up once for STEP of them; short lines repeat fewer with a small STEP.
-STEP = 2
+STEP = 4
 #: 16 bands of three minima of three families, each minimum in two bands and no two bands with a common pair. In simulations pairs at a
 #: similarity of 0.8 share no band with probability 3e-4 or less, at 0.85 with 5e-5, with 5 to 350 shingles in their unions.
 BANDS = [tuple((3 * s + r) * MASKS + (p ^ turn) for r, turn in enumerate(turns)) for s in (0, 1) for turns in ((0, 0, 0), (0, 1, 2)) for p in range(MASKS)]
@@ -175,24 +175,33 @@ def _compared(left: DataFrame, right: DataFrame, by: tuple[str, ...], ids: DataF
     """Links between components, of rows (*by, id, own, out) that meet in a block, in different components. ids: all their ids; known: (id, line,
     *SKETCH). Two rows that are out meet twice, and are compared once. Only links leave the join, and of a task at most one for two components.
 
-    Sketches rule pairs out first, then what their maps can have in common at most, and the sets themselves decide.
+    Sketches rule pairs out first, then what their maps can have in common at most, and the sets themselves decide. Few lines keep a partner up to
+    the sets, so a first pass finds these, and only they are hashed. At most the rows leave it, never their pairs.
     """
     maps = _maps(ids, known, scratch)
-    told = known.select("id", "line", *SKETCH).join(maps, "id")
     numbers = [*SKETCH, *(c for c in maps.columns if c != "id")]
+    told = known.select("id", "line", *SKETCH).join(maps, "id")
+
+    def side(df: DataFrame, x: str, *more: str) -> DataFrame:
+        placed = df.select(*by, "id", "own", "out").join(told, "id").select(*by, "id", "own", "out", *more, *numbers).repartition(*by)
+        return placed.select(*by, *(F.col(c).alias(f"{c}_{x}") for c in ("id", "own", "out", *more, *numbers)))
 
-    def side(df: DataFrame, x: str) -> DataFrame:
+    def hashed(df: DataFrame, x: str) -> DataFrame:
         # Lines are hashed where their blocks are, since texts are shuffled at a fraction of what their hashes would be.
-        placed = df.select(*by, "id", "own", "out").join(told, "id").select(*by, "id", "own", "out", "line", *numbers).repartition(*by)
-        return placed.select(*by, *(F.col(c).alias(f"{c}_{x}") for c in ("id", "own", "out", *numbers)), F.explode(F.array(_hashes("line"))).alias(f"hashes_{x}"))
+        rows = side(df.join(close, "id", "left_semi"), x, "line")
+        return rows.select(*(c for c in rows.columns if c != f"line_{x}"), F.explode(F.array(_hashes(f"line_{x}"))).alias(f"hashes_{x}"))
 
-    one, other = side(left, "a"), side(right, "b")
     once = ~(F.col("out_a") & F.col("out_b")) | (F.col("id_a") < F.col("id_b"))
     most = reduce(Column.__add__, (F.bit_count(F.col(f"m{w}_a").bitwiseAND(F.col(f"m{w}_b"))) for w in range(MAP_WORDS))) + F.least("lost_a", "lost_b")
     enough = (10 + TENTHS) * most >= TENTHS * (F.col("n_a") + F.col("n_b"))
-    meets = [one[c] == other[c] for c in by] + [F.col("own_a") != F.col("own_b"), once, _possible(), enough, _similar("hashes_a", "hashes_b", F.col("n_a") + F.col("n_b"))]
-    links = scratch.save(one.join(other, meets).select(F.least("own_a", "own_b").alias("a"), F.greatest("own_a", "own_b").alias("b")).distinct())
-    scratch.drop(maps)
+    meets = lambda x, y: [x[c] == y[c] for c in by] + [F.col("own_a") != F.col("own_b"), once, _possible(), enough]
+    one, other = side(left, "a"), side(right, "b")
+    close = one.join(other, meets(one, other), "left_semi").select(F.col("id_a").alias("id"))
+    close = scratch.save(close.unionByName(other.join(one, meets(other, one), "left_semi").select(F.col("id_b").alias("id"))).distinct())
+    one, other = hashed(left, "a"), hashed(right, "b")
+    found = one.join(other, [*meets(one, other), _similar("hashes_a", "hashes_b", F.col("n_a") + F.col("n_b"))])
+    links = scratch.save(found.select(F.least("own_a", "own_b").alias("a"), F.greatest("own_a", "own_b").alias("b")).distinct())
+    scratch.drop(maps, close)
     return links
 
 
