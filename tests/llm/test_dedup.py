@@ -243,3 +243,14 @@ def test_only_lines_with_a_close_partner_are_hashed(spark, monkeypatch):
     links = line_dedup._compared(left, right, ("hub", "i", "j"), groups.select("id"), known, scratch)
     assert [tuple(r) for r in links.collect()] == [(3, 30)]
     assert [sorted(r["id"] for r in rows) for columns, _, rows in saved if columns == ["id"]] == [[3, 30]]  # before: all were
+
+
+def test_saved_tables_need_no_marker(spark):
+    path = common.Scratch(spark).save(spark.range(3)).scratch_path  # before: a process of the driver for the file _SUCCESS of each table
+    names = [f.getPath().getName() for f in _listed(spark, path)]
+    assert names and not [n for n in names if n.startswith("_")]
+
+
+def _listed(spark, path):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
