@@ -138,6 +138,16 @@ def _dealt(groups: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
     return left.drop("all", "outs"), right.drop("all", "outs")
 
 
+def _shared(known: DataFrame) -> DataFrame:
+    """(band, hub, id): each line of known(id, keys) with the first line of a band that it shares; band is null where the two are all of it, since
+    two rays can meet only in bands of three and more."""
+    # Lines are dealt by band once, for the hubs and for their rays: the conditions that either side needs stand before, so that both read one shuffle.
+    members = known.select(F.explode("keys").alias("band"), "id").where("band is not null and id is not null").repartition("band")
+    hubs = members.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    rays = members.join(hubs.hint("shuffle_hash"), "band").where("id <> hub")
+    return rays.select(F.when(F.col("size") > 2, F.col("band")).alias("band"), "hub", "id")
+
+
 def _open_bands(shared: DataFrame, parts: DataFrame) -> DataFrame:
     """(band, hub, id, own, out): the rays of bands with rays in other components (out) than the hub's, where two rays may be linked."""
     at = with_parts(with_parts(shared.where("band is not null"), parts).withColumnRenamed("component", "own"), parts, "hub")
@@ -171,15 +181,14 @@ def _maps(ids: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(maps.withColumn("lost", F.col("n") - set_))
 
 
-def _compared(left: DataFrame, right: DataFrame, by: tuple[str, ...], ids: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links between components, of rows (*by, id, own, out) that meet in a block, in different components. ids: all their ids; known: (id, line,
-    *SKETCH). Two rows that are out meet twice, and are compared once. Only links leave the join, and of a task at most one for two components.
+def _compared(left: DataFrame, right: DataFrame, by: tuple[str, ...], told: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between components, of rows (*by, id, own, out) that meet in a block, in different components. told: lines with their sketches and maps,
+    (id, line, *SKETCH, n, lost, m0, m1, ...). Two rows that are out meet twice, and are compared once. Only links leave the join, and of a task at
+    most one for two components.
 
     Sketches rule pairs out first, then what their maps can have in common at most, and the sets themselves decide.
     """
-    maps = _maps(ids, known, scratch)
-    told = known.select("id", "line", *SKETCH).join(maps, "id")
-    numbers = [*SKETCH, *(c for c in maps.columns if c != "id")]
+    numbers = [c for c in told.columns if c not in ("id", "line")]
 
     def side(df: DataFrame, x: str) -> DataFrame:
         # Lines are hashed where their blocks are, since texts are shuffled at a fraction of what their hashes would be.
@@ -191,12 +200,10 @@ def _compared(left: DataFrame, right: DataFrame, by: tuple[str, ...], ids: DataF
     most = reduce(Column.__add__, (F.bit_count(F.col(f"m{w}_a").bitwiseAND(F.col(f"m{w}_b"))) for w in range(MAP_WORDS))) + F.least("lost_a", "lost_b")
     enough = (10 + TENTHS) * most >= TENTHS * (F.col("n_a") + F.col("n_b"))
     meets = [one[c] == other[c] for c in by] + [F.col("own_a") != F.col("own_b"), once, _possible(), enough, _similar("hashes_a", "hashes_b", F.col("n_a") + F.col("n_b"))]
-    links = scratch.save(one.join(other, meets).select(F.least("own_a", "own_b").alias("a"), F.greatest("own_a", "own_b").alias("b")).distinct())
-    scratch.drop(maps)
-    return links
+    return scratch.save(one.join(other, meets).select(F.least("own_a", "own_b").alias("a"), F.greatest("own_a", "own_b").alias("b")).distinct())
 
 
-def _centred(groups: DataFrame, known: DataFrame, salt: int, scratch: Scratch) -> DataFrame:
+def _centred(groups: DataFrame, told: DataFrame, salt: int, scratch: Scratch) -> DataFrame:
     """Links of each hub's group(hub, id, own, out) to CENTRES of its members, in blocks of its members with all centres."""
     pick = lambda c: F.min(F.struct(F.xxhash64(F.lit(salt * CENTRES + c), "id"), "id"))["id"]
     sizes = groups.groupBy("hub").agg(F.array_distinct(F.array(*(pick(c) for c in range(CENTRES)))).alias("centres"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("n"))
@@ -204,15 +211,15 @@ def _centred(groups: DataFrame, known: DataFrame, salt: int, scratch: Scratch) -
     rows = groups.join(sizes.select("hub", "n"), "hub").withColumns({"i": F.pmod(F.xxhash64("id"), "n"), "out": F.lit(True)})
     centres = groups.join(sizes.select("hub", "n", F.explode("centres").alias("id")), ["hub", "id"])
     centres = centres.withColumns({"i": F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)), "out": F.lit(False)})
-    links = _compared(rows, centres, ("hub", "i"), groups.select("id"), known, scratch)
+    links = _compared(rows, centres, ("hub", "i"), told, scratch)
     scratch.drop(sizes)
     return links
 
 
-def _rest(groups: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
+def _rest(groups: DataFrame, told: DataFrame, scratch: Scratch) -> DataFrame:
     """Links between members of one hub's group(hub, id, own, out) in different components, of which one at least is out, in blocks of members."""
     left, right = _dealt(groups, "hub")
-    return _compared(left, right, ("hub", "i", "j"), groups.select("id"), known, scratch)
+    return _compared(left, right, ("hub", "i", "j"), told, scratch)
 
 
 def line_components(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
@@ -224,11 +231,7 @@ def line_components(docs: DataFrame, id_col: str, text_col: str, scratch: Scratc
     keys = F.array(*(F.xxhash64(F.lit(b), *(f"v{v}" for v in values)) for b, values in enumerate(BANDS)))
     known = scratch.save(signed.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "line", *_sketch(), keys.alias("keys")))
 
-    members = known.select(F.explode("keys").alias("band"), "id")
-    hubs = scratch.save(members.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"))
-    # Two rays can meet only in bands of three and more.
-    shared = scratch.save(members.join(hubs, "band").where("id <> hub").select(F.when(F.col("size") > 2, F.col("band")).alias("band"), "hub", "id"))
-    scratch.drop(hubs)
+    shared = scratch.save(_shared(known))
     # Only these lines are read again, once for all. Merged at every size: they grow with the documents, so a broadcast would not hold.
     ends = shared.select("id").union(shared.select("hub")).distinct()
     met = scratch.save(known.select("id", "line", *SKETCH).join(ends.hint("merge"), "id", "left_semi"))
@@ -249,15 +252,19 @@ def line_components(docs: DataFrame, id_col: str, text_col: str, scratch: Scratc
     rays = scratch.save(_with_partners(opened, met))
     scratch.drop(shared, opened)
     groups = scratch.save(open_groups(rays, parts))
+    # Components only grow, so later groups have no other lines than these, and their maps are made once.
+    maps = _maps(groups.select("id"), met, scratch)
+    told = scratch.save(met.join(maps, "id"))
+    scratch.drop(met, maps)
     for k in range(ROUNDS):  # joins most of what is apart
         if groups.isEmpty():
             break
-        parts = joined(_centred(groups, met, k, scratch))
+        parts = joined(_centred(groups, told, k, scratch))
         scratch.drop(groups)
         groups = scratch.save(open_groups(rays, parts))
     if not groups.isEmpty():
-        parts = joined(_rest(groups, met, scratch))
-    scratch.drop(rays, groups, met, stars)
+        parts = joined(_rest(groups, told, scratch))
+    scratch.drop(rays, groups, told, stars)
     # Distinct lines get their components before lines of documents meet them, so that only the former are shuffled by id.
     told = with_parts(known.select("k1", "k2", "id"), parts).select("k1", "k2", "component")
     placed = scratch.save(lines.select("doc", "at", "k1", "k2").join(told, ["k1", "k2"]).select("doc", "at", "component"))

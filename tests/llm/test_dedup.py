@@ -235,3 +235,32 @@ def test_saved_tables_need_no_marker(spark):
 def _listed(spark, path):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+
+
+def test_lines_are_dealt_by_band_once(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.randrange(40) * 16 + b for b in range(16)]) for i in range(60)]
+    known = common.Scratch(spark).save(spark.createDataFrame(rows, "id long, keys array<long>"))
+    shared = line_dedup._shared(known)
+    got = shared.collect()
+    members = {}
+    for i, keys in rows:
+        for key in keys:
+            members.setdefault(key, []).append(i)
+    assert sorted((r["band"] or 0, r["hub"], r["id"]) for r in got) == sorted((k * (len(v) > 2), min(v), i) for k, v in members.items() for i in v if i != min(v))
+    plan = shared._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("\n")
+    dealt = [x for x in plan if "Exchange hashpartitioning" in x]  # a line of its own each; what is reused is named in its line
+    assert ["ReusedExchange" in x for x in dealt] in ([False, True], [True, False])  # before: hubs by themselves, from a saved table
+
+
+def test_maps_are_made_once(spark, monkeypatch):
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    hub, lines, stays, made, maps = make(300), [], [], [], line_dedup._maps
+    for k in range(40):
+        line = hub[:190] + make(110)
+        lines += [line, line[:-5] + make(5)]
+        stays += [True, False]
+    monkeypatch.setattr(line_dedup, "_maps", lambda *args: (made.append(1), maps(*args))[1])
+    assert kept_lines(spark, [hub, *lines]) == [True, *stays]
+    assert made == [1]  # before: with each round of comparisons
