@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels
 from .celestial import ORDER
-from .files import CRLF, FeedFiles
+from .files import CRLF, PACKED, FeedFiles
 from .sun import with_place
 
 #: Octets of a strict feed's line, without its line break. A continuation begins with a space, which counts.
@@ -209,26 +209,34 @@ def write_feed_table(feeds: DataFrame, path: str) -> None:
     feeds.write.mode("overwrite").parquet(path)
 
 
-def write_feed_files(lines: DataFrame, directory: str, tasks: int | None = None, gone: DataFrame | None = None, ordered: bool = False) -> None:
+def write_feed_files(lines: DataFrame, directory: str, tasks: int | None = None, gone: DataFrame | None = None, ordered: bool = False, packed: bool = False) -> None:
     """One file per feed from sun_feed_lines() or sun_feed_years(), written by the tasks as rows stream by: no feed is ever held whole.
 
     directory: any address that pyarrow's file systems open. A feed's file is the old one or the new one, whole: see FeedFiles. Places with equal
     coordinates have one feed and one file, so a file's rows are all in one task and those of its first place are written. gone: a table of (filename)
-    of further feeds, whose files are deleted. ordered: lines are sun_feed_years(), whose rows are written as they lie.
+    of further feeds, whose files are deleted. ordered: lines are sun_feed_years(), whose rows are written as they lie. packed: files are in gzip, a ninth
+    as large, with names that end in .gz besides; packed_feeds() reads them. A folder's files must be all packed or all plain, as one form does not
+    replace the other.
     """
     rows = lines if ordered else lines.repartition(*([tasks] if tasks else []), "filename").sortWithinPartitions("filename", "location_id", "day", "kind_rank")
     rows = rows.select("filename", "location_id", "head", "body", "tail")
     if gone is not None:
         rows = rows.unionByName(gone.select("filename"), allowMissingColumns=True)
-    _save(rows, directory)
+    _save(rows, directory, packed)
 
 
-def write_whole_feeds(feeds: DataFrame, directory: str) -> None:
-    """One file per row of feeds(filename, ics), such as celestial_feed() or sun_feeds() make, with its text byte for byte."""
+def write_whole_feeds(feeds: DataFrame, directory: str, packed: bool = False) -> None:
+    """One file per row of feeds(filename, ics), such as celestial_feed() or sun_feeds() make, with its text byte for byte. packed: as in write_feed_files()."""
     nothing = F.lit(None).cast("string")
-    _save(feeds.select("filename", F.lit(0).cast("long").alias("location_id"), F.col("ics").alias("head"), nothing.alias("body"), nothing.alias("tail")), directory)
+    _save(feeds.select("filename", F.lit(0).cast("long").alias("location_id"), F.col("ics").alias("head"), nothing.alias("body"), nothing.alias("tail")), directory, packed)
 
 
-def _save(rows: DataFrame, directory: str) -> None:
+def packed_feeds(spark: SparkSession, directory: str) -> DataFrame:
+    """(filename, ics) of a folder of packed files: their texts, under the names of plain files."""
+    found = spark.read.option("pathGlobFilter", f"*.ics{PACKED}").text(directory, wholetext=True)
+    return found.select(F.regexp_replace("_metadata.file_name", f"\\{PACKED}$", "").alias("filename"), F.col("value").alias("ics"))
+
+
+def _save(rows: DataFrame, directory: str, packed: bool = False) -> None:
     rows.sparkSession.dataSource.register(FeedFiles)
-    rows.write.format(FeedFiles.name()).mode("append").save(directory)
+    rows.write.format(FeedFiles.name()).mode("append").option("packed", packed).save(directory)

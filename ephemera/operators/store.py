@@ -201,15 +201,16 @@ class Store:
         action = F.when(F.size("a") == 0, "insert").when(F.size("b") == 0, "delete").otherwise("update")
         return told.where(F.col("a") != F.col("b")).select("place", action.alias("action"))
 
-    def write_changed_feeds(self, old: int, new: int, directory: str, style: feeds.Style = feeds.SUN) -> None:
+    def write_changed_feeds(self, old: int, new: int, directory: str, style: feeds.Style = feeds.SUN, packed: bool = False) -> None:
         """Brings a folder of feed files from one version to another: files of places that changed are written, those of places that are gone deleted.
 
-        Other files are not touched, and other places' events not read beyond the partitions that the changed ones lie in.
+        Other files are not touched, and other places' events not read beyond the partitions that the changed ones lie in. packed: as in
+        feeds.write_feed_files().
         """
         changed = self.changed(old, new)
         rows = self.read(new).join(changed.where("action <> 'delete'").select("place").hint("shuffle_hash"), "place", "left_semi")
         gone = changed.where("action = 'delete'").select(F.concat(F.lit("sunrise-"), F.replace("place", F.lit(","), F.lit("-")), F.lit(".ics")).alias("filename"))
-        feeds.write_feed_files(feeds.sun_feed_years(rows, "place", style), directory, gone=gone, ordered=True)
+        feeds.write_feed_files(feeds.sun_feed_years(rows, "place", style), directory, gone=gone, ordered=True, packed=packed)
 
     def diff(self, old: int, new: int, domain: str = labels.DOMAIN) -> DataFrame:
         """(uid, action, old_ms, new_ms): insert, update or delete for every identifier whose event differs; of several events of one the first, as one_per_uid().

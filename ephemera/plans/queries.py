@@ -148,11 +148,14 @@ def _files(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def refreshed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The suppliers' feed files after places moved, left and came: those of places that stayed are the first version's."""
+    """The suppliers' feed files after places moved, left and came: those of places that stayed are the first version's.
+
+    Files are packed, since all their texts would be 200 kilobytes a place beside the store; bytes and digest are of the texts.
+    """
     store, directory = Store(spark, shared_folder(spark, "sun-store"), buckets=16), shared_folder(spark, "feeds")
     for old, places_ in enumerate((supplier_locations(spark, sf_dir), moved_locations(spark, sf_dir))):
-        store.write_changed_feeds(old, store.refresh(places_, Window.around(AS_OF)), directory)
-    return _files(spark, directory)
+        store.write_changed_feeds(old, store.refresh(places_, Window.around(AS_OF)), directory, packed=True)
+    return feeds.packed_feeds(spark, directory).select("filename", F.octet_length("ics").cast("long").alias("n_bytes"), F.md5("ics").alias("file_md5"))
 
 
 def moved_locations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Work that grows with its input: tasks and buckets by rows, no exchange of events or text, and feeds put together from parts."""
 
 import datetime as dt
+import gzip
+from pathlib import Path
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from ephemera.functions import labels
-from ephemera.operators import feeds, store, sun
+from ephemera.operators import feeds, files, store, sun
 from ephemera.plans import queries
 from ephemera.sources import locations as places
 from ephemera.sources.spines import Window
@@ -98,3 +101,41 @@ def test_clustered_events_are_the_events(spark, monkeypatch):
     runs = sun.clustered_sun_events(same_place, Window(dt.date(2026, 1, 1), dt.date(2026, 1, 3)), tasks=2, near=8)
     parts = runs.select(F.spark_partition_id().alias("p"), "location_id", "day").distinct().groupBy("p").agg(F.countDistinct("location_id").alias("n")).collect()
     assert sum(r["n"] for r in parts) == 40 and len(parts) == 2  # places at one point are dealt too
+
+
+def test_refreshed_files_take_a_fraction_of_their_text(spark, sf_dir):
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.glob("feeds-*"))
+    texts = queries.refreshed_files(spark, sf_dir).agg(F.sum("n_bytes")).first()[0]
+    (folder,) = set(root.glob("feeds-*")) - before
+    assert sum(p.stat().st_size for p in folder.iterdir()) < texts / 8  # before: the whole of it
+
+
+@pytest.mark.parametrize("style", [feeds.SUN, feeds.Style("-//" + "日本, é; " * 12 + "//EN", 1_767_225_600_000)])
+def test_packed_feeds_hold_the_same_text(spark, tmp_path, style):
+    plain, packed = tmp_path / "plain", tmp_path / "packed"
+    made = store.Store(spark, (tmp_path / "store").as_uri(), buckets=2)
+    held = lambda: {p.name: gzip.decompress(p.read_bytes()) for p in packed.iterdir()}
+    for old, rows in enumerate((PLACES, [(1, -41.27, 173.5), *PLACES[2:], (11, 10.0, 20.0), (12, 65.9, 25.0)])):  # one moved, one left, one came, one shares a file
+        new = made.refresh(table(spark, rows), W26)
+        for folder in (plain, packed):
+            made.write_changed_feeds(old, new, folder.as_uri(), style, packed=folder is packed)
+        texts = {p.name: p.read_bytes() for p in plain.iterdir()}
+        assert held() == {f"{k}.gz": v for k, v in texts.items()} and "sunrise-65.9-25.ics" in texts and len(texts) == 6
+        assert {r["filename"]: r["ics"].encode() for r in feeds.packed_feeds(spark, packed.as_uri()).collect()} == texts
+    whole = spark.createDataFrame([("a.ics", "A\r\né\n\n")], "filename string, ics string")
+    feeds.write_whole_feeds(whole, packed.as_uri(), packed=True)
+    assert held()["a.ics.gz"] == "A\r\né\n\n".encode() and feeds.packed_feeds(spark, packed.as_uri()).where("filename = 'a.ics'").select("filename", "ics").collect() == whole.collect()
+
+
+def test_attempts_write_equal_packed_bytes(tmp_path):
+    rows = [Row(filename="a.ics", location_id=1, head="H", body=f"b{k}", tail="T") for k in range(3)]
+    out = []
+    for name in ("x", "y"):
+        writer = files._FeedWriter((tmp_path / name).as_uri(), packed=True)
+        writer.write(iter(rows))
+        writer.commit([])
+        out.append({p.name: p.read_bytes() for p in (tmp_path / name).iterdir()})
+    data = out[0]["a.ics.gz"]
+    assert out[0] == out[1] and gzip.decompress(data) == b"H\r\nb0\r\nb1\r\nb2\r\nT"
+    assert data[3] == 0 and data[4:8] == b"\0" * 4  # no name, no time
